@@ -9,18 +9,36 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import fold, table
 from pairloom.llm.hilbert import hilbert_shards, law_column
+from pairloom.llm.langid import predict_language, train_language_model
 from pairloom.llm.mixing import mix_sources
+from pairloom.llm.quality import predict_quality, train_quality
 
 
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_word_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = docs.where((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    model = train_language_model(learn)
+    out = docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), predict_language(docs, model).alias("p"))
+    return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert_shards(table(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", law_column().alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = labels.where(fold(F.col("doc_id"), 5) != 0).select("doc_id", F.col("quality").alias("label"))
+    weights = train_quality(docs, learn)
+    out = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), predict_quality(docs, weights).alias("score"))
+    return out.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
