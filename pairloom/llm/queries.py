@@ -12,6 +12,15 @@ from pairloom.llm.hilbert import hilbert_shards, law_column
 from pairloom.llm.langid import predict_language, train_language_model
 from pairloom.llm.mixing import mix_sources
 from pairloom.llm.quality import predict_quality, train_quality
+from pairloom.llm.toxicity import predict_toxicity, train_toxicity
+
+
+def op1_fuzzy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = labels.where(fold(F.col("doc_id"), 5) != 0).select("doc_id", F.col("toxic").alias("label"))
+    model = train_toxicity(docs, learn)
+    out = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), predict_toxicity(docs, model).alias("score"))
+    return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
