@@ -59,3 +59,10 @@ def unit_hash(*cols: Column) -> Column:
     """A reproducible number in (0, 1) from the columns' values."""
     bits = F.shiftrightunsigned(F.xxhash64(*cols), 11)
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 53))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer file is installed, on the driver and on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import fold, table
+from pairloom.llm.common import fold, table, tokenizer_path
 from pairloom.llm.hilbert import hilbert_shards, law_column
 from pairloom.llm.langid import predict_language, train_language_model
 from pairloom.llm.mixing import mix_sources
+from pairloom.llm.packing import pack_documents
+from pairloom.llm.pii import find_spans, train_spans
 from pairloom.llm.quality import predict_quality, train_quality
 from pairloom.llm.toxicity import predict_toxicity, train_toxicity
 
@@ -23,6 +25,11 @@ def op1_fuzzy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,6 +42,12 @@ def op5_word_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", find_spans(docs, train_spans(docs)).alias("p"))
+    return found.select("doc_id", *(f"p.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert_shards(table(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", law_column().alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
