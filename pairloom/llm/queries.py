@@ -12,6 +12,7 @@ from pairloom.llm.hilbert import hilbert_shards, law_column
 from pairloom.llm.langid import predict_language, train_language_model
 from pairloom.llm.mixing import mix_sources
 from pairloom.llm.packing import pack_documents
+from pairloom.llm.partenum import jaccard_components
 from pairloom.llm.pii import find_spans, train_spans
 from pairloom.llm.quality import predict_quality, train_quality
 from pairloom.llm.toxicity import predict_toxicity, train_toxicity
@@ -42,6 +43,10 @@ def op5_word_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", find_spans(docs, train_spans(docs)).alias("p"))
