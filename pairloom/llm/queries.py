@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import fold, table, tokenizer_path
+from pairloom.llm.covertree import near_vectors
 from pairloom.llm.hilbert import hilbert_shards, law_column
 from pairloom.llm.langid import predict_language, train_language_model
 from pairloom.llm.mixing import mix_sources
@@ -15,6 +16,7 @@ from pairloom.llm.packing import pack_documents
 from pairloom.llm.partenum import jaccard_components
 from pairloom.llm.pii import find_spans, train_spans
 from pairloom.llm.quality import predict_quality, train_quality
+from pairloom.llm.spann import nearest
 from pairloom.llm.toxicity import predict_toxicity, train_toxicity
 
 
@@ -35,6 +37,11 @@ def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_balanced_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op5_word_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = docs.where((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
@@ -47,6 +54,10 @@ def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_cover_tree_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", find_spans(docs, train_spans(docs)).alias("p"))
