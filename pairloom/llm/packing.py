@@ -24,8 +24,10 @@ their own.  An empty table gives no rows.  Other columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,12 @@ END_ID = 1
 MAX_PLAN_ROWS = 4_000_000
 
 
+def _byte_signs() -> dict[int, str]:
+    """The printable sign for each byte that is not one itself, as byte-level tokenizers number them."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class WordTokenizer:
     """A word-level tokenizer file read by ``tokenizers``, remembering words and their ids.
 
@@ -49,53 +57,60 @@ class WordTokenizer:
     order.  Words in plain Latin letters, digits and ASCII signs are cut here and looked up in the
     file's model; all other words, and texts that hold a special token's
     string or separators that only some libraries call white space, go through the whole tokenizer.
+    Ids are kept as little-endian 32-bit bytes.  At most ``room`` words and
+    twice as many parts of words are remembered at a time.
     """
 
     _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ʯ]+")
     _PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
     _ODD = re.compile("[\x1c-\x1f]|<\\|")
+    _SIGNS = _byte_signs()
 
-    def __init__(self, path: str, room: int = 300_000):
-        from tokenizers import Tokenizer, pre_tokenizers
+    def __init__(self, path: str, room: int = 200_000):
+        from tokenizers import Tokenizer
 
         self.whole, self.room = Tokenizer.from_file(path), room
         self.model = self.whole.model
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
-
-    def _part(self, part: str) -> tuple[int, ...]:
-        shown = part if part.isascii() else self.bytes.pre_tokenize_str(part)[0][0]
-        ids = self.parts[part] = tuple(t.id for t in self.model.tokenize(shown))
-        return ids
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        if self._PLAIN.fullmatch(word):
-            lower, parts, out = word.lower(), self.parts, ()
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self._SIGNS)
+        out = self.parts[part] = _packed([t.id for t in self.model.tokenize(shown)])
+        return out
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() or self._PLAIN.fullmatch(word):
+            lower, parts = word.lower(), self.parts
             if lower.isalpha():
                 out = parts.get(lower) or self._part(lower)
+            elif (stem := lower[:-1]).isalpha():
+                out = (parts.get(stem) or self._part(stem)) + (parts.get(lower[-1]) or self._part(lower[-1]))
             else:
-                for p in self._PART.findall(lower):
-                    out += parts.get(p) or self._part(p)
+                out = b"".join([parts.get(p) or self._part(p) for p in self._PART.findall(lower)])
         else:
-            out = tuple(self.whole.encode(word, add_special_tokens=False).ids)
+            out = _packed(self.whole.encode(word, add_special_tokens=False).ids)
         self.words[word] = out
         return out
 
-    def __call__(self, text: str) -> list[int]:
+    def __call__(self, text: str) -> bytes:
         if self._ODD.search(text):
-            return self.whole.encode(text, add_special_tokens=False).ids
+            return _packed(self.whole.encode(text, add_special_tokens=False).ids)
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         if len(self.words) > self.room:
             self.words.clear()
-        if len(self.parts) > self.room:
+        if len(self.parts) > 2 * self.room:
             self.parts.clear()
+        lower = text.lower()
+        if len(lower) == len(text) and "Σ" not in text:  # else lower case depends on what stands around
+            text = lower
         get, add = self.words.get, self._word
-        out: list[int] = []
-        for w in text.split():
-            out += get(w) or add(w)
-        return out
+        return b"".join([get(w) or add(w) for w in text.split()])
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -103,14 +118,18 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = WordTokenizer(tokenizer_path)
+        tok, end = WordTokenizer(tokenizer_path), _packed([end_id])
         for f in frames:
-            rows = []
+            rows, again = [], {t: None for t, n in Counter(f.iloc[:, 1]).items() if n > 1}
             for i, t in zip(f.iloc[:, 0], f.iloc[:, 1], strict=True):
-                ids = np.array([*(tok(t) if t else ()), end_id], dtype="<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((i, k, at, len(part), zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
+                ids = again.get(t)
+                if ids is None:
+                    ids = (tok(t) if t else b"") + end
+                    if t in again:
+                        again[t] = ids
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else [])))
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
