@@ -1,8 +1,63 @@
-"""Corpus preparation: documents in, packed training sequences out."""
+"""Corpus preparation: documents in, packed training sequences out.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
+and returns a DataFrame, which is written as Parquet and read again as the
+next one's documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairloom.llm.common import stored, table, tokenizer_path
+from pairloom.llm.langid import drop_unidentified, train_language_model
+from pairloom.llm.mixing import mixed_documents
+from pairloom.llm.packing import pack_documents
+from pairloom.llm.partenum import keep_one
+from pairloom.llm.pii import redact, train_spans
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the learned languages; those without a letter go."""
+    learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    return drop_unidentified(docs, train_language_model(learn))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group linked by a Jaccard similarity of 0.75 or more on five-word shingles."""
+    return keep_one(docs, threshold=0.75, width=5)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind, n_chars counted anew."""
+    out = docs.withColumn("text", redact(docs, train_spans(docs)))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources ask for."""
+    return mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens and their places in sequences."""
+    return pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_copies", drop_near_copies),
+    ("personal_data", redact_personal_data),
+    ("source_mix", mix_by_source),
+    ("packing", pack),
+]
+#: Trained models and token ids are not expressible in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs

@@ -131,3 +131,11 @@ def _top_up(drawn: DataFrame, seed: int) -> DataFrame:
     joined = drawn.join(best, F.col("source").eqNullSafe(F.col("b_source")), "left")
     hit = F.coalesce((F.col("in") == 0) & F.col("rank").isNotNull() & F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("size") == F.col("best.size")), F.lit(False))
     return stored(joined.withColumn("in", F.when(hit, 1).otherwise(F.col("in"))).drop("b_source", "best"))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: float = 3.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents of the mix, each as often as it was taken; columns unchanged."""
+    mix = mix_sources(docs, weights, max_repeats, seed, id_col, text_col, source_col)
+    taken = mix.where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").cast("int").alias("_copies")).withColumnsRenamed({"doc_id": "_id", "source": "_source", "size": "_size"})
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (word_count(F.col(text_col)) == F.col("_size"))
+    return docs.join(taken, same).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -232,7 +232,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: fl
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of every component: that with the smallest id, and all without words; columns unchanged."""
-    found = jaccard_components(docs, threshold, width, id_col, text_col).where((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0))
-    ids = found.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
+    """One document of every component: that with the smallest id, and all without words; columns unchanged.
+
+    A bitmap of the ids to drop lets the other documents pass where they are;
+    only documents that it holds (few, while it is sparse) meet the exact list of ids.
+    Of rows that repeat both id and text one stays.
+    """
+    found = stored(jaccard_components(docs, threshold, width, id_col, text_col).select("doc_id", (F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()) | (F.col("n_shingles") == 0)).alias("stays")))
+    per = found.groupBy("doc_id").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    doubtful = stored(per.where(~F.col("stays") | (F.col("n") > 1) | F.col("doc_id").isNull()))
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(doubtful))
+
+    @F.pandas_udf("boolean")
+    def held(at: pd.Series) -> pd.Series:
+        at = at.to_numpy(dtype=np.int64)
+        return pd.Series((bits.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    key = F.col(id_col).cast("long")
+    marked = docs.withColumn("_held", held(F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS))))
+    passed = marked.where(~F.col("_held")).drop("_held")
+    rest = marked.where("_held").drop("_held")
+    out = doubtful.where("not stays").select(F.col("doc_id").alias("_out"))
+    twice = doubtful.where("stays").select(F.col("doc_id").alias("_twice"))
+    rest = rest.join(out, key.eqNullSafe(F.col("_out")), "left_anti")
+    once = rest.join(twice, key.eqNullSafe(F.col("_twice")), "left_anti")
+    return passed.unionByName(once).unionByName(rest.join(twice, key.eqNullSafe(F.col("_twice")), "left_semi").dropDuplicates([id_col, text_col]))
