@@ -210,7 +210,7 @@ def nearest(
     def best(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         q, p = f[f.is_query], f[~f.is_query].sort_values("vec_id")
         if not len(q) or not len(p):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=object)
         qv, pv, pid = matrix(q.vec), matrix(p.vec), p.vec_id.to_numpy()
         of = np.array([x[0] for x in p.lists])
         asked_for: dict[int, list[int]] = {}
@@ -242,7 +242,7 @@ def nearest(
             ids.append(np.full(len(top), qid[i]))
             vs.append(pid[at][top])
             ss.append(s[top])
-        return pd.DataFrame({"query_id": np.concatenate(ids), "vec_id": np.concatenate(vs), "score": np.concatenate(ss)}) if ids else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return pd.DataFrame({"query_id": np.concatenate(ids), "vec_id": np.concatenate(vs), "score": np.concatenate(ss)}) if ids else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=object)
 
     each = met.groupBy("task").applyInPandas(best, "query_id long, vec_id long, score double")
     one_each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
