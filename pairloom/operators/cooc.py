@@ -152,7 +152,7 @@ def observations_walked(edges: DataFrame, pairs: DataFrame, k: int, exclude_self
 
     def walk_all(f: pd.DataFrame) -> pd.DataFrame:
         parts = list(walk(f))
-        return pd.concat(parts) if parts else pd.DataFrame({"left": [], "right": [], "combo": [], "_c": [], "_n": []})
+        return pd.concat(parts) if parts else pd.DataFrame({"left": [], "right": [], "combo": [], "_c": [], "_n": []}, dtype=object)
 
     counted = rows.groupBy("left").applyInPandas(walk_all, "left long, right long, combo array<long>, _c long, _n long")
     return _valued(counted, edges)
