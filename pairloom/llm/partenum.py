@@ -7,13 +7,18 @@ band the hash domain is cut into n partitions, the same for all its sets, and
 the subsets of partitions enumerated are single ones: each non-empty
 partition's content is a signature.  Two linked sets differ in at most k
 partitions, so of ``full`` non-empty ones at least full - k agree.  In one
-order of all signatures (by value) the first k + 1 + e of either set then hold at least
+order of all signatures the first k + 1 + e of either set then hold at least
 1 + e of those in common; so
 
 * a set sends only its first k + 1 + e signatures, and
-* a set of which fewer than 1 + e meet another set has no partner: texts that merely
+* a set of which fewer than 1 + e meet another set has no partner, and any other may leave out
+  the e of its signatures that meet most sets: texts that merely
   share a passage go out here, before any pair exists.
 
+The order is by value, but signatures frequent in a sample of the texts come last, so that
+passages which many texts share are sent only by texts that hold little else.
+Any order gives the same result; this one only saves work.
+
 A set with too few non-empty partitions for this sends all its signatures and one that all such
 sets of the band share, which keeps the join exact.
 
@@ -45,6 +50,9 @@ from pairloom.llm.textblocks import blocks, mix64, shingles
 RATIO = 3.0
 SLACK = 0.06
 BITMAP_BITS = 24
+#: One text in so many is sampled for frequent signatures, of which so many are kept (8 bytes each).
+SAMPLE_PART = 32
+MAX_FREQUENT = 200_000
 
 
 def digest(hashes: np.ndarray) -> int:
@@ -67,8 +75,11 @@ def slack(size: float) -> int:
     return max(1, int(SLACK * size))
 
 
-def signatures(hashes: np.ndarray, threshold: float) -> list[tuple[int, np.ndarray]]:
-    """For each band that the sorted set takes part in: (0 own or 1 next, signatures sent)."""
+def signatures(hashes: np.ndarray, threshold: float, frequent: np.ndarray | None = None, every: bool = False) -> list[tuple[int, np.ndarray]]:
+    """For each band that the sorted set takes part in: (0 own or 1 next, signatures sent, or every one).
+
+    ``frequent`` (sorted) come last in the order of signatures.
+    """
     a = len(hashes)
     if int(a / threshold) == a and int((a + a) * (1 - threshold) / (1 + threshold) + 1e-9) < 2:
         return []  # only an equal set comes so near
@@ -80,14 +91,19 @@ def signatures(hashes: np.ndarray, threshold: float) -> list[tuple[int, np.ndarr
         if nxt and largest < top:
             break
         high = top * RATIO**nxt
-        n = int(high * (8 if high <= 27 else 2 if high <= 81 else 0.8 if high <= 243 else 0.5)) + 1
+        n = int(high * (8 if high <= 27 else 2 if high <= 81 else 1.2 if high <= 243 else 0.8)) + 1
         k = int((a + min(largest, high)) * (1 - threshold) / (1 + threshold) + 1e-9)
         part = ((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         sums = np.add.reduceat(mixed, first) + part[first] * np.uint64(0x9E3779B97F4A7C15) + np.uint64((own + nxt) * 0x51ED2701)
         sigs = np.sort(mix64(sums))
         send = k + 1 + slack(a)
-        if len(sigs) < send:
+        if frequent is not None and len(frequent):
+            late = frequent[np.minimum(np.searchsorted(frequent, sigs), len(frequent) - 1)] == sigs
+            sigs = np.concatenate([sigs[~late], sigs[late]])
+        if every:
+            pass
+        elif len(sigs) < send:
             special = mix64(np.array([0xFEED0000 + own + nxt], dtype=np.uint64))
             sigs = np.concatenate([sigs, special])
         else:
@@ -108,8 +124,17 @@ def _slim(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInPandas(measure, "doc_id long, n_shingles long, node long")
 
 
-def _sent(docs: DataFrame, text_col: str, width: int, threshold: float) -> DataFrame:
+def _frequent(docs: DataFrame, text_col: str, width: int, threshold: float) -> np.ndarray:
+    """At most MAX_FREQUENT signatures that three or more sets of one text in SAMPLE_PART send."""
+    part = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE_PART)) == 0)
+    met = _sent(part, text_col, width, threshold, None, True).distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    got = met.orderBy(F.desc("n"), "sig").limit(MAX_FREQUENT).select("sig").toPandas()
+    return np.sort(got.sig.to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def _sent(docs: DataFrame, text_col: str, width: int, threshold: float, frequent: np.ndarray | None, every: bool = False) -> DataFrame:
     """(sig, key): key is twice the node plus whether the band is the next one."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -119,7 +144,7 @@ def _sent(docs: DataFrame, text_col: str, width: int, threshold: float) -> DataF
                 for h in shingles(block, width):
                     if len(h) and (node := digest(h)) not in seen:
                         seen.add(node)
-                        for nxt, s in signatures(h, threshold):
+                        for nxt, s in signatures(h, threshold, shared.value, every):
                             sigs.append(s)
                             keys.append(np.full(len(s), 2 * node + nxt, dtype=np.int64))
                 if sigs:
@@ -176,11 +201,10 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.75, width: int = 5,
 def _links(docs: DataFrame, nodes: DataFrame, threshold: float, width: int, id_col: str, text_col: str) -> DataFrame:
     """Verified links (a, b) that connect what the threshold connects."""
     by_sig = W.partitionBy("sig")
-    sent = _sent(docs, text_col, width, threshold).withColumn("node", F.shiftright("key", 1))
+    sent = _sent(docs, text_col, width, threshold, _frequent(docs, text_col, width, threshold)).withColumn("node", F.shiftright("key", 1))
     met = sent.withColumns({"lo": F.min("node").over(by_sig), "hi": F.max("node").over(by_sig)}).where("lo <> hi").select("sig", "key", "node").distinct()
     met = stored(met)
-    for _ in range(2):
-        met = stored(_with_enough(met, nodes, threshold))
+    met = stored(_with_enough(met, nodes, threshold))
     place = F.row_number().over(W.partitionBy("sig").orderBy(F.xxhash64("node"), "node"))
     met = stored(met.select("sig", "node").distinct().withColumn("place", place))
     alive = met.select("node").distinct()
@@ -209,14 +233,15 @@ def _links(docs: DataFrame, nodes: DataFrame, threshold: float, width: int, id_c
 
 
 def _with_enough(met: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Without the sets of which too few signatures meet another set, and what only they met."""
-    counts = met.groupBy("key", "node").agg(F.count(F.lit(1)).alias("n"))
+    """Without the sets of which too few signatures meet another set, and without the signatures that a set may leave out."""
     # a partner may be smaller by the threshold, and its slack with it; a set that sent all its signatures needs one
     need = 1 + F.greatest(F.lit(1), F.floor(F.col("size") * threshold * SLACK))
     special = met.where(F.col("sig").isin([int(mix64(np.array([0xFEED0000 + j], dtype=np.uint64)).view(np.int64)[0]) for j in range(64)])).select("key").distinct().withColumn("all_sent", F.lit(True))
-    kept = counts.join(nodes.select("node", "size"), "node").join(special, "key", "left").where((F.col("n") >= need) | F.col("all_sent")).select("key")
-    left = met.join(kept, "key", "left_semi")
+    counts = met.groupBy("key", "node").agg(F.count(F.lit(1)).alias("n"))
+    kept = counts.join(nodes.select("node", "size"), "node").join(special, "key", "left").withColumn("need", F.when(F.col("all_sent"), 1).otherwise(need)).where("n >= need").select("key", (F.col("n") - F.col("need") + 1).alias("keep"))
     by_sig = W.partitionBy("sig")
+    order = F.row_number().over(W.partitionBy("key").orderBy("among", "sig"))
+    left = met.withColumn("among", F.count(F.lit(1)).over(by_sig)).join(kept, "key").withColumn("place", order).where("place <= keep")
     return left.withColumns({"lo": F.min("node").over(by_sig), "hi": F.max("node").over(by_sig)}).where("lo <> hi").select("sig", "key", "node")
 
 
