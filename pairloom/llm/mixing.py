@@ -34,6 +34,13 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import stored, unit_hash
 
 CELLS = 4096
+#: Side tables have a row for each source; up to so many they are broadcast, beyond it they are joined by Spark's own choice.
+BROADCAST_SOURCES = 100_000
+
+
+def _per_source(df: DataFrame, sources: int) -> DataFrame:
+    """``df``, a row for each source, marked for broadcast if the number of sources, which was counted, allows it."""
+    return F.broadcast(df) if sources <= BROADCAST_SOURCES else df
 
 
 def word_count(text: Column) -> Column:
@@ -81,7 +88,8 @@ def mix_sources(
         .withColumn("due", F.col("target") - F.col("whole") * F.col("source_size"))
         .select("source", "source_size", "target", "whole", "due", "root_words")
     )
-    t = targets.withColumnRenamed("source", "t_source")
+    sources = targets.count()
+    t = _per_source(targets.withColumnRenamed("source", "t_source"), sources)
     pi = F.least(F.lit(0.999), F.greatest(F.lit(1e-9), F.col("due") * F.sqrt("size") / F.col("root_words")))
     u = unit_hash(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("size"))
     ranked = slim.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
@@ -93,10 +101,10 @@ def mix_sources(
 
     cut = _boundary(ranked.where("rank is not null"), ["source"], "cell", "due")
     cut = cut.withColumnsRenamed({"source": "c_source", "at": "cut_cell", "due_in": "cut_due"})
-    ranked = ranked.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
+    ranked = ranked.join(_per_source(cut, sources), F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
     inside = ranked.where(F.col("cell") == F.col("cut_cell"))
     fine = _boundary(inside, ["source"], "fine", "cut_due").withColumnsRenamed({"source": "f_source", "at": "cut_fine", "due_in": "fine_due"})
-    ranked = ranked.join(fine, F.col("source").eqNullSafe(F.col("f_source")), "left").drop("f_source")
+    ranked = ranked.join(_per_source(fine, sources), F.col("source").eqNullSafe(F.col("f_source")), "left").drop("f_source")
 
     last = (F.col("cell") == F.col("cut_cell")) & (F.col("fine") == F.col("cut_fine"))
     run = F.sum("size").over(W.partitionBy("source").orderBy("rank", "doc_id"))
@@ -109,7 +117,7 @@ def mix_sources(
     drawn = stored(rest.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", "whole", "due", "rank", F.col("in").cast("int").alias("in")))
 
     for turn in range(2):
-        drawn = _top_up(drawn, seed + turn)
+        drawn = _top_up(drawn, seed + turn, sources)
     copies = F.col("whole").cast("long") + F.col("in")
     return drawn.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
@@ -123,12 +131,12 @@ def _boundary(rows: DataFrame, keys: list[str], cell: str, due: str) -> DataFram
     return first.select(*keys, F.col(f"x.{cell}").alias("at"), F.col("x.due_in").alias("due_in"))
 
 
-def _top_up(drawn: DataFrame, seed: int) -> DataFrame:
+def _top_up(drawn: DataFrame, seed: int, sources: int) -> DataFrame:
     """Adds in each source the largest document left out that fits the words still due."""
     gaps = drawn.groupBy("source").agg((F.max("due") - F.sum(F.col("in") * F.col("size"))).alias("gap")).withColumnRenamed("source", "g_source")
-    left = drawn.where((F.col("in") == 0) & F.col("rank").isNotNull()).join(gaps, F.col("source").eqNullSafe(F.col("g_source"))).where(F.col("size") <= F.col("gap"))
+    left = drawn.where((F.col("in") == 0) & F.col("rank").isNotNull()).join(_per_source(gaps, sources), F.col("source").eqNullSafe(F.col("g_source"))).where(F.col("size") <= F.col("gap"))
     best = left.groupBy(F.col("source").alias("b_source")).agg(F.max(F.struct("size", F.xxhash64(F.lit(seed), "doc_id").alias("tie"), F.col("doc_id").alias("id"))).alias("best"))
-    joined = drawn.join(best, F.col("source").eqNullSafe(F.col("b_source")), "left")
+    joined = drawn.join(_per_source(best, sources), F.col("source").eqNullSafe(F.col("b_source")), "left")
     hit = F.coalesce((F.col("in") == 0) & F.col("rank").isNotNull() & F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("size") == F.col("best.size")), F.lit(False))
     return stored(joined.withColumn("in", F.when(hit, 1).otherwise(F.col("in"))).drop("b_source", "best"))
 
