@@ -417,7 +417,7 @@ FULL = eval_base() + OBS[1] + MOM.format(k=1) + SK.format(k=1) + OBS[2] + MOM.fo
 
 
 def _block_sql(k: int, i: int) -> str:
-    return f', fb{i} AS (SELECT "left", "right", ({BIN}) AS mb, n, round({KURT}, 3) AS kurt, round({SKEW}, 3) AS skew, round({ENT}, 4) AS entropy FROM sk{k})'
+    return f', fb{i} AS (SELECT "left", "right", ({BIN}) AS mb, n, round(({KURT})::FLOAT::DOUBLE, 3) AS kurt, round(({SKEW})::FLOAT::DOUBLE, 3) AS skew, round(({ENT})::FLOAT::DOUBLE, 4) AS entropy FROM sk{k})'
 
 
 def _feature_select(i: int) -> str:
