@@ -128,9 +128,13 @@ class Scorer:
 
 def train_language_model(labelled: DataFrame, per_lang: int = 500, max_words: int = 20_000, max_grams: int = 5_000, max_langs: int = 200) -> LanguageModel:
     """From rows (text, lang) with neither null."""
-    order = F.xxhash64("text")
+    hashed = labelled.withColumn("h", F.xxhash64("text"))
     common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).drop("count")
-    sample = labelled.join(F.broadcast(common), "lang").withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(order, "text"))).where(F.col("k") <= per_lang).select("text", "lang")
+    # hashes are put in order first, so that of the texts only the sample moves; copies count once
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    cut = hashed.select("lang", "h").distinct().withColumn("k", place).where(F.col("k") <= per_lang).groupBy("lang").agg(F.max("h").alias("cut"))
+    cut = F.broadcast(cut.join(F.broadcast(common), "lang"))  # at most max_langs rows
+    sample = hashed.join(cut, "lang").where("h <= cut").groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
     counts = sample.mapInPandas(_count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     place = F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
     total = F.sum("c").over(W.partitionBy("lang", "n"))
