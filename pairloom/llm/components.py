@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import stored
@@ -23,15 +23,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: every larger neighbour of u (and u) hangs on the least of u's neighbourhood
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).select("c", F.least("c", "m").alias("m"))
-        large = now.join(least, F.col("u") == F.col("c")).select("v", F.col("m").alias("u")).where("v <> u").distinct()
+        large = now.join(least, F.col("u") == F.col("c")).select("v", F.col("m").alias("u")).where("v <> u")
         large = stored(large.unionByName(least.where("c <> m").select(F.col("c").alias("v"), F.col("m").alias("u"))).distinct())
         # small star: u's smaller neighbours hang on the least of them
         low = large.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("m"))
         small = large.join(low, F.col("v") == F.col("c")).select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u")
-        now = stored(small.unionByName(low.select(F.col("c").alias("v"), F.col("m").alias("u"))).distinct())
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        state = Observation()
+        found = small.unionByName(low.select(F.col("c").alias("v"), F.col("m").alias("u"))).distinct()
+        now = stored(found.observe(state, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")))
+        if state.get == before:
             break
-        before = tuple(state)
+        before = state.get
     roots = now.select(F.col("u").alias("node")).distinct()
     return now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -22,8 +22,9 @@ Any order gives the same result; this one only saves work.
 A set with too few non-empty partitions for this sends all its signatures and one that all such
 sets of the band share, which keeps the join exact.
 
-Pairs are compared along leaders, not all with all: in a bucket (the sets that share a signature) the
-first 1, 5, 21, ... sets in hash order are each compared with the later members of other
+Pairs are compared along leaders, not all with all.  To begin with, each set tries one leader (the
+first in hash order, then one of the first nine) of its buckets (the sets that share a signature), the one it
+shares most of them with; then the first 1, 9, 73, ... sets of a bucket are each compared with the later members of other
 components, and a bucket is done once its rest is one component.  Near copies
 by the thousand thus cost a few comparisons each, and no link between
 components is lost.
@@ -35,11 +36,12 @@ of the set (and elements are 64-bit hashes of shingles).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -153,9 +155,27 @@ def _sent(docs: DataFrame, text_col: str, width: int, threshold: float, frequent
     return docs.select(F.col(text_col).cast("binary").alias("text")).mapInPandas(send, "sig long, key long")
 
 
+def _place(number: Column | str) -> Column:
+    """Where a bitmap holds ``number``."""
+    return F.pmod(F.xxhash64(number), F.lit(1 << BITMAP_BITS))
+
+
+def _holds(bitmap: np.ndarray, spark: SparkSession) -> Callable[[Column], Column]:
+    """Whether the bitmap holds a place."""
+    bits = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def held(at: pd.Series) -> pd.Series:
+        at = at.to_numpy(dtype=np.int64)
+        return pd.Series((bits.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    # else the optimiser would also ask it of whatever the filtered column is joined with
+    return held.asNondeterministic()
+
+
 def _bitmap(ids: DataFrame) -> np.ndarray:
     """A bitmap of hashed ids, 2 MB whatever their number: no id is missed, and few others pass while it is sparse."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS))
+    at = _place("doc_id")
     words = ids.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << BITMAP_BITS}) & 63 as int))")).alias("b"))
     got = words.toPandas()
     out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.int64)
@@ -176,7 +196,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width:
                 found = shingles(block, width)
                 yield pd.DataFrame({"node": [digest(h) for h in found], "set": [h.view(np.int64) for h in found]})
 
-    at = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << BITMAP_BITS)).alias("at")
+    at = _place(F.col(id_col).cast("long")).alias("at")
     read = docs.select(at, F.col(text_col).cast("binary").alias("text")).mapInPandas(again, "node long, set array<long>")
     return read.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
 
@@ -190,46 +210,58 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.75, width: int = 5,
     """
     slim = stored(_slim(docs, id_col, text_col, width))
     nodes = stored(slim.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size")))
-    links = _links(docs, nodes, threshold, width, id_col, text_col)
-    comp = connected_components(links)
+    comp = _linked(docs, nodes, threshold, width, id_col, text_col)
     named = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     names = stored(named.join(least, "component").select("node", "component_id"))
     return slim.join(names, "node", "left").select("doc_id", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _links(docs: DataFrame, nodes: DataFrame, threshold: float, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Verified links (a, b) that connect what the threshold connects."""
+def _linked(docs: DataFrame, nodes: DataFrame, threshold: float, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, component) of every node that shares signatures enough with another."""
     by_sig = W.partitionBy("sig")
-    sent = _sent(docs, text_col, width, threshold, _frequent(docs, text_col, width, threshold)).withColumn("node", F.shiftright("key", 1))
-    met = sent.withColumns({"lo": F.min("node").over(by_sig), "hi": F.max("node").over(by_sig)}).where("lo <> hi").select("sig", "key", "node").distinct()
-    met = stored(met)
-    met = stored(_with_enough(met, nodes, threshold))
-    place = F.row_number().over(W.partitionBy("sig").orderBy(F.xxhash64("node"), "node"))
-    met = stored(met.select("sig", "node").distinct().withColumn("place", place))
-    alive = met.select("node").distinct()
-    sets = stored(_sets(docs, nodes.join(alive, "node", "left_semi"), id_col, text_col, width))
-    sizes = nodes.select("node", "size")
-
-    spark = docs.sparkSession
-    links = failed = spark.createDataFrame([], "a long, b long")
-    comp = None
-    lo, hi = 0, 1
-    while True:
-        now = met.where(F.col("place") > lo)
-        now = (now.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")) if comp is not None else now.withColumn("component", F.col("node")))
+    sent = _sent(docs, text_col, width, threshold, _frequent(docs, text_col, width, threshold))
+    # keys order as their nodes do, so only two numbers a signature are moved
+    ends = sent.withColumns({"lo": F.min("key").over(by_sig), "hi": F.max("key").over(by_sig)}).where("shiftright(lo, 1) <> shiftright(hi, 1)")
+    met = stored(ends.select("sig", "key").distinct()).withColumn("node", F.shiftright("key", 1))
+    place = F.row_number().over(by_sig.orderBy(F.xxhash64("node"), "node"))
+    met = stored(_with_enough(met, nodes, threshold).select("sig", "node").distinct().withColumn("place", place))
+    comp = stored(met.select("node").distinct().join(nodes.select("node", "size"), "node").withColumn("component", F.col("node")))
+    sets = stored(_sets(docs, nodes.join(comp.select("node"), "node", "left_semi"), id_col, text_col, width))
+    percent = round(100 * threshold)
+
+    tried = []
+    for lo, hi, one in _rounds():
+        now = met.where(F.col("place") > lo).join(comp, "node")
         open_sigs = now.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("sig")
         now = stored(now.join(open_sigs, "sig", "left_semi"))
         if now.isEmpty():
-            return links
-        lead = now.where(F.col("place") <= hi).select("sig", F.col("node").alias("b"), F.col("place").alias("b_place"), F.col("component").alias("b_comp"))
-        pairs = now.join(lead, "sig").where((F.col("place") > F.col("b_place")) & (F.col("component") != F.col("b_comp"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        pairs = pairs.join(failed, ["a", "b"], "left_anti")
-        tried = stored(_verified(pairs, sets, sizes, threshold))
-        links = stored(links.unionByName(tried.where("linked").select("a", "b")))
-        failed = stored(failed.unionByName(tried.where("not linked").select("a", "b")))
-        comp = stored(connected_components(links))
-        lo, hi = hi, 4 * hi + 1
+            break
+        met = now.select("sig", "node", "place")  # a bucket that is done stays done
+        lead = now.where(F.col("place") <= hi).select("sig", *(F.col(c).alias(f"b_{c}") for c in ("node", "place", "size", "component")))
+        pairs = now.join(lead, "sig").where((F.col("place") > F.col("b_place")) & (F.col("component") != F.col("b_component")))
+        pairs = pairs.where(F.least("size", "b_size") * 100 >= F.greatest("size", "b_size") * percent)
+        pairs = pairs.groupBy("node", "b_node", "size", "b_size", "component", "b_component").agg(F.count(F.lit(1)).alias("n"))
+        if tried:  # a pair of one component is not met again, so all these were no links; the later in hash order is always ``node``
+            pairs = pairs.join(reduce(DataFrame.unionByName, tried).select("node", "b_node"), ["node", "b_node"], "left_anti")
+        if one:  # each set only tries the leader with which it shares most
+            best = F.max(F.struct("n", "b_node", "size", "b_size", "component", "b_component")).alias("best")
+            pairs = pairs.groupBy("node").agg(best).select("node", "best.*")
+        tried.append(stored(pairs.drop("n")))
+        linked = _verified(tried[-1], sets, percent)
+        merged = connected_components(linked.select(F.col("component").alias("a"), F.col("b_component").alias("b")))
+        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+        comp = stored(comp.join(merged, "component", "left").select("node", "size", F.coalesce("into", "component").alias("component")))
+    return comp.select("node", "component")
+
+
+def _rounds() -> Iterator[tuple[int, int, bool]]:
+    """Leaders of a round: places over the first number, up to the second; whether a set tries only one of them."""
+    yield from ((0, 1, True), (0, 9, True))
+    lo, hi = 0, 1
+    while True:
+        yield lo, hi, False
+        lo, hi = hi, 8 * hi + 1
 
 
 def _with_enough(met: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -245,15 +277,13 @@ def _with_enough(met: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return left.withColumns({"lo": F.min("node").over(by_sig), "hi": F.max("node").over(by_sig)}).where("lo <> hi").select("sig", "key", "node")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """``pairs`` with whether 100 times the intersection reaches 100 * threshold times the union."""
-    percent = round(100 * threshold)
-    sized = pairs.join(sizes.toDF("a", "a_size"), "a").join(sizes.toDF("b", "b_size"), "b")
-    near = (F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent)
-    both = sized.where(near).join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    done = both.select("a", "b", (common * 100 >= (F.col("a_size") + F.col("b_size") - common) * percent).alias("linked"))
-    return done.unionByName(sized.where(~near).select("a", "b", F.lit(False).alias("linked")))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (node, b_node, their sizes, more) of which 100 times the intersection reaches ``percent`` times the union."""
+    ends = pairs.select(F.col("node").alias("doc_id")).unionByName(pairs.select(F.col("b_node").alias("doc_id")))
+    sets = sets.where(_holds(_bitmap(ends), pairs.sparkSession)(_place("node")))  # few in later rounds: only these move
+    both = pairs.join(sets, "node").join(sets.toDF("b_node", "b_set"), "b_node")
+    common = F.size(F.array_intersect("set", "b_set"))
+    return both.where(common * 100 >= (F.col("size") + F.col("b_size") - common) * percent)
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,15 +296,8 @@ def keep_one(docs: DataFrame, threshold: float = 0.75, width: int = 5, id_col: s
     found = stored(jaccard_components(docs, threshold, width, id_col, text_col).select("doc_id", (F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()) | (F.col("n_shingles") == 0)).alias("stays")))
     per = found.groupBy("doc_id").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
     doubtful = stored(per.where(~F.col("stays") | (F.col("n") > 1) | F.col("doc_id").isNull()))
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(doubtful))
-
-    @F.pandas_udf("boolean")
-    def held(at: pd.Series) -> pd.Series:
-        at = at.to_numpy(dtype=np.int64)
-        return pd.Series((bits.value[at >> 6] >> (at & 63)) & 1 == 1)
-
     key = F.col(id_col).cast("long")
-    marked = docs.withColumn("_held", held(F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS))))
+    marked = docs.withColumn("_held", _holds(_bitmap(doubtful), docs.sparkSession)(_place(key)))
     passed = marked.where(~F.col("_held")).drop("_held")
     rest = marked.where("_held").drop("_held")
     out = doubtful.where("not stays").select(F.col("doc_id").alias("_out"))
