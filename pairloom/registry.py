@@ -2,6 +2,8 @@
 
 The graph is the distinct (o_custkey, l_partkey) of orders and lineitem; the
 thin graph has only lines of quantity 41 and more.  Doubles are rounded to six digits.
+Queries whose SQL is written for the thin graph stay with it; each has a twin
+``*_whole`` that runs the same operator on the whole graph.
 """
 
 from __future__ import annotations
@@ -141,8 +143,8 @@ def right_degrees(spark, sf):
     return graph.node_degrees(raw_edges(spark, sf), "right")
 
 
-def _core_sql(k: int, rounds: int) -> str:
-    sql, last = base(True), "e"
+def _core_sql(k: int, rounds: int, thin: bool = True) -> str:
+    sql, last = base(thin), "e"
     for i in range(rounds):
         sql += f', k{i} AS MATERIALIZED (SELECT "left", "right" FROM {last} WHERE "left" IN (SELECT "left" FROM {last} GROUP BY 1 HAVING count(*) >= {k}) AND "right" IN (SELECT "right" FROM {last} GROUP BY 1 HAVING count(*) >= {k}))'
         last = f"k{i}"
@@ -154,6 +156,11 @@ def k_core_4(spark, sf):
     return graph.k_core(edges_of(spark, sf, True), 4)
 
 
+@query(_core_sql(4, 14, False))
+def k_core_4_whole(spark, sf):
+    return graph.k_core(edges_of(spark, sf), 4)
+
+
 @query(base() + ' SELECT "left" AS node, string_agg("right"::VARCHAR, \',\' ORDER BY "right") AS neighbours FROM e GROUP BY 1')
 def adjacency_left(spark, sf):
     return graph.adjacency(edges_of(spark, sf)).withColumn("neighbours", F.array_join(F.col("neighbours").cast("array<string>"), ","))
@@ -275,26 +282,42 @@ def pair_splits(spark, sf):
     return _splits(spark, sf)
 
 
-@query(
-    base(True, SPLIT + negatives_sql("(SELECT 2 * count(*) FROM e)")) + SPLITS + f""", ng AS (SELECT "left", "right", row_number() OVER (ORDER BY {key(2, '"left"', '"right"')}) AS k FROM sp WHERE split = 'negative'),
+def _split_counts_sql(thin: bool) -> str:
+    return (
+        base(thin, SPLIT + negatives_sql("(SELECT 2 * count(*) FROM e)")) + SPLITS + f""", ng AS (SELECT "left", "right", row_number() OVER (ORDER BY {key(2, '"left"', '"right"')}) AS k FROM sp WHERE split = 'negative'),
 pt AS (SELECT CASE WHEN split = 'train_pos' THEN 'train' ELSE 'test' END AS part, CASE WHEN split = 'negative' THEN 0 ELSE 1 END AS label FROM sp WHERE split <> 'negative'
 UNION ALL SELECT CASE WHEN k <= (SELECT count(*) FROM tr) THEN 'train' ELSE 'test' END, 0 FROM ng) SELECT part, label, count(*) AS n FROM pt GROUP BY 1, 2"""
-)
-def model_split_counts(spark, sf):
-    edges = stored(edges_of(spark, sf, True))
+    )
+
+
+def _split_counts(spark, sf, thin):
+    edges = stored(edges_of(spark, sf, thin))
     train, test = (stored(d) for d in sampling.holdout_per_left(edges, 0.2, 1))
     targets = edges.unionByName(sampling.sample_negatives_uniform(edges, 2 * edges.count(), 1))
     parts = sampling.split_train_test_negatives(stored(sampling.assign_splits(targets, train, test)), 1, 2)
     return parts.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    base(True, SPLIT + negatives_sql("(SELECT 12 * count(*) FROM te)"))
-    + "".join([', lab AS (SELECT "left", "right", 1 AS label FROM te UNION ALL SELECT "left", "right", 0 FROM neg)'] + [f', r{r} AS (SELECT {r} AS ratio, "left", "right", row_number() OVER (ORDER BY {key(4, str(r), chr(34) + "left" + chr(34), chr(34) + "right" + chr(34))}, "left", "right") AS k FROM lab WHERE label = 0)' for r in (1, 10)])
-    + ' SELECT ratio, "left", "right", 0 AS label FROM r1 WHERE k <= (SELECT count(*) FROM te) UNION ALL SELECT ratio, "left", "right", 0 FROM r10 WHERE k <= 10 * (SELECT count(*) FROM te) UNION ALL SELECT ratio, "left", "right", 1 FROM te, (SELECT unnest([1, 10])::INT AS ratio)'
-)
-def ratio_samples(spark, sf):
-    edges = stored(edges_of(spark, sf, True))
+@query(_split_counts_sql(True))
+def model_split_counts(spark, sf):
+    return _split_counts(spark, sf, True)
+
+
+@query(_split_counts_sql(False))
+def model_split_counts_whole(spark, sf):
+    return _split_counts(spark, sf, False)
+
+
+def _ratio_samples_sql(thin: bool) -> str:
+    return (
+        base(thin, SPLIT + negatives_sql("(SELECT 12 * count(*) FROM te)"))
+        + "".join([', lab AS (SELECT "left", "right", 1 AS label FROM te UNION ALL SELECT "left", "right", 0 FROM neg)'] + [f', r{r} AS (SELECT {r} AS ratio, "left", "right", row_number() OVER (ORDER BY {key(4, str(r), chr(34) + "left" + chr(34), chr(34) + "right" + chr(34))}, "left", "right") AS k FROM lab WHERE label = 0)' for r in (1, 10)])
+        + ' SELECT ratio, "left", "right", 0 AS label FROM r1 WHERE k <= (SELECT count(*) FROM te) UNION ALL SELECT ratio, "left", "right", 0 FROM r10 WHERE k <= 10 * (SELECT count(*) FROM te) UNION ALL SELECT ratio, "left", "right", 1 FROM te, (SELECT unnest([1, 10])::INT AS ratio)'
+    )
+
+
+def _ratio_samples(spark, sf, thin):
+    edges = stored(edges_of(spark, sf, thin))
     _, test = sampling.holdout_per_left(edges, 0.2, 1)
     test = stored(test)
     labelled = stored(graph.union_pairs(test, sampling.sample_negatives_uniform(edges, 12 * test.count(), 1)))
@@ -302,6 +325,16 @@ def ratio_samples(spark, sf):
     return one.unionByName(ten).select("ratio", "left", "right", "label")
 
 
+@query(_ratio_samples_sql(True))
+def ratio_samples(spark, sf):
+    return _ratio_samples(spark, sf, True)
+
+
+@query(_ratio_samples_sql(False))
+def ratio_samples_whole(spark, sf):
+    return _ratio_samples(spark, sf, False)
+
+
 # ---- co-occurrence
 
 
@@ -351,6 +384,11 @@ def csgr_observations_k2(spark, sf):
     return _shown(_obs(spark, sf, 2))
 
 
+def _k3(spark, sf, thin):
+    edges = stored(edges_of(spark, sf, thin))
+    return rounded(cooc.observation_moments(cooc.observations(edges, edges, 3)).select("left", "right", "n", "s1"), "s1")
+
+
 @query(
     base(True) + CO.format(t="e") + f""", t3 AS (SELECT a."left", a."right" AS s1, b."right" AS s2, c."right" AS s3 FROM e a JOIN e b ON a."left" = b."left" AND a."right" < b."right" JOIN e c ON a."left" = c."left" AND b."right" < c."right"),
 sup AS (SELECT s1, s2, s3, count(*) AS n, list("left") AS who FROM t3 GROUP BY 1, 2, 3), wl AS (SELECT s1, s2, s3, n, unnest(who) AS w FROM sup),
@@ -358,8 +396,13 @@ c3 AS (SELECT t3."left", e2."right", t3.s1, t3.s2, t3.s3, any_value(wl.n) AS n,
 SELECT "left", "right", count(*) AS n, round(sum(x::DOUBLE), 6) AS s1 FROM (SELECT c3."left", c3."right", {X} AS x FROM c3 JOIN ld du ON du."left" = c3."left" JOIN rd dv ON dv."right" = c3."right") WHERE x > 1e-8 GROUP BY 1, 2"""
 )
 def csgr_observations_k3(spark, sf):
-    edges = stored(edges_of(spark, sf, True))
-    return rounded(cooc.observation_moments(cooc.observations(edges, edges, 3)).select("left", "right", "n", "s1"), "s1")
+    return _k3(spark, sf, True)
+
+
+@query()
+def csgr_observations_k3_whole(spark, sf):
+    """No SQL: it would hold a row for each target and triple of neighbours."""
+    return _k3(spark, sf, False)
 
 
 MOM = ', mo{k} AS (SELECT *, max(n) OVER (PARTITION BY "left") AS n_left FROM (SELECT "left", "right", count(*) AS n, sum(x::DOUBLE) AS s1, sum(x::DOUBLE * x::DOUBLE) AS s2, sum(x::DOUBLE * x::DOUBLE * x::DOUBLE) AS s3, sum(x::DOUBLE * x::DOUBLE * x::DOUBLE * x::DOUBLE) AS s4, sum(-x::DOUBLE * ln(x::DOUBLE)) AS raw_entropy FROM ob{k} GROUP BY 1, 2))'
@@ -489,12 +532,24 @@ def graph_distance_3(spark, sf):
     return rounded(paths.graph_distance(train, 3, pairs=pairs), "score")
 
 
+@query(eval_base() + _distance_sql(3) + ' SELECT "left", "right", score FROM gd')
+def graph_distance_3_whole(spark, sf):
+    train, _, pairs = pairs_of(spark, sf)
+    return rounded(paths.graph_distance(train, 3, pairs=pairs), "score")
+
+
 @query(eval_base(True) + _distance_sql(5) + ' SELECT "left", "right", score FROM gd')
 def graph_distance_5(spark, sf):
     train, _, pairs = pairs_of(spark, sf, True)
     return rounded(paths.graph_distance(train, 5, pairs=pairs), "score")
 
 
+@query(eval_base() + _distance_sql(5) + ' SELECT "left", "right", score FROM gd')
+def graph_distance_5_whole(spark, sf):
+    train, _, pairs = pairs_of(spark, sf)
+    return rounded(paths.graph_distance(train, 5, pairs=pairs), "score")
+
+
 def _l3_sql(factor: str) -> str:
     return f', w AS (SELECT tr."left", tr."right", 1 / sqrt({factor} * rd.d * ld.d) AS w FROM tr JOIN (SELECT "right", count(*) AS d FROM tr GROUP BY 1) rd USING ("right") JOIN (SELECT "left", count(*) AS d FROM tr GROUP BY 1) ld USING ("left")), l3 AS (SELECT p."left", p."right", sum(y.w) AS score FROM pairs p JOIN tr x ON x."left" = p."left" JOIN w y ON y."right" = x."right" JOIN tr z ON z."left" = y."left" AND z."right" = p."right" WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr."left" = p."left" AND tr."right" = p."right") GROUP BY 1, 2)'
 
@@ -547,7 +602,7 @@ def neighbor_mean(spark, sf):
 
 @query()
 def edge_embeddings(spark, sf):
-    return embed.train_edge_embeddings(graph.offset_right_ids(edges_of(spark, sf, True)), dim=8, epochs=3, seed=1)
+    return embed.train_edge_embeddings(graph.offset_right_ids(edges_of(spark, sf)), dim=8, epochs=3, seed=1)
 
 
 @query()
@@ -558,7 +613,7 @@ def sage_forward(spark, sf):
 
 @query()
 def sage_embeddings(spark, sf):
-    return embed.train_sage(graph.offset_right_ids(edges_of(spark, sf, True)), d_hidden=8, d_out=4, epochs=2, seed=1)
+    return embed.train_sage(graph.offset_right_ids(edges_of(spark, sf)), d_hidden=8, d_out=4, epochs=2, seed=1)
 
 
 # ---- evaluation, model, jobs
@@ -603,10 +658,10 @@ def evaluation_report(spark, sf):
 SCORED = KATZ + _l3_sql("2.0") + _distance_sql(5) + EVAL + "".join(f', a_{s} AS (SELECT ev."left", ev."right", label, coalesce(q.score, 0)::FLOAT AS score FROM ev LEFT JOIN {s} q ON q."left" = ev."left" AND q."right" = ev."right")' for s in ("kz", "l3", "gd"))
 
 
-def _report_sql() -> str:
+def _report_sql(thin: bool = True) -> str:
     one = lambda s: METRIC.format(src=f"s_{s}").replace("st AS", f"st_{s} AS").replace("FROM st)", f"FROM st_{s})").replace("ru AS", f"ru_{s} AS").replace("FROM ru ", f"FROM ru_{s} ").replace("me AS", f"me_{s} AS")
     names = {"kz": "katz", "gd": "graph_distance", "l3": "l3"}
-    sql = eval_base(True) + SCORED + "".join(f", s_{s} AS (SELECT 1 AS ratio, label, score FROM a_{s})" + one(s) for s in names)
+    sql = eval_base(thin) + SCORED + "".join(f", s_{s} AS (SELECT 1 AS ratio, label, score FROM a_{s})" + one(s) for s in names)
     return sql + " " + " UNION ALL ".join(f"SELECT '{n}' AS model, ratio, round(auroc, 4) AS auroc, round(aupr, 4) AS aupr, n_samples FROM me_{s}" for s, n in names.items())
 
 
@@ -617,9 +672,16 @@ def baseline_report(spark, sf):
     return jobs.run_baselines(jobs.Split(train, test, pairs), ratios=(1,))
 
 
+@query(_report_sql(False))
+def baseline_report_whole(spark, sf):
+    """The baseline report on the whole graph."""
+    train, test, pairs = pairs_of(spark, sf)
+    return jobs.run_baselines(jobs.Split(train, test, pairs), ratios=(1,))
+
+
 @query()
 def gbt_scores(spark, sf):
-    train, test, pairs = pairs_of(spark, sf, True)
+    train, test, pairs = pairs_of(spark, sf)
     rows = stored(cooc.feature_matrix(train, pairs).join(sampling.build_eval_pairs(pairs, train, test), ["left", "right"]))
     model = train_link_classifier(rows, cooc.feature_subsets()["Full"], rounds=5)
     return predict_links(model, rows).select("left", "right", "label", "score")
@@ -627,7 +689,7 @@ def gbt_scores(spark, sf):
 
 @query()
 def feature_experiment(spark, sf):
-    train, test, _ = pairs_of(spark, sf, True)
+    train, test, _ = pairs_of(spark, sf)
     edges = train.unionByName(test)
     negatives = sampling.sample_negatives_by_degree(stored(edges), 2 * edges.count(), 1)
     split = jobs.Split(train, test, stored(edges.unionByName(negatives)))
