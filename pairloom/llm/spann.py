@@ -154,7 +154,8 @@ def nearest(
     """
     spark = vectors.sparkSession
     take = lambda df, flag: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vec"), F.lit(flag).alias("is_query")).where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
-    both = stored(padded(take(vectors, False).unionByName(take(queries, True)), "vec"))
+    # rows that repeat an id and its vector go before any list is cut to its best
+    both = stored(padded(take(vectors, False).dropDuplicates(["vec_id", "vec"]).unionByName(take(queries, True)), "vec"))
     rows, asked = both.where("not is_query"), both.where("is_query")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     n, largest = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
@@ -223,11 +224,13 @@ def nearest(
             at = np.flatnonzero(of == j)
             if not len(at):
                 continue
+            first = np.unique(pid[at], return_index=True)[1]  # rows are in order of their ids
             for lo in range(0, len(who), 512):
                 some_ = np.array(who[lo : lo + 512])
                 s = qv[some_] @ pv[at].T
                 s[qid[some_][:, None] == pid[at][None, :]] = -np.inf
-                kth = np.partition(s, len(at) - k, axis=1)[:, len(at) - k] if len(at) > k else np.full(len(some_), -np.inf)
+                each = np.maximum.reduceat(s, first, axis=1)  # an id of several vectors counts once, by its best
+                kth = np.partition(each, len(first) - k, axis=1)[:, len(first) - k] if len(first) > k else np.full(len(some_), -np.inf)
                 keep = s >= (kth - 1e-9 * (1 + np.abs(np.where(np.isfinite(kth), kth, 0.0))))[:, None]
                 for r, i in enumerate(some_):
                     found[i].append(at[keep[r] & np.isfinite(s[r])])
@@ -236,9 +239,10 @@ def nearest(
             if not got:
                 continue
             at = np.concatenate(got)
-            at = at[np.unique(pid[at], return_index=True)[1]] if len(np.unique(pid[at])) < len(at) else at
             s = np.einsum("ij,j->i", pv[at], qv[i])
-            top = np.lexsort((pid[at], -s))[:k]
+            order = np.lexsort((pid[at], -s))
+            at, s = at[order], s[order]
+            top = np.sort(np.unique(pid[at], return_index=True)[1])[:k]
             ids.append(np.full(len(top), qid[i]))
             vs.append(pid[at][top])
             ss.append(s[top])

@@ -78,3 +78,22 @@ def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "vec_id long, embedding array<double>")
     got = nearest(df, df.where("vec_id = 0"), 20).collect()
     assert sorted((r.rank, r.vec_id) for r in got) == [(i, i) for i in range(1, 5)]
+
+
+def test_repeated_rows_take_no_places(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 8))
+    df = frame(spark, range(60), x)
+    many = df.crossJoin(spark.range(25)).select("vec_id", "embedding")
+    got = {(r.query_id, r.rank, r.vec_id) for r in nearest(many, df.where("vec_id < 5"), 20, max_lists=1).collect()}
+    for q in range(5):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert [v for _, _, v in sorted(g for g in got if g[0] == q)] == np.lexsort((np.arange(60), -s))[:20].tolist()
+
+
+def test_an_id_of_several_vectors_counts_by_its_best(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [10.0 + j, 0.0]) for j in range(30)] + [(i, [float(i) / 10, 1.0]) for i in range(2, 25)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.rank, r.vec_id, r.score) for r in nearest(df, df.where("vec_id = 0"), 20, max_lists=1).collect())
+    assert [v for _, v, _ in got] == [1, *range(24, 5, -1)] and got[0][2] == 39.0
