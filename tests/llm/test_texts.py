@@ -253,3 +253,21 @@ def test_base_spans_and_redaction(spark, docs, empty):
     assert got[5].n_added >= 1 and got[5].spans.endswith(f"phone:{len('n 5 ' + text) + 5}:{len('n 5 ' + text) + 19}")
     assert pii.train_spans(empty).spans("nothing +1 (017) 555-7713")[0]
     assert docs.select(pii.redact(docs, model).alias("t")).count() == docs.count()
+
+
+def test_every_kind_keeps_its_share_of_the_examples(spark, monkeypatch):
+    mails = " ".join(f"user{j}@mail{j}.org" for j in range(6))
+    df = spark.createDataFrame([(i, f"{i} {mails} mail a{i}@b.org tel (017) 555-{1000 + i} call +1 (017) 555-{2000 + i}") for i in range(200)], "doc_id long, text string")
+    seen = {}
+
+    def fit(self, x, y):
+        seen["kinds"] = np.unique(x[:, 0], return_counts=True)
+        return self
+
+    monkeypatch.setattr(pii.SpanModel, "fit", fit)
+    pii.train_spans(df, max_examples=1_000_000)
+    kinds, every = seen["kinds"]
+    pii.train_spans(df, max_examples=400)
+    assert every.sum() > 400 and 3.0 in kinds and every[list(kinds).index(0.0)] > 400
+    assert seen["kinds"][0].tolist() == kinds.tolist() and seen["kinds"][1].sum() == 400
+    assert dict(zip(*seen["kinds"], strict=True))[3.0] >= 100
