@@ -4,16 +4,18 @@ Every source gets a target in words: its share of all words by weight, capped
 at ``max_repeats`` times its own words, the excess reshared by weight.  A
 source that must give ``r`` times its words allocates ``floor(r)`` whole copies
 of every document; the fraction left is an unequal-probability sample without
-replacement whose size is fixed in words.  Document *d* has inclusion
-probability ``pi_d``, in proportion to the square root of its size, and rank
+replacement whose size is fixed in words.  A document larger than the words due
+takes no part.  Document *d* has inclusion
+probability ``pi_d``, in proportion to the square root of its size; documents for which
+this is 1 or more are taken first, and the others share the words left.  The rank is
 ``(U/(1-U)) / (pi_d/(1-pi_d))`` with ``U`` a hash of its id and seed; the
 sample is the run of lowest ranks that reaches the words still due.
 
 The run is cut without sorting a source in one place: ranks are counted in a
 histogram of 4096 cells, its boundary cell in another of 4096, and only the
-documents of that last cell (a 2^-24 part of a source) are put in order.  Then
-the largest documents left out that still fit are added, twice at most, so that the words
-taken come near the target even in a source of a few documents.
+documents of that last cell (a 2^-24 part of a source) are put in order.  The
+order then goes on past the document that did not fit: the documents left out that still fit are
+run through in the same way, until none does.
 
 DataFrame functions only.
 
@@ -80,65 +82,108 @@ def mix_sources(
     """One row per document: id, source, size, source_size, target, taken (words, repeats counted) and copies."""
     slim = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
     targets = source_targets(slim, weights, max_repeats)
-    moments = slim.groupBy(F.col("source").alias("m_source")).agg(F.sum(F.sqrt("size")).alias("roots"), F.sum(F.sqrt("size") * F.col("size")).alias("root_words"))
-    # one row a source, and Catalyst decides by its size whether to broadcast it
     targets = stored(
-        targets.join(moments, F.col("source").eqNullSafe(F.col("m_source")), "left")
-        .withColumn("whole", F.floor(F.coalesce(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(0.0)) + F.lit(1e-12)))
-        .withColumn("due", F.col("target") - F.col("whole") * F.col("source_size"))
-        .select("source", "source_size", "target", "whole", "due", "root_words")
+        targets.withColumn("whole", F.floor(F.coalesce(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(0.0)) + F.lit(1e-12)))
+        .withColumn("most", F.col("target") - F.col("whole") * F.col("source_size"))
+        .select("source", "source_size", "target", "whole", "most")
     )
     sources = targets.count()
+    certain = _certain(slim, targets, sources)
+    targets = stored(
+        targets.join(certain, F.col("source").eqNullSafe(F.col("m_source")), "left")
+        .withColumn("due", F.col("most") - F.coalesce("certain_words", F.lit(0)))
+        .select("source", "source_size", "target", "whole", "most", "certain_from", "due", "root_words")
+    )
     t = _per_source(targets.withColumnRenamed("source", "t_source"), sources)
     pi = F.least(F.lit(0.999), F.greatest(F.lit(1e-9), F.col("due") * F.sqrt("size") / F.col("root_words")))
     u = unit_hash(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("size"))
     ranked = slim.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     odds = (u / (1 - u)) / (pi / (1 - pi))
+    fits = (F.col("size") > 0) & (F.col("most") >= 0.5) & (F.col("size") <= F.col("most"))
+    sure = F.coalesce(fits & (F.col("size") >= F.col("certain_from")), F.lit(False))
     # rank / (1 + rank) keeps the order and lies in (0, 1)
-    ranked = ranked.withColumn("rank", F.when((F.col("size") > 0) & (F.col("due") >= 0.5), odds / (1 + odds)))
-    cell = F.col("rank") * CELLS
-    ranked = ranked.withColumns({"cell": F.floor(cell).cast("int"), "fine": F.floor((cell - F.floor(cell)) * CELLS).cast("int")})
+    ranked = ranked.withColumns({"sure": sure, "rank": F.when(fits & ~sure, odds / (1 + odds)), "words": F.col("size")})
+    kept = ["doc_id", "source", "size", "source_size", "target", "whole", "due", "rank", "in"]
+    drawn = _run(ranked.where("rank is not null"), sources).select(*kept)
+    drawn = stored(drawn.unionByName(ranked.where("rank is null").withColumn("in", F.col("sure").cast("int")).select(*kept)))
+    drawn = _fill(drawn, sources)
+    copies = F.col("whole").cast("long") + F.col("in")
+    return drawn.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
 
-    cut = _boundary(ranked.where("rank is not null"), ["source"], "cell", "due")
-    cut = cut.withColumnsRenamed({"source": "c_source", "at": "cut_cell", "due_in": "cut_due"})
+def _certain(slim: DataFrame, targets: DataFrame, sources: int) -> DataFrame:
+    """For each source, of the documents that fit its words due: the least size taken for certain, the words of those, and the sum of size^1.5 of the others.
+
+    Sizes go from the largest down: one is certain if its share of the words left by those before is 1 or more.
+    """
+    t = _per_source(targets.select(F.col("source").alias("m_source"), "most"), sources)
+    at = slim.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")).join(t, F.col("source").eqNullSafe(F.col("m_source"))).where("size <= most")
+    down = W.partitionBy("m_source").orderBy(F.desc("size"))
+    roots = F.col("n") * F.col("size") * F.sqrt("size")
+    at = at.withColumns({
+        "left": F.col("most") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+        "roots": F.sum(roots).over(down.rowsBetween(W.currentRow, W.unboundedFollowing)),
+    }).withColumn("sure", F.col("left") * F.sqrt("size") >= F.col("roots"))
+    return at.groupBy("m_source").agg(F.min(F.when(F.col("sure"), F.col("size"))).alias("certain_from"), F.sum(F.when(F.col("sure"), F.col("n") * F.col("size"))).alias("certain_words"), F.sum(F.when(~F.col("sure"), roots)).alias("root_words"))
+
+
+def _run(rows: DataFrame, sources: int) -> DataFrame:
+    """Rows (source, doc_id, rank, words, due) with ``in``: 1 for the run of lowest ranks of a source that stays within the words due."""
+    cell = F.col("rank") * CELLS
+    ranked = rows.withColumns({"cell": F.floor(cell).cast("int"), "fine": F.floor((cell - F.floor(cell)) * CELLS).cast("int")})
+    cut = _boundary(ranked, ["source"], "cell", "due").withColumnsRenamed({"source": "c_source", "at": "cut_cell", "due_in": "cut_due"})
     ranked = ranked.join(_per_source(cut, sources), F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
     inside = ranked.where(F.col("cell") == F.col("cut_cell"))
     fine = _boundary(inside, ["source"], "fine", "cut_due").withColumnsRenamed({"source": "f_source", "at": "cut_fine", "due_in": "fine_due"})
     ranked = ranked.join(_per_source(fine, sources), F.col("source").eqNullSafe(F.col("f_source")), "left").drop("f_source")
 
     last = (F.col("cell") == F.col("cut_cell")) & (F.col("fine") == F.col("cut_fine"))
-    run = F.sum("size").over(W.partitionBy("source").orderBy("rank", "doc_id"))
+    run = F.sum("words").over(W.partitionBy("source").orderBy("rank", "doc_id"))
     edge = ranked.where(last).withColumn("in", run <= F.col("fine_due"))
     # where no cell was cut the words due cover the whole source
-    sure = F.col("rank").isNotNull() & (
-        F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell")) | ((F.col("cell") == F.col("cut_cell")) & (F.col("cut_fine").isNull() | (F.col("fine") < F.col("cut_fine"))))
-    )
-    rest = ranked.where(~F.coalesce(last, F.lit(False))).withColumn("in", sure)
-    drawn = stored(rest.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", "whole", "due", "rank", F.col("in").cast("int").alias("in")))
-
-    for turn in range(2):
-        drawn = _top_up(drawn, seed + turn, sources)
-    copies = F.col("whole").cast("long") + F.col("in")
-    return drawn.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    sure = F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell")) | ((F.col("cell") == F.col("cut_cell")) & (F.col("cut_fine").isNull() | (F.col("fine") < F.col("cut_fine"))))
+    out = ranked.where(~F.coalesce(last, F.lit(False))).withColumn("in", sure).unionByName(edge)
+    return out.withColumn("in", F.col("in").cast("int")).drop("cell", "fine", "cut_cell", "cut_due", "cut_fine", "fine_due")
 
 
 def _boundary(rows: DataFrame, keys: list[str], cell: str, due: str) -> DataFrame:
     """For each source the first cell whose documents go past the words due, and the words due inside it."""
-    cells = rows.groupBy(*keys, cell).agg(F.sum("size").alias("words"), F.max(due).alias("due"))
+    cells = rows.groupBy(*keys, cell).agg(F.sum("words").alias("words"), F.max(due).alias("due"))
     so_far = F.sum("words").over(W.partitionBy(*keys).orderBy(cell))
     over = cells.withColumn("so_far", so_far).where(F.col("so_far") > F.col("due"))
     first = over.groupBy(*keys).agg(F.min_by(F.struct(cell, (F.col("due") - F.col("so_far") + F.col("words")).alias("due_in")), cell).alias("x"))
     return first.select(*keys, F.col(f"x.{cell}").alias("at"), F.col("x.due_in").alias("due_in"))
 
 
-def _top_up(drawn: DataFrame, seed: int, sources: int) -> DataFrame:
-    """Adds in each source the largest document left out that fits the words still due."""
-    gaps = drawn.groupBy("source").agg((F.max("due") - F.sum(F.col("in") * F.col("size"))).alias("gap")).withColumnRenamed("source", "g_source")
-    left = drawn.where((F.col("in") == 0) & F.col("rank").isNotNull()).join(_per_source(gaps, sources), F.col("source").eqNullSafe(F.col("g_source"))).where(F.col("size") <= F.col("gap"))
-    best = left.groupBy(F.col("source").alias("b_source")).agg(F.max(F.struct("size", F.xxhash64(F.lit(seed), "doc_id").alias("tie"), F.col("doc_id").alias("id"))).alias("best"))
-    joined = drawn.join(_per_source(best, sources), F.col("source").eqNullSafe(F.col("b_source")), "left")
-    hit = F.coalesce((F.col("in") == 0) & F.col("rank").isNotNull() & F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("size") == F.col("best.size")), F.lit(False))
-    return stored(joined.withColumn("in", F.when(hit, 1).otherwise(F.col("in"))).drop("b_source", "best"))
+def _fill(drawn: DataFrame, sources: int) -> DataFrame:
+    """Goes on in the order past what did not fit: runs through the documents left out that still fit, until none does.
+
+    A run ends at a document that no longer fits, and its first one always fits, so every turn leaves fewer.
+    Rows of one id, source and size are one unit.
+    """
+    ranked = drawn.where("rank is not null")
+    gaps = stored(ranked.groupBy(F.col("source").alias("g_source")).agg((F.max("due") - F.sum(F.col("in") * F.col("size"))).alias("gap")))
+    units = ranked.where("in = 0").groupBy("source", "doc_id", "size").agg(F.min("rank").alias("rank"), F.sum("size").alias("words"))
+    taken = None
+    while True:
+        g = _per_source(gaps, sources)
+        open_ = stored(units.join(g, F.col("source").eqNullSafe(F.col("g_source"))).where("words <= gap").withColumnRenamed("gap", "due").drop("g_source"))
+        if open_.isEmpty():
+            break
+        turn = stored(_run(open_, sources))
+        won = turn.where("in = 1")
+        if won.isEmpty():
+            break
+        taken = won if taken is None else taken.unionByName(won)
+        more = won.groupBy(F.col("source").alias("w_source")).agg(F.sum("words").alias("more"))
+        gaps = stored(gaps.join(more, F.col("g_source").eqNullSafe(F.col("w_source")), "left").select("g_source", (F.col("gap") - F.coalesce("more", F.lit(0))).alias("gap")))
+        units = turn.where("in = 0").drop("due", "in")
+    if taken is None:
+        return drawn
+    keys = taken.select(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), F.lit(1).alias("added"))
+    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("size") == F.col("k_size"))
+    hit = F.col("rank").isNotNull() & F.col("added").isNotNull()
+    return stored(drawn.join(keys, same, "left").withColumn("in", F.when(hit, 1).otherwise(F.col("in"))).drop("k_id", "k_source", "k_size", "added"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: float = 3.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -271,3 +271,21 @@ def test_every_kind_keeps_its_share_of_the_examples(spark, monkeypatch):
     assert every.sum() > 400 and 3.0 in kinds and every[list(kinds).index(0.0)] > 400
     assert seen["kinds"][0].tolist() == kinds.tolist() and seen["kinds"][1].sum() == 400
     assert dict(zip(*seen["kinds"], strict=True))[3.0] >= 100
+
+
+def test_mix_goes_on_past_documents_that_do_not_fit(spark):
+    rows = []
+    for s in range(12):
+        words = [10] * 40 + [120, 260, 420, 700]
+        rows += [(1000 * s + i, "w " * n, f"s{s:02d}") for i, n in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in (1, 2):
+        by = {}
+        for r in mixing.mix_sources(df, seed=seed).collect():
+            t = by.setdefault(r.source, [r.target, 0, r.source_size, []])
+            t[1] += r.taken
+            t[3].append((r.size, r.copies))
+        for target, taken, size, docs_ in by.values():
+            whole = int(target / size + 1e-12)
+            left = [n for n, c in docs_ if c == whole and n > 0]
+            assert taken <= target + 1e-6 and (not left or target - taken < min(left))
