@@ -152,6 +152,18 @@ def sample_negatives_by_degree(edges: DataFrame, n: int, seed: int) -> DataFrame
     return _drawn(edges, placed.select("pos", "left"), placed.select("pos", "right"), m, m, n, seed, _non_edges(edges))
 
 
+def sample_negatives_up_to(edges: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` distinct uniform non-edges, or all if fewer exist.
+
+    Where ``n`` is over half of all, draws would repeat too often: all are listed, fewer than 2 * n, and those of the lowest hashes kept.
+    """
+    possible = _non_edges(edges)
+    if 2 * n <= possible:
+        return sample_negatives_uniform(edges, n, seed)
+    every = except_pairs(node_list(edges, "left").toDF("left").crossJoin(node_list(edges, "right").toDF("right")), edges)
+    return every if n >= possible else lowest(every, n, hash_key(seed, *KEYS), *KEYS)
+
+
 def build_eval_pairs(targets: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:
     """(left, right, label): distinct targets outside train, 1 if in test."""
     left = except_pairs(targets.select(*KEYS).distinct(), train)

@@ -56,3 +56,12 @@ def test_triples_are_observed_on_every_edge(spark, sf):
     degree = {u: sum(a == u for a, _ in e) for u, _ in e}
     got = {(r.left, r.right) for r in registry.QUERIES["csgr_observations_k3_whole"](spark, sf).collect()}
     assert got == {(u, v) for u, v in e if degree[u] >= 3}
+
+
+def test_report_makes_the_ratios_or_says_so(spark, sf):
+    e = graph(spark, sf)
+    test = registry.split_of(spark, sf)[1].count()
+    none = 24 * 30 - len(e)
+    got = {r.ratio: r for r in registry.QUERIES["evaluation_report_whole"](spark, sf).collect()}
+    assert {k: r.n_samples for k, r in got.items()} == {k: test + min(k * test, none) for k in (1, 10, 100)}
+    assert got[10].reached == 10.0 and got[100].reached == round(none / test, 4) < 100
