@@ -152,16 +152,20 @@ def sample_negatives_by_degree(edges: DataFrame, n: int, seed: int) -> DataFrame
     return _drawn(edges, placed.select("pos", "left"), placed.select("pos", "right"), m, m, n, seed, _non_edges(edges))
 
 
-def sample_negatives_up_to(edges: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` distinct uniform non-edges, or all if fewer exist.
+def sample_negatives_up_to(edges: DataFrame, n: int, seed: int, by_degree: bool = False) -> DataFrame:
+    """``n`` distinct non-edges, uniform or by degree, or all if fewer exist.
 
     Where ``n`` is over half of all, draws would repeat too often: all are listed, fewer than 2 * n, and those of the lowest hashes kept.
     """
     possible = _non_edges(edges)
     if 2 * n <= possible:
-        return sample_negatives_uniform(edges, n, seed)
+        return (sample_negatives_by_degree if by_degree else sample_negatives_uniform)(edges, n, seed)
     every = except_pairs(node_list(edges, "left").toDF("left").crossJoin(node_list(edges, "right").toDF("right")), edges)
-    return every if n >= possible else lowest(every, n, hash_key(seed, *KEYS), *KEYS)
+    if by_degree and n < possible:  # the lowest -ln(U) / weight are a sample drawn one after another by weight
+        for side in KEYS:
+            every = every.join(node_degrees(edges, side).select(F.col("node").alias(side), F.col("degree").alias(f"_{side}")), side)
+        return lowest(every.withColumn("_key", -F.log(uniform(seed, *KEYS)) / (F.col("_left") * F.col("_right"))), n, "_key", *KEYS).select(*KEYS)
+    return every.select(*KEYS) if n >= possible else lowest(every, n, hash_key(seed, *KEYS), *KEYS)
 
 
 def build_eval_pairs(targets: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:

@@ -602,7 +602,7 @@ def neighbor_mean(spark, sf):
 
 @query()
 def edge_embeddings(spark, sf):
-    return embed.train_edge_embeddings(graph.offset_right_ids(edges_of(spark, sf)), dim=8, epochs=3, seed=1)
+    return embed.train_edge_embeddings(graph.offset_right_ids(edges_of(spark, sf)), seed=1)
 
 
 @query()
@@ -613,7 +613,7 @@ def sage_forward(spark, sf):
 
 @query()
 def sage_embeddings(spark, sf):
-    return embed.train_sage(graph.offset_right_ids(edges_of(spark, sf)), d_hidden=8, d_out=4, epochs=2, seed=1)
+    return embed.train_sage(graph.offset_right_ids(edges_of(spark, sf)), seed=1)
 
 
 # ---- evaluation, model, jobs
@@ -681,21 +681,30 @@ def _report_sql(thin: bool = True) -> str:
 def baseline_report(spark, sf):
     """Holdout, non-edges, three path scorers, AUROC and average precision, on the thin graph."""
     train, test, pairs = pairs_of(spark, sf, True)
-    return jobs.run_baselines(jobs.Split(train, test, pairs), ratios=(1,))
+    return jobs.run_baselines(jobs.Split(train, test, pairs), jobs.PATH_SCORERS, ratios=(1,))
 
 
 @query(_report_sql(False))
 def baseline_report_whole(spark, sf):
     """The baseline report on the whole graph."""
     train, test, pairs = pairs_of(spark, sf)
-    return jobs.run_baselines(jobs.Split(train, test, pairs), ratios=(1,))
+    return jobs.run_baselines(jobs.Split(train, test, pairs), jobs.PATH_SCORERS, ratios=(1,))
+
+
+@query()
+def baseline_report_full(spark, sf):
+    """All five scorers at 1:1, 1:10 and 1:100 on the whole graph, or with all non-edges that it has."""
+    edges = stored(edges_of(spark, sf))
+    train, test = (stored(d) for d in sampling.holdout_per_left(edges, 0.2, 1))
+    pairs = stored(test.unionByName(sampling.sample_negatives_up_to(edges, 100 * test.count(), 1)))
+    return jobs.run_baselines(jobs.Split(train, test, pairs), ratios=(1, 10, 100))
 
 
 @query()
 def gbt_scores(spark, sf):
     train, test, pairs = pairs_of(spark, sf)
     rows = stored(cooc.feature_matrix(train, pairs).join(sampling.build_eval_pairs(pairs, train, test), ["left", "right"]))
-    model = train_link_classifier(rows, cooc.feature_subsets()["Full"], rounds=5)
+    model = train_link_classifier(rows, cooc.feature_subsets()["Full"])
     return predict_links(model, rows).select("left", "right", "label", "score")
 
 
@@ -703,6 +712,7 @@ def gbt_scores(spark, sf):
 def feature_experiment(spark, sf):
     train, test, _ = pairs_of(spark, sf)
     edges = train.unionByName(test)
-    negatives = sampling.sample_negatives_by_degree(stored(edges), 2 * edges.count(), 1)
+    # 10 for each train edge and 100 for each test edge
+    negatives = sampling.sample_negatives_up_to(stored(edges), 10 * train.count() + 100 * test.count(), 1, by_degree=True)
     split = jobs.Split(train, test, stored(edges.unionByName(negatives)))
-    return jobs.run_feature_experiment(split, ("Only_Degree", "Hist_SN1_Degree"), rounds=3, negative_ratio=1, ratios=(1,))
+    return jobs.run_feature_experiment(split)

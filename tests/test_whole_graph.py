@@ -65,3 +65,11 @@ def test_report_makes_the_ratios_or_says_so(spark, sf):
     got = {r.ratio: r for r in registry.QUERIES["evaluation_report_whole"](spark, sf).collect()}
     assert {k: r.n_samples for k, r in got.items()} == {k: test + min(k * test, none) for k in (1, 10, 100)}
     assert got[10].reached == 10.0 and got[100].reached == round(none / test, 4) < 100
+
+
+def test_degree_draws_fill_up_to_all_non_edges(spark, sf):
+    edges = registry.edges_of(spark, sf)
+    e = graph(spark, sf)
+    for n in (300, 528, 9000):
+        got = [tuple(r) for r in registry.sampling.sample_negatives_up_to(edges, n, 1, by_degree=True).collect()]
+        assert len(got) == len(set(got)) == min(n, 528) and not set(got) & e
