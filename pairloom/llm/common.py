@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.functions.storage import stored
+from pairloom.functions.storage import free, stored
 
-__all__ = ["fold", "stored", "table", "tokenizer_path", "unit_hash"]
+__all__ = ["fold", "free", "stored", "table", "tokenizer_path", "unit_hash"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

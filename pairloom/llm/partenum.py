@@ -1,43 +1,46 @@
 """An exact Jaccard join of shingle sets by PartEnum signatures.
 
-Sets of sizes a <= b with Jaccard similarity of at least g have b <= a / g and
-differ in at most k = (a + b)(1 - g)/(1 + g) elements.  Sizes fall into bands; a set takes part
-in the band of its size and, if a partner may be larger than that band, in the next.  In a
-band the hash domain is cut into n partitions, the same for all its sets, and
-the subsets of partitions enumerated are single ones: each non-empty
-partition's content is a signature.  Two linked sets differ in at most k
-partitions, so of ``full`` non-empty ones at least full - k agree.  In one
-order of all signatures the first k + 1 + e of either set then hold at least
-1 + e of those in common; so
-
-* a set sends only its first k + 1 + e signatures, and
-* a set of which fewer than 1 + e meet another set has no partner, and any other may leave out
-  the e of its signatures that meet most sets: texts that merely
-  share a passage go out here, before any pair exists.
-
-The order is by value, but signatures frequent in a sample of the texts come last, so that
-passages which many texts share are sent only by texts that hold little else.
+Sets of sizes a <= b with a Jaccard similarity of at least g have b <= a / g and share at least
+g (a + b) / (1 + g) features.  Sizes fall into bands [3^j, 3^(j+1)); a set takes part in the band of its
+size and, if a partner may be larger than that band, in the next.  In a band the feature
+domain is partitioned, and subsets of partitions are enumerated whose content is a signature, such
+that linked sets share one.
+
+At a similarity of 0.75 linked sets may differ in two sevenths of their features, so that coarse
+partitions nearly all differ: the two-level enumeration (n1 groups, n2 - k2 of n2 partitions of a
+group) would need more signatures than are sent here and would send those of a passage
+that thousands of texts share from every one of them (see the README for figures).  The partition
+used is therefore the finest, one feature a part, and the subsets enumerated are single parts, in one order of all
+features.  Linked sets then share one of the first a - g (a + b) / (1 + g) + 1 features of either set.  So
+
+* a set sends its first a - g (a + b') / (1 + g) + 1 features, b' being its smallest possible partner, and
+* marks those that reach a partner of its own size or larger (about half of them): of two sets
+  that meet, the smaller must have marked the signature.
+
+The order is by value, but features frequent in a sample of the texts come last, the rarer
+first, so that a text sends part of a common passage only if three quarters of it are that passage.
 Any order gives the same result; this one only saves work.
 
-A set with too few non-empty partitions for this sends all its signatures and one that all such
-sets of the band share, which keeps the join exact.
+Pairs are compared along leaders, not all with all.  To begin with, each set tries one leader of
+its buckets (the sets that share a signature; first the one with the least hash, then one of about nine), the one it
+shares most of them with; then growing shares of each bucket lead, each compared with the later members of
+other components that a parity sketch does not exclude, and a bucket is done once it is one component or all of it has
+led.  Near copies by the thousand thus cost a few comparisons each, and no link between components is lost.
 
-Pairs are compared along leaders, not all with all.  To begin with, each set tries one leader (the
-first in hash order, then one of the first nine) of its buckets (the sets that share a signature), the one it
-shares most of them with; then the first 1, 9, 73, ... sets of a bucket are each compared with the later members of other
-components, and a bucket is done once its rest is one component.  Near copies
-by the thousand thus cost a few comparisons each, and no link between
-components is lost.
+The sketch has 1024 bits, each the parity of the features that fall on it: two
+sets differ in at least as many features as their sketches in bits.
 
+Signatures frequent in the sample are dealt over many parts wherever rows meet by signature.
 Equal sets are one node throughout: tasks send a node's signatures once, and
-documents meet their node's component at the end.  A node is a 63-bit digest
-of the set (and elements are 64-bit hashes of shingles).
+documents meet their node's component at the end.  A node is a 62-bit digest
+of the set (and features are 64-bit hashes of shingles).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -45,20 +48,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import stored
+from pairloom.llm.common import free, stored
 from pairloom.llm.components import connected_components
 from pairloom.llm.textblocks import blocks, mix64, shingles
 
-RATIO = 3.0
-SLACK = 0.06
-BITMAP_BITS = 24
-#: One text in so many is sampled for frequent signatures, of which so many are kept (8 bytes each).
+RATIO = 3
+#: A frequent signature is dealt over 32 parts and one more for so many distinct sets.
+ROWS_PER_SALT = 1_000_000
+#: Longs of a sketch.
+SKETCH = 16
+#: Bits of a bitmap as a power of two: sixteen a row, within these bounds (128 KB and 16 MB).
+BITMAP_BITS = (20, 27)
+#: One text in so many is sampled for frequent features, of which so many are kept (8 bytes each).
 SAMPLE_PART = 32
 MAX_FREQUENT = 200_000
+#: A task remembers so many nodes it has sent.
+SEEN = 200_000
 
 
 def digest(hashes: np.ndarray) -> int:
-    """A 63-bit number that equal sets share; 0 for the empty set."""
+    """A 62-bit number that equal sets share; 0 for the empty set."""
     if not len(hashes):
         return 0
     total = np.array([mix64(hashes ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)]) + np.uint64(len(hashes))
@@ -73,47 +82,47 @@ def band_of(size: int) -> int:
     return j
 
 
-def slack(size: float) -> int:
-    return max(1, int(SLACK * size))
+def shared_least(a: int, b: int, percent: int) -> int:
+    """The fewest features that linked sets of these sizes share."""
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def signatures(hashes: np.ndarray, threshold: float, frequent: np.ndarray | None = None, every: bool = False) -> list[tuple[int, np.ndarray]]:
-    """For each band that the sorted set takes part in: (0 own or 1 next, signatures sent, or every one).
+def signatures(hashes: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> list[tuple[np.ndarray, int, int]]:
+    """For each band that the sorted set takes part in: (signatures, how many of the first are marked, from which on they are frequent).
 
-    ``frequent`` (sorted) come last in the order of signatures.
+    ``frequent`` holds features, the rarest first; a set that only an equal one comes near sends none.
     """
     a = len(hashes)
-    if int(a / threshold) == a and int((a + a) * (1 - threshold) / (1 + threshold) + 1e-9) < 2:
-        return []  # only an equal set comes so near
-    out, own = [], band_of(a)
+    least, largest = -(-percent * a // 100), 100 * a // percent
+    if least == a == largest:
+        return []
+    order = hashes[np.argsort(mix64(hashes), kind="stable")]
+    sure = a
+    if frequent is not None and len(frequent[0]):
+        values, ranks = frequent
+        at = np.minimum(np.searchsorted(values, order), len(values) - 1)
+        late = values[at] == order
+        sure = a - int(late.sum())
+        order = np.concatenate([order[~late], order[late][np.argsort(ranks[at[late]], kind="stable")]])
+    own = band_of(a)
     top = RATIO ** (own + 1)
-    largest = a / threshold
-    mixed = mix64(hashes)
+    out = []
     for nxt in (0, 1):
         if nxt and largest < top:
             break
-        high = top * RATIO**nxt
-        n = int(high * (8 if high <= 27 else 2 if high <= 81 else 1.2 if high <= 243 else 0.8)) + 1
-        k = int((a + min(largest, high)) * (1 - threshold) / (1 + threshold) + 1e-9)
-        part = ((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        sums = np.add.reduceat(mixed, first) + part[first] * np.uint64(0x9E3779B97F4A7C15) + np.uint64((own + nxt) * 0x51ED2701)
-        sigs = np.sort(mix64(sums))
-        send = k + 1 + slack(a)
-        if frequent is not None and len(frequent):
-            late = frequent[np.minimum(np.searchsorted(frequent, sigs), len(frequent) - 1)] == sigs
-            sigs = np.concatenate([sigs[~late], sigs[late]])
-        if every:
-            pass
-        elif len(sigs) < send:
-            special = mix64(np.array([0xFEED0000 + own + nxt], dtype=np.uint64))
-            sigs = np.concatenate([sigs, special])
-        else:
-            sigs = sigs[:send]
-        out.append((nxt, sigs))
+        marked = a - shared_least(a, top if nxt else a, percent) + 1
+        sent = marked if nxt else a - shared_least(a, least, percent) + 1
+        sigs = mix64(order[:sent] + np.uint64((own + nxt) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        out.append((sigs, marked, min(sure, sent)))
     return out
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parities of the features that fall on each of 64 * SKETCH bits, as longs."""
+    n = np.bincount((mix64(hashes ^ np.uint64(0x51ED270153A9D7C1)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH)
+    return np.packbits((n & 1).astype(np.uint8)).view(np.int64)
+
+
 def _slim(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -126,79 +135,96 @@ def _slim(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInPandas(measure, "doc_id long, n_shingles long, node long")
 
 
-def _frequent(docs: DataFrame, text_col: str, width: int, threshold: float) -> np.ndarray:
-    """At most MAX_FREQUENT signatures that three or more sets of one text in SAMPLE_PART send."""
-    part = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE_PART)) == 0)
-    met = _sent(part, text_col, width, threshold, None, True).distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    got = met.orderBy(F.desc("n"), "sig").limit(MAX_FREQUENT).select("sig").toPandas()
-    return np.sort(got.sig.to_numpy(dtype=np.int64).view(np.uint64))
+def _frequent(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most MAX_FREQUENT features that three or more distinct sets of one text in SAMPLE_PART hold: (sorted values, ranks, 0 the rarest)."""
 
+    def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for _, block in blocks(f.text):
+                found = shingles(block, width)
+                yield pd.DataFrame({"feature": np.concatenate(found).view(np.int64)})
 
-def _sent(docs: DataFrame, text_col: str, width: int, threshold: float, frequent: np.ndarray | None, every: bool = False) -> DataFrame:
-    """(sig, key): key is twice the node plus whether the band is the next one."""
+    text = F.col(text_col)
+    part = docs.where(text.isNotNull() & (F.pmod(F.xxhash64(text), F.lit(SAMPLE_PART)) == 0)).select(text.cast("binary").alias("text")).distinct()
+    met = part.mapInPandas(features, "feature long").groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    got = met.orderBy(F.desc("n"), "feature").limit(MAX_FREQUENT).toPandas()
+    values = got.feature.to_numpy(dtype=np.int64).view(np.uint64)
+    by_value = np.argsort(values)
+    return values[by_value], (len(values) - 1 - np.arange(len(values)))[by_value]
+
+
+def _sent(docs: DataFrame, text_col: str, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(sig, key, hot): key is twice the node plus whether the signature is marked, hot whether it is frequent in the sample."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for f in frames:
             for _, block in blocks(f.text):
-                sigs, keys = [], []
+                sigs, keys, hot = [], [], []
                 for h in shingles(block, width):
                     if len(h) and (node := digest(h)) not in seen:
                         seen.add(node)
-                        for nxt, s in signatures(h, threshold, shared.value, every):
+                        for s, marked, sure in signatures(h, percent, shared.value):
                             sigs.append(s)
-                            keys.append(np.full(len(s), 2 * node + nxt, dtype=np.int64))
+                            keys.append(2 * node + (np.arange(len(s)) < marked))
+                            hot.append(np.arange(len(s)) >= sure)
                 if sigs:
-                    yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "key": np.concatenate(keys)})
+                    yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "key": np.concatenate(keys).astype(np.int64), "hot": np.concatenate(hot)})
+                if len(seen) > SEEN:
+                    seen.clear()
 
-    return docs.select(F.col(text_col).cast("binary").alias("text")).mapInPandas(send, "sig long, key long")
+    return docs.select(F.col(text_col).cast("binary").alias("text")).mapInPandas(send, "sig long, key long, hot boolean")
 
 
-def _place(number: Column | str) -> Column:
+def _place(number: Column | str, bits: int) -> Column:
     """Where a bitmap holds ``number``."""
-    return F.pmod(F.xxhash64(number), F.lit(1 << BITMAP_BITS))
+    return F.pmod(F.xxhash64(number), F.lit(1 << bits))
 
 
-def _holds(bitmap: np.ndarray, spark: SparkSession) -> Callable[[Column], Column]:
-    """Whether the bitmap holds a place."""
-    bits = spark.sparkContext.broadcast(bitmap)
+def _holds(bitmap: np.ndarray, spark: SparkSession) -> Callable[[Column | str], Column]:
+    """Whether the bitmap holds the place of a number."""
+    shared, bits = spark.sparkContext.broadcast(bitmap), int(len(bitmap) * 64).bit_length() - 1
 
     @F.pandas_udf("boolean")
     def held(at: pd.Series) -> pd.Series:
         at = at.to_numpy(dtype=np.int64)
-        return pd.Series((bits.value[at >> 6] >> (at & 63)) & 1 == 1)
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
 
     # else the optimiser would also ask it of whatever the filtered column is joined with
-    return held.asNondeterministic()
+    held = held.asNondeterministic()
+    return lambda number: held(_place(number, bits))
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A bitmap of hashed ids, 2 MB whatever their number: no id is missed, and few others pass while it is sparse."""
-    at = _place("doc_id")
-    words = ids.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << BITMAP_BITS}) & 63 as int))")).alias("b"))
+    """A bitmap of hashed ids of bounded size (BITMAP_BITS): no id is missed, and few others pass while it is sparse."""
+    bits = min(max(BITMAP_BITS[0], (16 * ids.count()).bit_length()), BITMAP_BITS[1])
+    at = _place("doc_id", bits)
+    words = ids.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << bits}) & 63 as int))")).alias("b"))
     got = words.toPandas()
-    out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.int64)
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
     out[got.w.to_numpy(dtype=np.int64)] = got.b.to_numpy(dtype=np.int64)
     return out
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, set) of ``nodes`` (node, doc_id), read again from the texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+_BITS = [f"s{i}" for i in range(SKETCH)]
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str, width: int) -> DataFrame:
+    """(node, size, set, s0, ...) of ``nodes`` (node, doc_id), read again from the texts."""
+    held = _holds(_bitmap(nodes), docs.sparkSession)
 
     def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
         for f in frames:
-            at = f["at"].to_numpy(dtype=np.int64)
-            f = f[(bits[at >> 6] >> (at & 63)) & 1 == 1]
-            for _, block in blocks(f.text):
+            for _, block in blocks(f.text[f.held]):
                 found = shingles(block, width)
-                yield pd.DataFrame({"node": [digest(h) for h in found], "set": [h.view(np.int64) for h in found]})
+                out = pd.DataFrame({"node": [digest(h) for h in found], "size": [len(h) for h in found], "set": [h.view(np.int64) for h in found]})
+                bits = np.stack([sketch(h) for h in found])
+                yield out.assign(**{c: bits[:, i] for i, c in enumerate(_BITS)})
 
-    at = _place(F.col(id_col).cast("long")).alias("at")
-    read = docs.select(at, F.col(text_col).cast("binary").alias("text")).mapInPandas(again, "node long, set array<long>")
-    return read.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+    key = F.col(id_col).cast("long")
+    read = docs.select(held(key).alias("held"), F.col(text_col).cast("binary").alias("text")).mapInPandas(again, "node long, size long, set array<long>, " + ", ".join(f"{c} long" for c in _BITS))
+    return read.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(*(F.first(c).alias(c) for c in ["size", "set", *_BITS]))
 
 
 def jaccard_components(docs: DataFrame, threshold: float = 0.75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,83 +233,116 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.75, width: int = 5,
     Rules: a row without words or text has no set, 0 shingles and itself as its component;
     rows with equal sets are one node; where ids repeat, each row has its own
     set; a null id takes part and gets the smallest id of its component.  An empty table gives no rows.
+    Other columns are ignored, whatever their names.
     """
     slim = stored(_slim(docs, id_col, text_col, width))
-    nodes = stored(slim.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size")))
-    comp = _linked(docs, nodes, threshold, width, id_col, text_col)
+    nodes = stored(slim.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    comp = _linked(docs, nodes, round(100 * threshold), width, id_col, text_col)
     named = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     names = stored(named.join(least, "component").select("node", "component_id"))
+    free(nodes, comp)
     return slim.join(names, "node", "left").select("doc_id", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, threshold: float, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, component) of every node that shares signatures enough with another."""
-    by_sig = W.partitionBy("sig")
-    sent = _sent(docs, text_col, width, threshold, _frequent(docs, text_col, width, threshold))
-    # keys order as their nodes do, so only two numbers a signature are moved
-    ends = sent.withColumns({"lo": F.min("key").over(by_sig), "hi": F.max("key").over(by_sig)}).where("shiftright(lo, 1) <> shiftright(hi, 1)")
-    met = stored(ends.select("sig", "key").distinct()).withColumn("node", F.shiftright("key", 1))
-    place = F.row_number().over(by_sig.orderBy(F.xxhash64("node"), "node"))
-    met = stored(_with_enough(met, nodes, threshold).select("sig", "node").distinct().withColumn("place", place))
-    comp = stored(met.select("node").distinct().join(nodes.select("node", "size"), "node").withColumn("component", F.col("node")))
-    sets = stored(_sets(docs, nodes.join(comp.select("node"), "node", "left_semi"), id_col, text_col, width))
-    percent = round(100 * threshold)
-
-    tried = []
+def _met(docs: DataFrame, text_col: str, width: int, percent: int, salts: int) -> DataFrame:
+    """(sig, salt, node, marked): the signatures sent that may meet another set; salt is 0 but for frequent ones."""
+    sent = _sent(docs, text_col, width, percent, _frequent(docs, text_col, width))
+    node = F.shiftright("key", 1)
+    sent = sent.select("sig", F.when(F.col("hot"), 1 + F.pmod(F.xxhash64(node), F.lit(salts))).otherwise(F.lit(0)).cast("int").alias("salt"), "key")
+    by_sig = W.partitionBy("sig", "salt")
+    mark = F.col("key").bitwiseAND(1)
+    seen = sent.withColumns({"lo": F.min("key").over(by_sig), "hi": F.max("key").over(by_sig), "any": F.max(mark).over(by_sig)})
+    meets = seen.where("salt > 0 or (any = 1 and shiftright(lo, 1) <> shiftright(hi, 1))")
+    return meets.groupBy("sig", "salt", node.alias("node")).agg((F.max(mark) == 1).alias("marked"))
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, component) of every node that shares a signature with another; stored."""
+    salts = 32 + nodes.count() // ROWS_PER_SALT
+    met = stored(_met(docs, text_col, width, percent, salts))
+    alive = stored(met.select("node").distinct())
+    sets = stored(_sets(docs, nodes.join(alive, "node", "left_semi"), text_col, id_col, width))
+    comp = stored(alive.withColumn("component", F.col("node")))
+    free(alive)
+    tried: list[DataFrame] = []
     for lo, hi, one in _rounds():
-        now = met.where(F.col("place") > lo).join(comp, "node")
-        open_sigs = now.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("sig")
-        now = stored(now.join(open_sigs, "sig", "left_semi"))
+        now = _open(met, comp, sets, lo, salts, [] if one else _BITS)
+        free(met)
+        met = now
         if now.isEmpty():
             break
-        met = now.select("sig", "node", "place")  # a bucket that is done stays done
-        lead = now.where(F.col("place") <= hi).select("sig", *(F.col(c).alias(f"b_{c}") for c in ("node", "place", "size", "component")))
-        pairs = now.join(lead, "sig").where((F.col("place") > F.col("b_place")) & (F.col("component") != F.col("b_component")))
-        pairs = pairs.where(F.least("size", "b_size") * 100 >= F.greatest("size", "b_size") * percent)
-        pairs = pairs.groupBy("node", "b_node", "size", "b_size", "component", "b_component").agg(F.count(F.lit(1)).alias("n"))
-        if tried:  # a pair of one component is not met again, so all these were no links; the later in hash order is always ``node``
-            pairs = pairs.join(reduce(DataFrame.unionByName, tried).select("node", "b_node"), ["node", "b_node"], "left_anti")
+        found = _pairs(now, lo, hi, one, percent, salts)
         if one:  # each set only tries the leader with which it shares most
-            best = F.max(F.struct("n", "b_node", "size", "b_size", "component", "b_component")).alias("best")
-            pairs = pairs.groupBy("node").agg(best).select("node", "best.*")
-        tried.append(stored(pairs.drop("n")))
-        linked = _verified(tried[-1], sets, percent)
-        merged = connected_components(linked.select(F.col("component").alias("a"), F.col("b_component").alias("b")))
-        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
-        comp = stored(comp.join(merged, "component", "left").select("node", "size", F.coalesce("into", "component").alias("component")))
-    return comp.select("node", "component")
+            found = found.groupBy("node").agg(F.max(F.struct("n", "b_node", "component", "b_component")).alias("best")).select("node", "best.*")
+        found = found.groupBy(F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b")).agg(F.first(F.struct("component", "b_component")).alias("c")).select("a", "b", "c.*")
+        if tried:  # a pair of one component is not met again, so all these were no links
+            found = found.join(reduce(DataFrame.unionByName, tried).select("a", "b"), ["a", "b"], "left_anti")
+        tried.append(stored(found))
+        merged = connected_components(_verified(tried[-1], sets, percent).select(F.col("component").alias("a"), F.col("b_component").alias("b")))
+        into = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+        after = stored(comp.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
+        free(comp, merged)
+        comp = after
+    free(met, sets, *tried)
+    return comp
 
 
 def _rounds() -> Iterator[tuple[int, int, bool]]:
-    """Leaders of a round: places over the first number, up to the second; whether a set tries only one of them."""
-    yield from ((0, 1, True), (0, 9, True))
-    lo, hi = 0, 1
+    """Leaders of a round: the sets from the first to the second place in hash order, by estimate; whether a set tries only one of them."""
+    yield from ((0, 0, True), (0, 9, True))
+    lo, hi = 0, 9
     while True:
         yield lo, hi, False
         lo, hi = hi, 8 * hi + 1
 
 
-def _with_enough(met: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Without the sets of which too few signatures meet another set, and without the signatures that a set may leave out."""
-    # a partner may be smaller by the threshold, and its slack with it; a set that sent all its signatures needs one
-    need = 1 + F.greatest(F.lit(1), F.floor(F.col("size") * threshold * SLACK))
-    special = met.where(F.col("sig").isin([int(mix64(np.array([0xFEED0000 + j], dtype=np.uint64)).view(np.int64)[0]) for j in range(64)])).select("key").distinct().withColumn("all_sent", F.lit(True))
-    counts = met.groupBy("key", "node").agg(F.count(F.lit(1)).alias("n"))
-    kept = counts.join(nodes.select("node", "size"), "node").join(special, "key", "left").withColumn("need", F.when(F.col("all_sent"), 1).otherwise(need)).where("n >= need").select("key", (F.col("n") - F.col("need") + 1).alias("keep"))
-    by_sig = W.partitionBy("sig")
-    order = F.row_number().over(W.partitionBy("key").orderBy("among", "sig"))
-    left = met.withColumn("among", F.count(F.lit(1)).over(by_sig)).join(kept, "key").withColumn("place", order).where("place <= keep")
-    return left.withColumns({"lo": F.min("node").over(by_sig), "hi": F.max("node").over(by_sig)}).where("lo <> hi").select("sig", "key", "node")
+def _open(met: DataFrame, comp: DataFrame, sets: DataFrame, lo: int, salts: int, more: list[str]) -> DataFrame:
+    """Rows of the buckets that hold several components and more than ``lo`` sets, with the set's component, size, place and ``more``, and the bucket's size and first leader; stored."""
+    now = met.select("sig", "salt", "node", "marked").join(comp, "node").withColumn("u", _unit("node"))
+    buckets = now.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("held"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("salt").alias("top"), F.min_by("node", F.struct(~F.col("marked"), "u", "node")).alias("first")
+    )
+    buckets = buckets.where(f"c0 <> c1 and held > {lo}").select("sig", "held", "first", F.explode(_salts("top", salts)).alias("salt"))
+    return stored(now.join(buckets, ["sig", "salt"]).join(sets.select("node", "size", *more), "node"))
+
+
+def _unit(node: str) -> Column:
+    """A place in hash order, between 0 and 1."""
+    return F.shiftrightunsigned(F.xxhash64(node), 11) / F.lit(float(1 << 53))
+
+
+def _salts(salt: str, salts: int) -> Column:
+    """All salts of a bucket one of whose salts is given."""
+    return F.when(F.col(salt) > 0, F.sequence(F.lit(1), F.lit(salts))).otherwise(F.array(F.lit(0)))
+
+
+def _pairs(now: DataFrame, lo: int, hi: int, one: bool, percent: int, salts: int) -> DataFrame:
+    """(node, b_node, component, b_component, n): the sets of open buckets and leaders of the round with which they may be linked, and in how many buckets."""
+    place = F.col("u") * F.col("held")
+    leads = (place >= lo) & (place < hi)
+    lead = now.where(leads | (F.col("node") == F.col("first")) if one else leads)
+    bits = [c for c in _BITS if c in now.columns]
+    lead = lead.select("sig", F.explode(_salts("salt", salts)).alias("salt"), *(F.col(c).alias(f"b_{c}") for c in ["node", "marked", "component", "size", "u", *bits]))
+    may = (F.col("component") != F.col("b_component")) & (F.least("size", "b_size") * 100 >= F.greatest("size", "b_size") * percent)
+    may &= (F.col("marked") | (F.col("size") > F.col("b_size"))) & (F.col("b_marked") | (F.col("b_size") > F.col("size")))
+    if not one:  # a leader meets those after it
+        may &= F.struct("u", "node") > F.struct("b_u", "b_node")
+    if bits:
+        apart = reduce(add, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}"))) for c in bits))
+        both = F.col("size") + F.col("b_size")
+        may &= apart <= both - 2 * F.expr(f"({percent} * (size + b_size) + {99 + percent}) div {100 + percent}")
+    pairs = now.join(lead, ["sig", "salt"]).where(may)
+    return pairs.groupBy("node", "b_node").agg(F.count(F.lit(1)).alias("n"), F.first("component").alias("component"), F.first("b_component").alias("b_component"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (node, b_node, their sizes, more) of which 100 times the intersection reaches ``percent`` times the union."""
-    ends = pairs.select(F.col("node").alias("doc_id")).unionByName(pairs.select(F.col("b_node").alias("doc_id")))
-    sets = sets.where(_holds(_bitmap(ends), pairs.sparkSession)(_place("node")))  # few in later rounds: only these move
-    both = pairs.join(sets, "node").join(sets.toDF("b_node", "b_set"), "b_node")
-    common = F.size(F.array_intersect("set", "b_set"))
-    return both.where(common * 100 >= (F.col("size") + F.col("b_size") - common) * percent)
+    """The ``pairs`` (a, b, more) of which 100 times the intersection reaches ``percent`` times the union."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = sets.select("node", "size", "set").where(_holds(_bitmap(ends), pairs.sparkSession)("node"))  # few in later rounds: only these move
+    both = pairs.join(sets.toDF("a", "a_size", "a_set"), "a").join(sets.toDF("b", "b_size", "b_set"), "b")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    return both.where(common * 100 >= (F.col("a_size") + F.col("b_size") - common) * percent)
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,7 +356,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.75, width: int = 5, id_col: s
     per = found.groupBy("doc_id").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
     doubtful = stored(per.where(~F.col("stays") | (F.col("n") > 1) | F.col("doc_id").isNull()))
     key = F.col(id_col).cast("long")
-    marked = docs.withColumn("_held", _holds(_bitmap(doubtful), docs.sparkSession)(_place(key)))
+    marked = docs.withColumn("_held", _holds(_bitmap(doubtful), docs.sparkSession)(key))
     passed = marked.where(~F.col("_held")).drop("_held")
     rest = marked.where("_held").drop("_held")
     out = doubtful.where("not stays").select(F.col("doc_id").alias("_out"))

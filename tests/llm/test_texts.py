@@ -82,15 +82,48 @@ def test_jaccard_components_match_brute_force(docs):
 
 def test_signatures_meet_for_all_linked_sets():
     rng = np.random.default_rng(0)
-    for _ in range(300):
+    met = 0
+    for _ in range(600):
         n = int(rng.integers(3, 400))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        edits = int(rng.integers(0, max(1, int(0.3 * n))))
-        b = np.unique(np.concatenate([a[edits // 2 :], rng.integers(0, 2**63, edits - edits // 2).astype(np.uint64)]))
+        edits = int(rng.integers(0, max(2, int(0.3 * n))))
+        b = np.unique(np.concatenate([a[edits // 2 :], rng.integers(0, 2**63, int(rng.integers(0, edits + 1))).astype(np.uint64)]))
         common = len(np.intersect1d(a, b))
-        if len(b) and 100 * common >= 75 * (len(a) + len(b) - common) and len(a) != common:
-            sa, sb = ({int(x) for _, s in partenum.signatures(v, 0.75) for x in s} for v in (a, b))
-            assert sa & sb
+        if len(b) and 100 * common >= 75 * (len(a) + len(b) - common) and not len(a) == common == len(b):
+            frequent = rng.permutation(a)[: n // 2]
+            for f in (None, (np.sort(frequent), rng.permutation(len(frequent)))):
+                small, large = sorted((a, b), key=len)
+                marked = {int(x) for s, m, _ in partenum.signatures(small, 75, f) for x in s[:m]}
+                assert marked & {int(x) for s, _, _ in partenum.signatures(large, 75, f) for x in s}
+            met += 1
+    assert met > 200
+
+
+def test_sketches_never_differ_in_more_bits_than_sets_in_features():
+    rng = np.random.default_rng(1)
+    for n in (5, 100, 5000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[n // 5 :], rng.integers(0, 2**63, n // 4).astype(np.uint64)]))
+        apart = sum(int(x).bit_count() for x in (partenum.sketch(a) ^ partenum.sketch(b)).view(np.uint64))
+        assert 0 < apart <= len(np.setxor1d(a, b))
+
+
+def test_a_large_group_near_the_threshold_matches_brute_force(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for k in range(rng.randint(0, 9)):
+            words[rng.randrange(120)] = f"e{i}x{k}"
+        rows.append((i, " ".join(words)))
+    # a passage that makes up most of many texts that are not near each other
+    rows += [(1000 + i, " ".join(base[:60] + [f"p{i}x{k}" for k in range(rng.randint(8, 60))])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in partenum.jaccard_components(df).collect()), key=str)
+    want = components(df.collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and [(g[1], g[2]) for g in got] == [(w[1], w[2] or -1) for w in want]
+    assert len({w[2] for w in want}) > 20
 
 
 def test_keep_one(docs, empty):
