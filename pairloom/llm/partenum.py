@@ -21,11 +21,12 @@ The order is by value, but features frequent in a sample of the texts come last,
 first, so that a text sends part of a common passage only if three quarters of it are that passage.
 Any order gives the same result; this one only saves work.
 
-Pairs are compared along leaders, not all with all.  To begin with, each set tries one leader of
-its buckets (the sets that share a signature; first the one with the least hash, then one of about nine), the one it
-shares most of them with; then growing shares of each bucket lead, each compared with the later members of
-other components that a parity sketch does not exclude, and a bucket is done once it is one component or all of it has
-led.  Near copies by the thousand thus cost a few comparisons each, and no link between components is lost.
+Pairs are compared along leaders, not all with all.  Of each bucket (the sets that share a signature) about the
+first 9 in hash order lead, each compared with the later members; buckets of more sets that do not yet lie in one
+component go on with the next leaders, up to the 73rd, 585th, ..., compared with later members of other components.
+Of the pairs that a parity sketch does not exclude, those are verified first in which a set shares most signatures
+with its leader, then the others that still join two components.  Near copies by the thousand thus cost a few
+comparisons each, and no link between components is lost.
 
 The sketch has 1024 bits, each the parity of the features that fall on it: two
 sets differ in at least as many features as their sketches in bits.
@@ -55,8 +56,11 @@ from pairloom.llm.textblocks import blocks, mix64, shingles
 RATIO = 3
 #: A frequent signature is dealt over 32 parts and one more for so many distinct sets.
 ROWS_PER_SALT = 1_000_000
+#: About so many sets of a bucket lead in the first round.
+FIRST = 9
 #: Longs of a sketch.
 SKETCH = 16
+_BITS = [f"s{i}" for i in range(SKETCH)]
 #: Bits of a bitmap as a power of two: sixteen a row, within these bounds (128 KB and 16 MB).
 BITMAP_BITS = (20, 27)
 #: One text in so many is sampled for frequent features, of which so many are kept (8 bytes each).
@@ -124,15 +128,17 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc_id, n_shingles, node, s0, ...) of every row."""
+
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            n, node = np.zeros(len(f), np.int64), np.zeros(len(f), np.int64)
             for at, block in blocks(f.text):
-                for i, h in enumerate(shingles(block, width)):
-                    n[at + i], node[at + i] = len(h), digest(h)
-            yield pd.DataFrame({"doc_id": f.doc_id.astype("Int64"), "n_shingles": n, "node": node})
+                found = shingles(block, width)
+                ids = f.doc_id.iloc[at : at + len(block)].astype("Int64").reset_index(drop=True)
+                bits = np.stack([sketch(h) for h in found])
+                yield pd.DataFrame({"doc_id": ids, "n_shingles": [len(h) for h in found], "node": [digest(h) for h in found]} | {c: bits[:, i] for i, c in enumerate(_BITS)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInPandas(measure, "doc_id long, n_shingles long, node long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInPandas(measure, "doc_id long, n_shingles long, node long, " + ", ".join(f"{c} long" for c in _BITS))
 
 
 def _frequent(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,24 +213,19 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
-_BITS = [f"s{i}" for i in range(SKETCH)]
-
-
 def _sets(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str, width: int) -> DataFrame:
-    """(node, size, set, s0, ...) of ``nodes`` (node, doc_id), read again from the texts."""
-    held = _holds(_bitmap(nodes), docs.sparkSession)
+    """(node, set) of ``nodes`` (node, doc_id), read again from the texts."""
+    held = _holds(_bitmap(nodes.select("doc_id")), docs.sparkSession)
 
     def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for _, block in blocks(f.text[f.held]):
                 found = shingles(block, width)
-                out = pd.DataFrame({"node": [digest(h) for h in found], "size": [len(h) for h in found], "set": [h.view(np.int64) for h in found]})
-                bits = np.stack([sketch(h) for h in found])
-                yield out.assign(**{c: bits[:, i] for i, c in enumerate(_BITS)})
+                yield pd.DataFrame({"node": [digest(h) for h in found], "set": [h.view(np.int64) for h in found]})
 
     key = F.col(id_col).cast("long")
-    read = docs.select(held(key).alias("held"), F.col(text_col).cast("binary").alias("text")).mapInPandas(again, "node long, size long, set array<long>, " + ", ".join(f"{c} long" for c in _BITS))
-    return read.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(*(F.first(c).alias(c) for c in ["size", "set", *_BITS]))
+    read = docs.select(held(key).alias("held"), F.col(text_col).cast("binary").alias("text")).mapInPandas(again, "node long, set array<long>")
+    return read.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
 
 
 def jaccard_components(docs: DataFrame, threshold: float = 0.75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,7 +237,7 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.75, width: int = 5,
     Other columns are ignored, whatever their names.
     """
     slim = stored(_slim(docs, id_col, text_col, width))
-    nodes = stored(slim.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    nodes = stored(slim.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), *(F.first(c).alias(c) for c in _BITS)))
     comp = _linked(docs, nodes, round(100 * threshold), width, id_col, text_col)
     named = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -246,103 +247,131 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.75, width: int = 5,
 
 
 def _met(docs: DataFrame, text_col: str, width: int, percent: int, salts: int) -> DataFrame:
-    """(sig, salt, node, marked): the signatures sent that may meet another set; salt is 0 but for frequent ones."""
+    """(sig, salt, node, marked, held, u): the signatures sent that may meet another set, how many sets (about) sent them, and the set's place in hash order, 0 to 1; stored.
+
+    The salt is 0 but for frequent signatures.
+    """
     sent = _sent(docs, text_col, width, percent, _frequent(docs, text_col, width))
     node = F.shiftright("key", 1)
     sent = sent.select("sig", F.when(F.col("hot"), 1 + F.pmod(F.xxhash64(node), F.lit(salts))).otherwise(F.lit(0)).cast("int").alias("salt"), "key")
     by_sig = W.partitionBy("sig", "salt")
     mark = F.col("key").bitwiseAND(1)
-    seen = sent.withColumns({"lo": F.min("key").over(by_sig), "hi": F.max("key").over(by_sig), "any": F.max(mark).over(by_sig)})
+    seen = sent.withColumns({"lo": F.min("key").over(by_sig), "hi": F.max("key").over(by_sig), "any": F.max(mark).over(by_sig), "held": F.count(F.lit(1)).over(by_sig)})
     meets = seen.where("salt > 0 or (any = 1 and shiftright(lo, 1) <> shiftright(hi, 1))")
-    return meets.groupBy("sig", "salt", node.alias("node")).agg((F.max(mark) == 1).alias("marked"))
+    parts = stored(meets.groupBy("sig", "salt", node.alias("node")).agg((F.max(mark) == 1).alias("marked"), F.max("held").alias("held")))
+    # at most MAX_FREQUENT features in two bands each
+    whole = F.broadcast(parts.where("salt > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("all_held")))
+    u = F.shiftrightunsigned(F.xxhash64("node"), 11) / F.lit(float(1 << 53))
+    out = stored(parts.join(whole, "sig", "left").select("sig", "salt", "node", "marked", F.coalesce("all_held", "held").alias("held"), u.alias("u")))
+    free(parts)
+    return out
 
 
 def _linked(docs: DataFrame, nodes: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, component) of every node that shares a signature with another; stored."""
+    """(node, component) of every node that is linked with another; stored."""
     salts = 32 + nodes.count() // ROWS_PER_SALT
-    met = stored(_met(docs, text_col, width, percent, salts))
-    alive = stored(met.select("node").distinct())
-    sets = stored(_sets(docs, nodes.join(alive, "node", "left_semi"), text_col, id_col, width))
-    comp = stored(alive.withColumn("component", F.col("node")))
-    free(alive)
-    tried: list[DataFrame] = []
-    for lo, hi, one in _rounds():
-        now = _open(met, comp, sets, lo, salts, [] if one else _BITS)
-        free(met)
-        met = now
+    met = _met(docs, text_col, width, percent, salts)
+    found = stored(_first_pairs(met, nodes, percent, salts))
+    large = stored(met.where(f"held > {FIRST}"))
+    free(met)
+    need = found.select(F.explode(F.array("node", "b_node")).alias("node")).unionByName(large.select("node")).distinct()
+    sets = stored(_sets(docs, nodes.select("node", "doc_id").join(need, "node", "left_semi"), text_col, id_col, width))
+    comp = stored(nodes.select("node", F.col("node").alias("component")).limit(0))
+    done, lo, hi = [found], FIRST, 8 * FIRST + 1
+    while True:
+        found = done[-1]
+        best = F.max(F.struct("n", "b_node", "b_size")).alias("best")
+        first = stored(found.groupBy("node", "size").agg(best).select("node", "size", "best.*"))
+        for some in (first, found.join(first, ["node", "b_node"], "left_anti")):
+            comp = _joined(comp, _verified(_apart(some, comp), sets, percent))
+        free(first)
+        now = _open(large, comp, nodes, lo)
+        free(large)
+        large = now
         if now.isEmpty():
             break
-        found = _pairs(now, lo, hi, one, percent, salts)
-        if one:  # each set only tries the leader with which it shares most
-            found = found.groupBy("node").agg(F.max(F.struct("n", "b_node", "component", "b_component")).alias("best")).select("node", "best.*")
-        found = found.groupBy(F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b")).agg(F.first(F.struct("component", "b_component")).alias("c")).select("a", "b", "c.*")
-        if tried:  # a pair of one component is not met again, so all these were no links
-            found = found.join(reduce(DataFrame.unionByName, tried).select("a", "b"), ["a", "b"], "left_anti")
-        tried.append(stored(found))
-        merged = connected_components(_verified(tried[-1], sets, percent).select(F.col("component").alias("a"), F.col("b_component").alias("b")))
-        into = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
-        after = stored(comp.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
-        free(comp, merged)
-        comp = after
-    free(met, sets, *tried)
+        tried = reduce(DataFrame.unionByName, [d.select("node", "b_node") for d in done])
+        done.append(stored(_later_pairs(now, lo, hi, percent, salts).join(tried, ["node", "b_node"], "left_anti")))
+        lo, hi = hi, 8 * hi + 1
+    free(large, sets, *done)
     return comp
 
 
-def _rounds() -> Iterator[tuple[int, int, bool]]:
-    """Leaders of a round: the sets from the first to the second place in hash order, by estimate; whether a set tries only one of them."""
-    yield from ((0, 0, True), (0, 9, True))
-    lo, hi = 0, 9
-    while True:
-        yield lo, hi, False
-        lo, hi = hi, 8 * hi + 1
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` (node, component) with the components that ``links`` (a, b) join made one; both are stored tables and deleted."""
+    if links.isEmpty():
+        free(links)
+        return comp
+    merged = connected_components(links)
+    moved = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    old = comp.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    new = merged.join(comp.select("node"), "node", "left_anti")
+    out = stored(old.unionByName(new))
+    free(comp, links, merged)
+    return out
+
+
+def _salts(salts: int) -> Column:
+    """All salts of the signature of a row."""
+    return F.when(F.col("salt") > 0, F.sequence(F.lit(1), F.lit(salts))).otherwise(F.array(F.lit(0))).alias("salts")
 
 
-def _open(met: DataFrame, comp: DataFrame, sets: DataFrame, lo: int, salts: int, more: list[str]) -> DataFrame:
-    """Rows of the buckets that hold several components and more than ``lo`` sets, with the set's component, size, place and ``more``, and the bucket's size and first leader; stored."""
-    now = met.select("sig", "salt", "node", "marked").join(comp, "node").withColumn("u", _unit("node"))
-    buckets = now.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("held"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("salt").alias("top"), F.min_by("node", F.struct(~F.col("marked"), "u", "node")).alias("first")
-    )
-    buckets = buckets.where(f"c0 <> c1 and held > {lo}").select("sig", "held", "first", F.explode(_salts("top", salts)).alias("salt"))
-    return stored(now.join(buckets, ["sig", "salt"]).join(sets.select("node", "size", *more), "node"))
+def _leads(now: DataFrame, lo: int, hi: int, salts: int) -> DataFrame:
+    """The rows of sets in place ``lo`` to ``hi`` of their bucket, for every salt, their columns renamed."""
+    lead = now.where((F.col("u") * F.col("held") >= lo) & (F.col("u") * F.col("held") < hi)).withColumn("salt", F.explode(_salts(salts)))
+    return lead.select("sig", "salt", *(F.col(c).alias(f"b_{c}") for c in now.columns if c not in ("sig", "salt", "held")))
 
 
-def _unit(node: str) -> Column:
-    """A place in hash order, between 0 and 1."""
-    return F.shiftrightunsigned(F.xxhash64(node), 11) / F.lit(float(1 << 53))
+def _near(percent: int) -> Column:
+    """Whether sizes and sketches of two sets (size, s0, ..., b_size, b_s0, ...) allow a link."""
+    apart = reduce(add, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}"))) for c in _BITS))
+    least = F.expr(f"({percent} * (size + b_size) + {99 + percent}) div {100 + percent}")
+    return (F.least("size", "b_size") * 100 >= F.greatest("size", "b_size") * percent) & (apart <= F.col("size") + F.col("b_size") - 2 * least)
 
 
-def _salts(salt: str, salts: int) -> Column:
-    """All salts of a bucket one of whose salts is given."""
-    return F.when(F.col(salt) > 0, F.sequence(F.lit(1), F.lit(salts))).otherwise(F.array(F.lit(0)))
+def _first_pairs(met: DataFrame, nodes: DataFrame, percent: int, salts: int) -> DataFrame:
+    """(node, b_node, size, b_size, n): sets and the first leaders of their buckets with which they may be linked, and in how many buckets they meet."""
+    pairs = met.join(_leads(met, 0, FIRST, salts), ["sig", "salt"]).where((F.struct("u", "node") > F.struct("b_u", "b_node")) & (F.col("marked") | F.col("b_marked")))
+    pairs = pairs.groupBy("node", "b_node").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("marked")).alias("marked"), F.bool_or(F.col("b_marked")).alias("b_marked"), F.bool_or(F.col("marked") & F.col("b_marked")).alias("both"))
+    few = nodes.select("node", "size", *_BITS)
+    pairs = pairs.join(few, "node").join(few.select(*(F.col(c).alias(f"b_{c}") for c in few.columns)), "b_node")
+    # of sets of different size the smaller must have marked the signature
+    marks = F.col("both") | (F.col("marked") & (F.col("size") < F.col("b_size"))) | (F.col("b_marked") & (F.col("b_size") < F.col("size")))
+    return pairs.where(marks & _near(percent)).select("node", "b_node", "size", "b_size", "n")
 
 
-def _pairs(now: DataFrame, lo: int, hi: int, one: bool, percent: int, salts: int) -> DataFrame:
-    """(node, b_node, component, b_component, n): the sets of open buckets and leaders of the round with which they may be linked, and in how many buckets."""
-    place = F.col("u") * F.col("held")
-    leads = (place >= lo) & (place < hi)
-    lead = now.where(leads | (F.col("node") == F.col("first")) if one else leads)
-    bits = [c for c in _BITS if c in now.columns]
-    lead = lead.select("sig", F.explode(_salts("salt", salts)).alias("salt"), *(F.col(c).alias(f"b_{c}") for c in ["node", "marked", "component", "size", "u", *bits]))
-    may = (F.col("component") != F.col("b_component")) & (F.least("size", "b_size") * 100 >= F.greatest("size", "b_size") * percent)
+def _open(large: DataFrame, comp: DataFrame, nodes: DataFrame, lo: int) -> DataFrame:
+    """Rows of the buckets of more than ``lo`` sets that lie in several components, with the set's component, size and sketch; stored."""
+    now = large.where(f"held > {lo}").select("sig", "salt", "node", "marked", "held", "u").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = now.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("salt").alias("salt")).where("c0 <> c1")
+    return stored(now.join(several.select("sig"), "sig", "left_semi").join(nodes.select("node", "size", *_BITS), "node"))
+
+
+def _later_pairs(now: DataFrame, lo: int, hi: int, percent: int, salts: int) -> DataFrame:
+    """As ``_first_pairs``, for later leaders and sets of other components; excluded before any row is made of a pair."""
+    may = (F.struct("u", "node") > F.struct("b_u", "b_node")) & (F.col("component") != F.col("b_component"))
     may &= (F.col("marked") | (F.col("size") > F.col("b_size"))) & (F.col("b_marked") | (F.col("b_size") > F.col("size")))
-    if not one:  # a leader meets those after it
-        may &= F.struct("u", "node") > F.struct("b_u", "b_node")
-    if bits:
-        apart = reduce(add, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}"))) for c in bits))
-        both = F.col("size") + F.col("b_size")
-        may &= apart <= both - 2 * F.expr(f"({percent} * (size + b_size) + {99 + percent}) div {100 + percent}")
-    pairs = now.join(lead, ["sig", "salt"]).where(may)
-    return pairs.groupBy("node", "b_node").agg(F.count(F.lit(1)).alias("n"), F.first("component").alias("component"), F.first("b_component").alias("b_component"))
+    pairs = now.join(_leads(now, lo, hi, salts), ["sig", "salt"]).where(may & _near(percent))
+    return pairs.groupBy("node", "b_node", "size", "b_size").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Those of the ``pairs`` whose sets lie in different components, with these (a, b)."""
+    both = pairs.join(comp.toDF("node", "a"), "node", "left").join(comp.toDF("b_node", "b"), "b_node", "left")
+    both = both.withColumns({"a": F.coalesce("a", "node"), "b": F.coalesce("b", "b_node")})
+    return both.where("a <> b").select("node", "b_node", "size", "b_size", "a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b, more) of which 100 times the intersection reaches ``percent`` times the union."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = sets.select("node", "size", "set").where(_holds(_bitmap(ends), pairs.sparkSession)("node"))  # few in later rounds: only these move
-    both = pairs.join(sets.toDF("a", "a_size", "a_set"), "a").join(sets.toDF("b", "b_size", "b_set"), "b")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    return both.where(common * 100 >= (F.col("a_size") + F.col("b_size") - common) * percent)
+    """(a, b) of the ``pairs`` of which 100 times the intersection reaches ``percent`` times the union."""
+    pairs = stored(pairs)
+    ends = pairs.select(F.explode(F.array("node", "b_node")).alias("doc_id")).distinct()
+    sets = sets.where(_holds(_bitmap(ends), pairs.sparkSession)("node"))  # few in later rounds: only these move
+    both = pairs.join(sets, "node").join(sets.toDF("b_node", "b_set"), "b_node")
+    common = F.size(F.array_intersect("set", "b_set"))
+    out = stored(both.where(common * 100 >= (F.col("size") + F.col("b_size") - common) * percent).select("a", "b").distinct())
+    free(pairs)
+    return out
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
