@@ -28,8 +28,9 @@ Of the pairs that a parity sketch does not exclude, those are verified first in
 with its leader, then the others that still join two components.  Near copies by the thousand thus cost a few
 comparisons each, and no link between components is lost.
 
-The sketch has 1024 bits, each the parity of the features that fall on it: two
-sets differ in at least as many features as their sketches in bits.
+A sketch has 1024 bits, each the parity of the features that fall on it: two
+sets differ in at least as many features as their sketches in bits.  Sets of more than WIDE features have a second
+sketch of four to eight bits a feature.  Pairs are verified on their whole texts, which are smaller than their sets.
 
 Signatures frequent in the sample are dealt over many parts wherever rows meet by signature.
 Equal sets are one node throughout: tasks send a node's signatures once, and
@@ -66,6 +67,8 @@ BITMAP_BITS = (20, 27)
 #: One text in so many is sampled for frequent features, of which so many are kept (8 bytes each).
 SAMPLE_PART = 32
 MAX_FREQUENT = 200_000
+#: Sets of more features have a sketch of their own size.
+WIDE = 512
 #: A task remembers so many nodes it has sent.
 SEEN = 200_000
 
@@ -121,14 +124,28 @@ def signatures(hashes: np.ndarray, percent: int, frequent: np.ndarray | None = N
     return out
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The parities of the features that fall on each of 64 * SKETCH bits, as longs."""
-    n = np.bincount((mix64(hashes ^ np.uint64(0x51ED270153A9D7C1)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH)
+def sketch(hashes: np.ndarray, longs: int = SKETCH) -> np.ndarray:
+    """The parities of the features that fall on each of 64 * ``longs`` bits (a power of two), as longs."""
+    at = mix64(hashes ^ np.uint64(0x51ED270153A9D7C1)) & np.uint64(64 * longs - 1)
+    n = np.bincount(at.astype(np.int64), minlength=64 * longs)
     return np.packbits((n & 1).astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(hashes: np.ndarray) -> np.ndarray | None:
+    return sketch(hashes, 1 << (4 * len(hashes) // 64).bit_length()) if len(hashes) > WIDE else None
+
+
+def bits_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many bits two sketches differ, the longer one folded to the length of the other."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())  # of signed numbers it counts the absolute value
+
+
 def _slim(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, n_shingles, node, s0, ...) of every row."""
+    """(doc_id, n_shingles, node, wide, s0, ...) of every row."""
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -136,9 +153,9 @@ def _slim(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 found = shingles(block, width)
                 ids = f.doc_id.iloc[at : at + len(block)].astype("Int64").reset_index(drop=True)
                 bits = np.stack([sketch(h) for h in found])
-                yield pd.DataFrame({"doc_id": ids, "n_shingles": [len(h) for h in found], "node": [digest(h) for h in found]} | {c: bits[:, i] for i, c in enumerate(_BITS)})
+                yield pd.DataFrame({"doc_id": ids, "n_shingles": [len(h) for h in found], "node": [digest(h) for h in found], "wide": [wide_sketch(h) for h in found]} | {c: bits[:, i] for i, c in enumerate(_BITS)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInPandas(measure, "doc_id long, n_shingles long, node long, " + ", ".join(f"{c} long" for c in _BITS))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInPandas(measure, "doc_id long, n_shingles long, node long, wide array<long>, " + ", ".join(f"{c} long" for c in _BITS))
 
 
 def _frequent(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,19 +230,17 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str, width: int) -> DataFrame:
-    """(node, set) of ``nodes`` (node, doc_id), read again from the texts."""
+def _texts(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str, width: int) -> DataFrame:
+    """(node, text) of ``nodes`` (node, doc_id) and of a few others; where ids repeat some more than once.  Nothing is shuffled."""
     held = _holds(_bitmap(nodes.select("doc_id")), docs.sparkSession)
 
-    def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for _, block in blocks(f.text[f.held]):
-                found = shingles(block, width)
-                yield pd.DataFrame({"node": [digest(h) for h in found], "set": [h.view(np.int64) for h in found]})
+                yield pd.DataFrame({"node": [digest(h) for h in shingles(block, width)], "text": block})
 
     key = F.col(id_col).cast("long")
-    read = docs.select(held(key).alias("held"), F.col(text_col).cast("binary").alias("text")).mapInPandas(again, "node long, set array<long>")
-    return read.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+    return docs.select(held(key).alias("held"), F.col(text_col).cast("binary").alias("text")).mapInPandas(named, "node long, text binary")
 
 
 def jaccard_components(docs: DataFrame, threshold: float = 0.75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,7 +252,7 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.75, width: int = 5,
     Other columns are ignored, whatever their names.
     """
     slim = stored(_slim(docs, id_col, text_col, width))
-    nodes = stored(slim.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), *(F.first(c).alias(c) for c in _BITS)))
+    nodes = stored(slim.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), *(F.first(c).alias(c) for c in ["wide", *_BITS])))
     comp = _linked(docs, nodes, round(100 * threshold), width, id_col, text_col)
     named = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -271,11 +286,11 @@ def _linked(docs: DataFrame, nodes: DataFrame, percent: int, width: int, id_col:
     """(node, component) of every node that is linked with another; stored."""
     salts = 32 + nodes.count() // ROWS_PER_SALT
     met = _met(docs, text_col, width, percent, salts)
-    found = stored(_first_pairs(met, nodes, percent, salts))
+    found = _wide_near(_first_pairs(met, nodes, percent, salts), nodes, percent)
     large = stored(met.where(f"held > {FIRST}"))
     free(met)
     need = found.select(F.explode(F.array("node", "b_node")).alias("node")).unionByName(large.select("node")).distinct()
-    sets = stored(_sets(docs, nodes.select("node", "doc_id").join(need, "node", "left_semi"), text_col, id_col, width))
+    texts = stored(_texts(docs, nodes.select("node", "doc_id").join(need, "node", "left_semi"), text_col, id_col, width))
     comp = stored(nodes.select("node", F.col("node").alias("component")).limit(0))
     done, lo, hi = [found], FIRST, 8 * FIRST + 1
     while True:
@@ -283,7 +298,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, percent: int, width: int, id_col:
         best = F.max(F.struct("n", "b_node", "b_size")).alias("best")
         first = stored(found.groupBy("node", "size").agg(best).select("node", "size", "best.*"))
         for some in (first, found.join(first, ["node", "b_node"], "left_anti")):
-            comp = _joined(comp, _verified(_apart(some, comp), sets, percent))
+            comp = _joined(comp, _verified(_apart(some, comp), texts, percent, width))
         free(first)
         now = _open(large, comp, nodes, lo)
         free(large)
@@ -291,9 +306,10 @@ def _linked(docs: DataFrame, nodes: DataFrame, percent: int, width: int, id_col:
         if now.isEmpty():
             break
         tried = reduce(DataFrame.unionByName, [d.select("node", "b_node") for d in done])
-        done.append(stored(_later_pairs(now, lo, hi, percent, salts).join(tried, ["node", "b_node"], "left_anti")))
+        later = _later_pairs(now, lo, hi, percent, salts).join(tried, ["node", "b_node"], "left_anti")
+        done.append(_wide_near(later, nodes, percent))
         lo, hi = hi, 8 * hi + 1
-    free(large, sets, *done)
+    free(large, texts, *done)
     return comp
 
 
@@ -340,6 +356,25 @@ def _first_pairs(met: DataFrame, nodes: DataFrame, percent: int, salts: int) ->
     return pairs.where(marks & _near(percent)).select("node", "b_node", "size", "b_size", "n")
 
 
+def _wide_near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` without those that the sketches of large sets exclude; stored."""
+    pairs = stored(pairs)
+    names = pairs.columns
+    both_large = (F.col("size") > WIDE) & (F.col("b_size") > WIDE)
+    wide = nodes.where(F.col("size") > WIDE).select("node", "wide")
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            most = [a + b - 2 * shared_least(a, b, percent) for a, b in zip(f["size"], f.b_size, strict=True)]
+            keep = [bits_apart(x, y) <= k for x, y, k in zip(f.wide, f.b_wide, most, strict=True)]
+            yield f.loc[keep, names]
+
+    large = pairs.where(both_large).join(wide, "node").join(wide.toDF("b_node", "b_wide"), "b_node")
+    out = stored(pairs.where(~both_large).unionByName(large.select(*names, "wide", "b_wide").mapInPandas(near, pairs.schema)))
+    free(pairs)
+    return out
+
+
 def _open(large: DataFrame, comp: DataFrame, nodes: DataFrame, lo: int) -> DataFrame:
     """Rows of the buckets of more than ``lo`` sets that lie in several components, with the set's component, size and sketch; stored."""
     now = large.where(f"held > {lo}").select("sig", "salt", "node", "marked", "held", "u").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -362,14 +397,27 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return both.where("a <> b").select("node", "b_node", "size", "b_size", "a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the ``pairs`` of which 100 times the intersection reaches ``percent`` times the union."""
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """(a, b) of the ``pairs`` of which 100 times the intersection reaches ``percent`` times the union; stored.
+
+    A leader that many sets try meets them in parts: Spark splits such a join (adaptive execution, on by default).
+    """
     pairs = stored(pairs)
     ends = pairs.select(F.explode(F.array("node", "b_node")).alias("doc_id")).distinct()
-    sets = sets.where(_holds(_bitmap(ends), pairs.sparkSession)("node"))  # few in later rounds: only these move
-    both = pairs.join(sets, "node").join(sets.toDF("b_node", "b_set"), "b_node")
-    common = F.size(F.array_intersect("set", "b_set"))
-    out = stored(both.where(common * 100 >= (F.col("size") + F.col("b_size") - common) * percent).select("a", "b").distinct())
+    texts = texts.where(_holds(_bitmap(ends), pairs.sparkSession)("node"))  # few in later rounds: only these move
+
+    def linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            on = np.zeros(len(f), dtype=bool)
+            for lo, block in blocks(f.text):
+                ours, theirs = (shingles(b, width) for b in (block, list(f.b_text.iloc[lo : lo + len(block)])))
+                for i, (x, y) in enumerate(zip(ours, theirs, strict=True)):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    on[lo + i] = 100 * common >= percent * (len(x) + len(y) - common)
+            yield f.loc[on, ["a", "b"]]
+
+    both = pairs.join(texts, "node").join(texts.toDF("b_node", "b_text"), "b_node").select("a", "b", "text", "b_text")
+    out = stored(both.mapInPandas(linked, "a long, b long").distinct())
     free(pairs)
     return out
 

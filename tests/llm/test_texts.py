@@ -104,8 +104,12 @@ def test_sketches_never_differ_in_more_bits_than_sets_in_features():
     for n in (5, 100, 5000):
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         b = np.unique(np.concatenate([a[n // 5 :], rng.integers(0, 2**63, n // 4).astype(np.uint64)]))
-        apart = sum(int(x).bit_count() for x in (partenum.sketch(a) ^ partenum.sketch(b)).view(np.uint64))
-        assert 0 < apart <= len(np.setxor1d(a, b))
+        apart = len(np.setxor1d(a, b))
+        assert 0 < partenum.bits_apart(partenum.sketch(a), partenum.sketch(b)) <= apart
+        if n == 5000:
+            assert 0.7 * apart < partenum.bits_apart(partenum.wide_sketch(a), partenum.wide_sketch(b)) <= apart
+            assert len(partenum.wide_sketch(a[:1500])) < len(partenum.wide_sketch(a))
+            assert partenum.bits_apart(partenum.wide_sketch(a[:1500]), partenum.wide_sketch(a)) <= len(a) - 1500
 
 
 def test_a_large_group_near_the_threshold_matches_brute_force(spark):
@@ -119,6 +123,8 @@ def test_a_large_group_near_the_threshold_matches_brute_force(spark):
         rows.append((i, " ".join(words)))
     # a passage that makes up most of many texts that are not near each other
     rows += [(1000 + i, " ".join(base[:60] + [f"p{i}x{k}" for k in range(rng.randint(8, 60))])) for i in range(200)]
+    long = [f"l{i}" for i in range(900)]
+    rows += [(2000 + i, " ".join(long[: 900 - 40 * i] + [f"q{i}x{k}" for k in range(20 * i)])) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in partenum.jaccard_components(df).collect()), key=str)
     want = components(df.collect())
