@@ -8,12 +8,12 @@ of the mean word score over ``EVIDENCE`` words (fewer, if the text has fewer).
 
 Training reads a bounded sample (``per_lang`` documents of each language, by a hash of the
 text), counts in Spark, and keeps the ``max_words`` commonest words and
-``max_grams`` commonest n-grams of each length and language, so the broadcast model has
-a size fixed by these parameters and the number of languages, of which the
-``max_langs`` with the most documents are learned.
+``max_grams`` commonest n-grams of each length and language, or as many as ``max_entries`` allow each of very many
+languages.  The broadcast model holds these entries only, so parameters fix its size; every language is learned.
 
 Rules: a null text or one without a letter is ``und`` with score 0, and so is
-every text if nothing was learned; equal scores go to the language first in code-point order.
+every text if nothing was learned; equal scores go to the language first in code-point order;
+repeated rows are scored alike and teach once; an empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairloom.llm.common import free, stored
+
 UND = "und"
 EVIDENCE = 20
 GRAMS = (4, 3, 2, 1)
@@ -55,41 +57,49 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class LanguageModel:
-    """Log frequencies by language of words (order 0) and n-grams; picklable and bounded."""
+    """Log frequencies by language of words (order 0) and n-grams; picklable and bounded.
+
+    An entry holds the languages that have it and by how much their logs exceed those of an unseen one.
+    """
 
     def __init__(self, rows: list, totals: dict[tuple[str, int], int]):
         self.langs = sorted({lang for lang, _ in totals})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        self.index: dict[int, dict[str, int]] = {n: {} for n in (0, *GRAMS)}
-        for _, n, gram, _ in rows:
-            self.index[n].setdefault(gram, len(self.index[n]))
-        self.logs = {}
-        for n, index in self.index.items():
-            counts = np.zeros((len(index), len(self.langs)))
-            for lang, k, gram, c in rows:
-                if k == n:
-                    counts[index[gram], at[lang]] = c
+        found: dict[int, dict[str, list]] = {n: {} for n in (0, *GRAMS)}
+        for lang, n, gram, c in rows:
+            found[n].setdefault(gram, []).append((at[lang], c))
+        self.index: dict[int, dict[str, tuple[np.ndarray, np.ndarray]]] = {}
+        self.unseen: dict[int, np.ndarray] = {}
+        for n, entries in found.items():
             total = np.array([totals.get((lang, n), 0) for lang in self.langs], dtype=float)
-            self.logs[n] = np.log((counts + 0.5) / (total + 0.5 * max(1, len(index)))).astype(np.float32)
+            self.unseen[n] = np.log(0.5 / (total + 0.5 * max(1, len(entries)))).astype(np.float32)
+            self.index[n] = {g: (np.array([i for i, _ in e], dtype=np.int32), np.log([2 * c + 1 for _, c in e]).astype(np.float32)) for g, e in entries.items()}
 
     def word_row(self, word: str) -> np.ndarray | None:
         word = word if word.isalpha() else "".join(c for c in word if c.isalpha())
         if not word:
             return None
-        if (i := self.index[0].get(word)) is not None:
-            return self.logs[0][i]
+        if (one := self.index[0].get(word)) is not None:
+            return self._mean(0, [one])
         for n in GRAMS:
             index = self.index[n]
-            if known := [i for g in _grams(word, n) if (i := index.get(g)) is not None]:
-                return self.logs[n][known].mean(axis=0)
+            if known := [e for g in _grams(word, n) if (e := index.get(g)) is not None]:
+                return self._mean(n, known)
         return np.zeros(len(self.langs), dtype=np.float32)
 
+    def _mean(self, n: int, known: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        row = self.unseen[n].copy()
+        for langs, more in known:
+            row[langs] += more / len(known)
+        return row
+
 
 class Scorer:
     """Scores texts, remembering up to ``room`` words."""
 
-    def __init__(self, model: LanguageModel, room: int = 200_000):
-        self.model, self.room = model, room
+    def __init__(self, model: LanguageModel, room: int = 800_000):
+        # so many numbers are remembered
+        self.model, self.room = model, max(1000, room // max(1, len(model.langs)))
         self.forget()
 
     def forget(self) -> None:
@@ -126,20 +136,24 @@ class Scorer:
         return self.model.langs[best], float(e[best] / e.sum())
 
 
-def train_language_model(labelled: DataFrame, per_lang: int = 500, max_words: int = 20_000, max_grams: int = 5_000, max_langs: int = 200) -> LanguageModel:
+def train_language_model(labelled: DataFrame, per_lang: int = 500, max_words: int = 20_000, max_grams: int = 5_000, max_entries: int = 2_000_000) -> LanguageModel:
     """From rows (text, lang) with neither null."""
-    hashed = labelled.withColumn("h", F.xxhash64("text"))
-    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).drop("count")
-    # hashes are put in order first, so that of the texts only the sample moves; copies count once
+    hashed = labelled.select("text", "lang", F.xxhash64("text").alias("h"))
+    # hashes are put in order first, so that of the texts only the sample moves; copies count once.  In two steps: of a
+    # language that most texts share, parts by hash pass on ``per_lang`` each
+    in_part = F.row_number().over(W.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h"))
+    parts = hashed.select("lang", "h").distinct().withColumn("k", in_part).where(F.col("k") <= per_lang).select("lang", "h")
     place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    cut = hashed.select("lang", "h").distinct().withColumn("k", place).where(F.col("k") <= per_lang).groupBy("lang").agg(F.max("h").alias("cut"))
-    cut = F.broadcast(cut.join(F.broadcast(common), "lang"))  # at most max_langs rows
+    cut = parts.withColumn("k", place).where(F.col("k") <= per_lang).groupBy("lang").agg(F.max("h").alias("cut"))
     sample = hashed.join(cut, "lang").where("h <= cut").groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
-    counts = sample.mapInPandas(_count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    counts = stored(sample.mapInPandas(_count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")))
+    share = min(1.0, max_entries / max(1, counts.select("lang").distinct().count() * (max_words + len(GRAMS) * max_grams)))
     place = F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
     total = F.sum("c").over(W.partitionBy("lang", "n"))
-    kept = counts.withColumns({"k": place, "total": total}).where(F.col("k") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams)).drop("k")
-    got = kept.orderBy("lang", "n", "gram").collect()  # bounded by max_langs, max_words and max_grams
+    most = F.when(F.col("n") == 0, max(1, int(share * max_words))).otherwise(max(1, int(share * max_grams)))
+    kept = counts.withColumns({"k": place, "total": total}).where(F.col("k") <= most).drop("k")
+    got = kept.orderBy("lang", "n", "gram").collect()  # at most max_entries, or five a language
+    free(counts)
     return LanguageModel([tuple(r)[:4] for r in got], {(r.lang, r.n): r.total for r in got})
 
 
@@ -158,5 +172,6 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str | Column =
 
 def drop_unidentified(docs: DataFrame, model: LanguageModel, min_score: float = 0.0) -> DataFrame:
     """The documents whose language was found with at least ``min_score``; columns unchanged."""
-    found = docs.withColumn("_language", predict_language(docs, model))
-    return found.where((F.col("_language.lang_pred") != UND) & (F.col("_language.score") >= min_score)).drop("_language")
+    mine = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    found = docs.select(mine, predict_language(docs, model).alias("language"))
+    return found.where((F.col("language.lang_pred") != UND) & (F.col("language.score") >= min_score)).select("doc.*")

@@ -15,13 +15,14 @@ The run is cut without sorting a source in one place: ranks are counted in a
 histogram of 4096 cells, its boundary cell in another of 4096, and only the
 documents of that last cell (a 2^-24 part of a source) are put in order.  The
 order then goes on past the document that did not fit: the documents left out that still fit are
-run through in the same way, until none does.
+run through in the same way, until none does.  If the smallest one left then brings a source nearer to its target
+although it goes beyond it, it is taken as well; so a source ends within half of its smallest document left out.
 
 DataFrame functions only.
 
 Rules: a null or empty text has size 0 and is never taken.  A null source is a
-source of its own, last in order.  Rows with the same id, source and size are
-drawn together by the same ``U`` and told apart by no order.  An empty table gives an
+source of its own, last in order.  Rows that repeat id, source and size are counted and
+numbered, each number with a ``U`` of its own.  Equal ranks go by id, then number.  An empty table gives an
 empty result.  Other columns of the input are ignored.
 """
 
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairloom.functions.ranking import with_position, with_running_sums
 from pairloom.llm.common import stored, unit_hash
 
 CELLS = 4096
@@ -58,29 +60,27 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), max_r
     the words left, shared by the weights left.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
     w = F.array(*(F.lit(float(x)) for x in weights))
-    per = per.withColumn("weight", F.element_at(w, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
-    per = per.withColumn("cap", F.col("source_size") * F.lit(float(max_repeats)))
-    by_ratio = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    every = W.partitionBy(F.lit(0))
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumns({
-        "left": F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
-        "weight_left": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
-    })
+    per = with_position(per, F.col("source").asc_nulls_last(), name="place")
+    per = per.withColumn("weight", F.element_at(w, (F.col("place") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(float(max_repeats)))
+    # prefix sums over the sources by cap / weight, from a range sort: there may be as many sources as hosts
+    per = with_running_sums(per, [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()], {"cap_run": "cap", "weight_run": "weight"})
+    every = per.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    left = F.col("all_size") - F.col("cap_run") + F.col("cap")
+    weight_left = F.col("all_weight") - F.col("weight_run") + F.col("weight")
     # left / weight_left rises as long as sources are capped and falls after: its peak is the level
-    level = F.max(F.col("left") / F.col("weight_left")).over(every)
-    return per.withColumn("level", level).select(
-        "source", "source_size", F.least(F.col("cap"), F.col("level") * F.col("weight")).alias("target")
-    )
+    level = per.crossJoin(F.broadcast(every)).agg(F.max(left / weight_left).alias("level"))
+    return per.crossJoin(F.broadcast(level)).select("source", "source_size", F.least(F.col("cap"), F.col("level") * F.col("weight")).alias("target"))
 
 
 def mix_sources(
     docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: float = 3.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, taken (words, repeats counted) and copies."""
-    slim = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    """One row per document: id, source, size, source_size, target, taken (words, repeats counted), copies, and number (1, 2, ... among rows that repeat id, source and size)."""
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    # repeated rows are counted before they move, and numbered
+    numbers = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("number")
+    slim = stored(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")).select("doc_id", "source", "size", numbers))
     targets = source_targets(slim, weights, max_repeats)
     targets = stored(
         targets.withColumn("whole", F.floor(F.coalesce(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(0.0)) + F.lit(1e-12)))
@@ -96,19 +96,19 @@ def mix_sources(
     )
     t = _per_source(targets.withColumnRenamed("source", "t_source"), sources)
     pi = F.least(F.lit(0.999), F.greatest(F.lit(1e-9), F.col("due") * F.sqrt("size") / F.col("root_words")))
-    u = unit_hash(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("size"))
+    u = unit_hash(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("size"), F.col("number"))
     ranked = slim.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     odds = (u / (1 - u)) / (pi / (1 - pi))
     fits = (F.col("size") > 0) & (F.col("most") >= 0.5) & (F.col("size") <= F.col("most"))
     sure = F.coalesce(fits & (F.col("size") >= F.col("certain_from")), F.lit(False))
     # rank / (1 + rank) keeps the order and lies in (0, 1)
     ranked = ranked.withColumns({"sure": sure, "rank": F.when(fits & ~sure, odds / (1 + odds)), "words": F.col("size")})
-    kept = ["doc_id", "source", "size", "source_size", "target", "whole", "due", "rank", "in"]
+    kept = ["doc_id", "source", "size", "number", "source_size", "target", "whole", "most", "due", "rank", "in"]
     drawn = _run(ranked.where("rank is not null"), sources).select(*kept)
     drawn = stored(drawn.unionByName(ranked.where("rank is null").withColumn("in", F.col("sure").cast("int")).select(*kept)))
-    drawn = _fill(drawn, sources)
+    drawn = _rounded(_fill(drawn, sources), sources)
     copies = F.col("whole").cast("long") + F.col("in")
-    return drawn.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return drawn.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "number")
 
 
 def _certain(slim: DataFrame, targets: DataFrame, sources: int) -> DataFrame:
@@ -138,7 +138,7 @@ def _run(rows: DataFrame, sources: int) -> DataFrame:
     ranked = ranked.join(_per_source(fine, sources), F.col("source").eqNullSafe(F.col("f_source")), "left").drop("f_source")
 
     last = (F.col("cell") == F.col("cut_cell")) & (F.col("fine") == F.col("cut_fine"))
-    run = F.sum("words").over(W.partitionBy("source").orderBy("rank", "doc_id"))
+    run = F.sum("words").over(W.partitionBy("source").orderBy("rank", "doc_id", "number"))
     edge = ranked.where(last).withColumn("in", run <= F.col("fine_due"))
     # where no cell was cut the words due cover the whole source
     sure = F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell")) | ((F.col("cell") == F.col("cut_cell")) & (F.col("cut_fine").isNull() | (F.col("fine") < F.col("cut_fine"))))
@@ -159,11 +159,10 @@ def _fill(drawn: DataFrame, sources: int) -> DataFrame:
     """Goes on in the order past what did not fit: runs through the documents left out that still fit, until none does.
 
     A run ends at a document that no longer fits, and its first one always fits, so every turn leaves fewer.
-    Rows of one id, source and size are one unit.
     """
     ranked = drawn.where("rank is not null")
     gaps = stored(ranked.groupBy(F.col("source").alias("g_source")).agg((F.max("due") - F.sum(F.col("in") * F.col("size"))).alias("gap")))
-    units = ranked.where("in = 0").groupBy("source", "doc_id", "size").agg(F.min("rank").alias("rank"), F.sum("size").alias("words"))
+    units = ranked.where("in = 0").select("source", "doc_id", "size", "number", "rank", F.col("size").alias("words"))
     taken = None
     while True:
         g = _per_source(gaps, sources)
@@ -180,15 +179,32 @@ def _fill(drawn: DataFrame, sources: int) -> DataFrame:
         units = turn.where("in = 0").drop("due", "in")
     if taken is None:
         return drawn
-    keys = taken.select(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), F.lit(1).alias("added"))
-    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("size") == F.col("k_size"))
+    keys = taken.select(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), F.col("number").alias("k_number"), F.lit(1).alias("added"))
+    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("size") == F.col("k_size")) & (F.col("number") == F.col("k_number"))
     hit = F.col("rank").isNotNull() & F.col("added").isNotNull()
-    return stored(drawn.join(keys, same, "left").withColumn("in", F.when(hit, 1).otherwise(F.col("in"))).drop("k_id", "k_source", "k_size", "added"))
+    return stored(drawn.join(keys, same, "left").withColumn("in", F.when(hit, 1).otherwise(F.col("in"))).drop("k_id", "k_source", "k_size", "k_number", "added"))
+
+
+def _rounded(drawn: DataFrame, sources: int) -> DataFrame:
+    """Takes the smallest document left out (then that of the least id) where it is less than twice what is still due."""
+    gaps = drawn.groupBy(F.col("source").alias("g_source")).agg((F.max("most") - F.sum(F.col("in") * F.col("size"))).alias("gap"))
+    left = drawn.where("in = 0 and size > 0").groupBy(F.col("source").alias("n_source")).agg(F.min(F.struct("size", "doc_id", "number")).alias("next"))
+    more = left.join(gaps, F.col("n_source").eqNullSafe(F.col("g_source"))).where("next.size < 2 * gap").select("n_source", "next")
+    out = drawn.join(_per_source(more, sources), F.col("source").eqNullSafe(F.col("n_source")), "left")
+    hit = F.col("next").isNotNull() & F.struct("size", "doc_id", "number").eqNullSafe(F.col("next"))
+    return out.withColumn("in", F.when(hit, 1).otherwise(F.col("in"))).drop("n_source", "next")
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: float = 3.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix, each as often as it was taken; columns unchanged."""
     mix = mix_sources(docs, weights, max_repeats, seed, id_col, text_col, source_col)
-    taken = mix.where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").cast("int").alias("_copies")).withColumnsRenamed({"doc_id": "_id", "source": "_source", "size": "_size"})
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (word_count(F.col(text_col)) == F.col("_size"))
-    return docs.join(taken, same).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    taken = mix.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    mine = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    keyed = docs.select(mine, F.col(id_col).alias("k_id"), F.col(source_col).alias("k_source"), word_count(F.col(text_col)).alias("k_size"))
+    same = F.col("k_id").eqNullSafe(F.col("doc_id")) & F.col("k_source").eqNullSafe(F.col("source")) & (F.col("k_size") == F.col("size"))
+    met = keyed.join(taken, same)
+    once = met.where("rows = 1").select("doc", "copies")
+    # rows that repeat id, source and size share their copies evenly, the first in order of text taking what is over
+    place = F.row_number().over(W.partitionBy("k_id", "k_source", "k_size").orderBy(F.col(f"doc.`{text_col}`")))
+    over = met.where("rows > 1").withColumn("place", place).select("doc", F.expr("copies div rows + if(place <= copies % rows, 1, 0)").alias("copies"))
+    return once.unionByName(over).where("copies > 0").select("doc", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("doc.*")

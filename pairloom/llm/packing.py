@@ -40,7 +40,6 @@ from pairloom.llm.common import stored
 
 CAPACITY = 4096
 END_ID = 1
-MAX_PLAN_ROWS = 4_000_000
 
 
 def _byte_signs() -> dict[int, str]:
@@ -103,7 +102,8 @@ class WordTokenizer:
         if len(self.parts) > 2 * self.room:
             self.parts.clear()
         lower = text.lower()
-        if len(lower) == len(text) and "Σ" not in text:  # else lower case depends on what stands around
+        # else lower case depends on what stands around, or composes anew with a mark that follows
+        if len(lower) == len(text) and "Σ" not in text and (lower.isascii() or unicodedata.is_normalized("NFC", lower)):
             text = lower
         get, add = self.words.get, self._word
         return b"".join([get(w) or add(w) for w in text.split()])
@@ -182,7 +182,11 @@ def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 200) -
 
 
 def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
-    """Plan rows (length, first, count, per, sequence, offset) that place every piece of the histogram."""
+    """Plan rows (length, first, count, per, sequence, offset) that place every piece of the histogram.
+
+    Their number does not grow with the pieces: patterns give at most 4 * 13 * capacity rows; of the sequences after them each
+    uses up a length or leaves fewer of it than fit, so there are at most two a length, with fewer than sqrt(2 * capacity) lengths in each.
+    """
     lengths = np.array(sorted(counts), dtype=np.int64)
     left = np.array([counts[int(x)] for x in lengths], dtype=np.int64)
     taken = np.zeros_like(left)
@@ -241,17 +245,20 @@ def _fitting(alive: list[int], lengths: np.ndarray, room: int, hi: int) -> int:
     return lo
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFrame:
-    """``pieces`` (stored) with sequence_id and offset."""
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, rows_per_salt: int = 250_000) -> DataFrame:
+    """``pieces`` (stored) with sequence_id and offset.
+
+    Pieces of one length are numbered in as many tasks as all pieces would need at ``rows_per_salt`` each, so that
+    even a length that all of them share overfills none.
+    """
     spark = pieces.sparkSession
+    salts = 16 + pieces.count() // rows_per_salt
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("before", before)
     histogram = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     plan = plan_sequences(histogram, capacity)
-    if len(plan) > MAX_PLAN_ROWS:
-        raise ValueError(f"a plan of {len(plan)} rows; lower the capacity")
     shared = spark.sparkContext.broadcast({c: plan[c].to_numpy() for c in plan})
     place = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece"))
     # at most capacity * salts rows

@@ -8,11 +8,12 @@ counts as a share of its family's n-grams; a score is the sparse dot product
 through a sigmoid.
 
 Training is FTRL-proximal with per-coordinate rates (learning rate ``alpha``,
-``beta``, L1, L2) over a sample of at most ``max_rows`` labelled documents of at most
-``max_chars`` characters, chosen by a hash of their ids, in one task; repeated for ``epochs``.
+``beta``, L1, L2) over a sample of at most ``max_rows`` labelled documents, read whole and
+chosen by a hash of their ids; many tasks count their n-grams, one makes ``epochs`` passes over the sparse counts.
 
 Rules: null and empty texts get the score of the bias; rows without a label,
-or held out, teach nothing; with no labelled row every score is 0.5.
+or held out, teach nothing; with no labelled row every score is 0.5; repeated rows are scored alike and
+teach as often as they occur; an empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,21 +88,27 @@ def example(text: bytes, label: int) -> tuple[np.ndarray, np.ndarray, int]:
     return i, np.bincount(back, weights=np.concatenate(val)), label
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 50_000, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> np.ndarray:
+def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> np.ndarray:
     """``docs`` (doc_id, text) joined to ``labels`` (doc_id, label); returns the weights."""
     chosen = labels.where("label is not null").select("doc_id", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     # at most max_rows ids
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [example(bytes(t), y) for t, y in zip(f.text, f.label, strict=True)]
+            yield pd.DataFrame({"doc_id": f.doc_id, "label": f.label, "at": [i for i, _, _ in found], "x": [x for _, x, _ in found]})
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = [(i, bytes(t), y) for f in frames for i, t, y in zip(f.doc_id, f.text, f.label, strict=True)]
-        found.sort(key=lambda e: (hash((e[0] * 2654435761) & 0xFFFFFFFF), e[0], e[2], e[1]))
+        found = [(d, i, x, y) for f in frames for d, i, x, y in zip(f.doc_id, f["at"], f.x, f.label, strict=True)]
+        found.sort(key=lambda e: (hash((e[0] * 2654435761) & 0xFFFFFFFF), e[0], e[3], e[1].tobytes(), e[2].tobytes()))
         if found:
-            w = ftrl([example(t, y) for _, t, y in found], epochs, alpha, beta, l1, l2)
+            w = ftrl([(i, x, y) for _, i, x, y in found], epochs, alpha, beta, l1, l2)
             at = np.flatnonzero(w)
             yield pd.DataFrame({"i": at, "w": w[at]})
 
-    got = sample.repartition(1).mapInPandas(learn, "i long, w double").toPandas()  # at most 2^BITS + 1 rows
+    counted = sample.mapInPandas(count, "doc_id long, label int, at array<long>, x array<double>")
+    got = counted.repartition(1).mapInPandas(learn, "i long, w double").toPandas()  # at most 2^BITS + 1 rows
     weights = np.zeros(BIAS + 1)
     weights[got.i.to_numpy(dtype=np.int64)] = got.w.to_numpy(dtype=float)
     return weights

@@ -11,7 +11,8 @@ sample reach the wanted recall within the sample.
 Inner products become distances by one more component, sqrt(M^2 - |x|^2) with
 M the largest norm (0 in queries), so nearest means largest product.
 Lists meet the queries that chose them in tasks of bounded size: a list of many rows
-is spread over tasks by hash.  Scores are inner products of the given vectors in
+is cut by hash into parts, which go to different tasks, and a task that many queries ask for is repeated for
+blocks of TASK_QUERIES of them.  Scores are inner products of the given vectors in
 double precision; a query's best of each task meet at the end.
 """
 
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import stored
 from pairloom.llm.vectors import matrix, padded, usable
 
-SAMPLE = 8192
+#: Vectors that the centroids are fitted to: so many, or sixteen a list up to the second number.
+SAMPLE = (8192, 32_768)
 TASK_ROWS = 30_000
+TASK_QUERIES = 20_000
 
 
 def lift(x: np.ndarray, largest: float) -> np.ndarray:
@@ -142,7 +145,7 @@ class Centroids:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, copies: int = 4, spread: float = 0.1, recall: float = 0.97, rows_per_list: int = 200, max_lists: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, queries: DataFrame, k: int = 20, copies: int = 4, spread: float = 0.1, recall: float = 0.97, rows_per_list: int = 200, max_lists: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row of ``queries`` its ``k`` nearest found among ``vectors``.
 
@@ -161,10 +164,11 @@ def nearest(
     n, largest = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
     if not n:
         return asked.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    sample = rows.select("vec").orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(SAMPLE).toPandas()  # at most SAMPLE vectors
+    lists = max(1, min(max_lists, n // rows_per_list, SAMPLE[1] // 4))
+    sample = rows.select("vec").orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(min(SAMPLE[1], max(SAMPLE[0], 16 * lists))).toPandas()  # at most SAMPLE[1] vectors
     x = matrix(sample.vec)
     lifted = lift(x, largest)
-    lists = max(1, min(max_lists, n // rows_per_list, len(x) // 4))
+    lists = max(1, min(lists, len(x) // 4))
     index = Centroids(balanced_centroids(lifted, lists))
     some = np.random.default_rng(4).permutation(len(x))[:256]
     index.calibrate(lifted, np.hstack([x[some], np.zeros((len(some), 1))]), some, k, recall, copies, spread)
@@ -183,8 +187,8 @@ def nearest(
         counts[r.list] = r.n
     total = int(posted.agg(F.sum(F.size("lists"))).first()[0])
     tasks = max(1, -(-total // TASK_ROWS))
-    # a list goes to one task, or is spread by hash over all if its primary rows alone would fill a task
-    wide = frozenset(np.flatnonzero(counts > TASK_ROWS // 2).tolist())
+    # a list lies in one task, or in as many as half-filled tasks would hold its primary rows
+    parts = np.maximum(1, -(-2 * counts // TASK_ROWS)).astype(np.int64)
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = index.value
@@ -192,21 +196,24 @@ def nearest(
         for f in frames:
             at, task, chosen = [], [], []
             for i, v in enumerate(f.vec):
-                found = c.search(np.append(np.asarray(v, dtype=float), 0.0), k + 1)
-                everywhere = [j for j in found if int(j) in wide]
-                for t in range(tasks) if everywhere else np.unique(found % tasks):
-                    mine = [j for j in found if int(j) not in wide and j % tasks == t] + everywhere
-                    if mine:
-                        at.append(i)
-                        task.append(int(t))
-                        chosen.append(np.array(mine, dtype=np.int32))
-            yield f[["vec_id", "vec"]].iloc[at].assign(lists=chosen, task=task, is_query=True)
-
-    schema = "vec_id long, vec array<double>, lists array<int>, task int, is_query boolean"
-    one = posted.withColumn("list", F.explode("lists"))
-    where = F.when(F.col("list").isin(*wide), F.pmod(F.xxhash64("vec_id"), F.lit(tasks))).otherwise(F.col("list") % tasks) if wide else F.col("list") % tasks
-    members = one.select("vec_id", "vec", F.array("list").alias("lists"), where.cast("int").alias("task"), F.lit(False).alias("is_query"))
-    met = members.unionByName(asked.select("vec_id", "vec").mapInPandas(ask, schema))
+                where: dict[int, set[int]] = {}
+                for j in c.search(np.append(np.asarray(v, dtype=float), 0.0), k + 1).tolist():
+                    for p in range(min(tasks, int(parts[j]))):
+                        where.setdefault((j + p) % tasks, set()).add(j)
+                for t, lists_ in where.items():
+                    at.append(i)
+                    task.append(t)
+                    chosen.append(np.array(sorted(lists_), dtype=np.int32))
+            yield f[["vec_id", "vec"]].iloc[at].assign(lists=chosen, task=task)
+
+    asked = stored(asked.select("vec_id", "vec").mapInPandas(ask, "vec_id long, vec array<double>, lists array<int>, task int"))
+    blocks = asked.groupBy("task").agg(F.ceil(F.count(F.lit(1)) / TASK_QUERIES).cast("int").alias("blocks"))
+    part_of = F.element_at(F.array(*(F.lit(int(p)) for p in parts)), F.col("list") + 1) if parts.max() > 1 else F.lit(1)
+    members = posted.withColumn("list", F.explode("lists"))
+    members = members.withColumn("task", ((F.col("list") + F.pmod(F.xxhash64("vec_id"), part_of)) % tasks).cast("int")).join(blocks, "task")
+    members = members.select("vec_id", "vec", F.array("list").alias("lists"), "task", F.explode(F.sequence(F.lit(1), "blocks")).alias("block"), F.lit(False).alias("is_query"))
+    asked_in = asked.join(blocks, "task").select("vec_id", "vec", "lists", "task", (F.pmod(F.xxhash64("vec_id"), "blocks") + 1).cast("int").alias("block"), F.lit(True).alias("is_query"))
+    met = members.unionByName(asked_in)
 
     def best(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         q, p = f[f.is_query], f[~f.is_query].sort_values("vec_id")
@@ -248,7 +255,7 @@ def nearest(
             ss.append(s[top])
         return pd.DataFrame({"query_id": np.concatenate(ids), "vec_id": np.concatenate(vs), "score": np.concatenate(ss)}) if ids else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=object)
 
-    each = met.groupBy("task").applyInPandas(best, "query_id long, vec_id long, score double")
+    each = met.groupBy("task", "block").applyInPandas(best, "query_id long, vec_id long, score double")
     one_each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return one_each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

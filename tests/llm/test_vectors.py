@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from pairloom.llm import spann
 from pairloom.llm.covertree import near_vectors
 from pairloom.llm.spann import nearest
 
@@ -97,3 +98,22 @@ def test_an_id_of_several_vectors_counts_by_its_best(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted((r.rank, r.vec_id, r.score) for r in nearest(df, df.where("vec_id = 0"), 20, max_lists=1).collect())
     assert [v for _, v, _ in got] == [1, *range(24, 5, -1)] and got[0][2] == 39.0
+
+
+@pytest.mark.parametrize("queries", [20_000, 7])
+def test_recall_on_the_given_vectors(spark, monkeypatch, queries):
+    monkeypatch.setattr(spann, "TASK_QUERIES", queries)
+    monkeypatch.setattr(spann, "TASK_ROWS", 30_000 if queries > 7 else 60)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    pd_ = df.toPandas()
+    x, ids = np.stack(pd_.embedding).astype(float), pd_.vec_id.to_numpy()
+    got = {}
+    for r in nearest(df, df.where("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(got[ids[i]] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+        total += 20
+    assert hits / total >= 0.9
