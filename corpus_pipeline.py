@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a DataFrame, which is written as Parquet and read again as the
 next one's documents.
+
+Rules for every stage: an empty table gives no rows; other columns, whatever their names, pass unchanged through all
+stages but the last; what a stage does with nulls and repeated rows is said at the stage.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import stored, table, tokenizer_path
+from pairloom.llm.common import free, stored, table, tokenizer_path
 from pairloom.llm.langid import drop_unidentified, train_language_model
 from pairloom.llm.mixing import mixed_documents
 from pairloom.llm.packing import pack_documents
@@ -19,32 +22,44 @@ from pairloom.llm.pii import redact, train_spans
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; those without a letter go."""
+    """Documents whose language the model recognises.
+
+    A document goes if its text is null or has no letter, or if no learned language reaches LEAST_SCORE, of 1 for all of
+    them.  Rows without a language or text teach nothing; repeated rows are treated alike.
+    """
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    return drop_unidentified(docs, train_language_model(learn))
+    return drop_unidentified(docs, train_language_model(learn), LEAST_SCORE)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group linked by a Jaccard similarity of 0.75 or more on five-word shingles."""
+    """One document of every group linked by a Jaccard similarity of 0.75 or more on five-word shingles.
+
+    The one of the smallest id stays; of rows that repeat id and text one.  Null and wordless texts are linked with nothing and stay.
+    """
     return keep_one(docs, threshold=0.75, width=5)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind, n_chars counted anew."""
+    """Personal data replaced by its kind, n_chars counted anew.  A null text stays null; no row goes."""
     out = docs.withColumn("text", redact(docs, train_spans(docs)))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources ask for."""
+    """Documents as often as the target weights of their sources ask for.
+
+    A null source is one of its own, last in order; null and wordless texts are never taken; repeated rows are taken one by one.
+    """
     return mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens and their places in sequences."""
+    """Pieces of at most 4096 tokens and their places in sequences.  A null text is packed as the end id alone; repeated rows one by one."""
     return pack_documents(docs, tokenizer_path())
 
 
+#: A language is found if its share of the evidence, four languages having at least a quarter, is so large.
+LEAST_SCORE = 0.4
 STAGES = [
     ("language_id", identify_language),
     ("near_copies", drop_near_copies),
@@ -59,5 +74,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        free(before)
     return docs
