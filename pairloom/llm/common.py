@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.storage import free, stored
 
-__all__ = ["fold", "free", "stored", "table", "tokenizer_path", "unit_hash"]
+__all__ = ["fold", "free", "small_batches", "stored", "table", "tokenizer_path", "unit_hash"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +33,15 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Hands Python at most ``rows`` rows at a time in the jobs run inside; for whole texts, of which ten thousand may fill a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

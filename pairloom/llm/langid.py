@@ -34,6 +34,7 @@ from pairloom.llm.common import free, stored
 UND = "und"
 EVIDENCE = 20
 GRAMS = (4, 3, 2, 1)
+BROADCAST_LANGS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -144,7 +145,9 @@ def train_language_model(labelled: DataFrame, per_lang: int = 500, max_words: in
     in_part = F.row_number().over(W.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h"))
     parts = hashed.select("lang", "h").distinct().withColumn("k", in_part).where(F.col("k") <= per_lang).select("lang", "h")
     place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    cut = parts.withColumn("k", place).where(F.col("k") <= per_lang).groupBy("lang").agg(F.max("h").alias("cut"))
+    cut = stored(parts.withColumn("k", place).where(F.col("k") <= per_lang).groupBy("lang").agg(F.max("h").alias("cut")))
+    # a row a language, counted; with it at hand only the sampled texts move
+    cut = F.broadcast(cut) if cut.count() <= BROADCAST_LANGS else cut
     sample = hashed.join(cut, "lang").where("h <= cut").groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
     counts = stored(sample.mapInPandas(_count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")))
     share = min(1.0, max_entries / max(1, counts.select("lang").distinct().count() * (max_words + len(GRAMS) * max_grams)))

@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import free, stored
+from pairloom.llm.common import free, small_batches, stored
 from pairloom.llm.components import connected_components
 from pairloom.llm.textblocks import blocks, mix64, shingles
 
@@ -69,6 +69,8 @@ SAMPLE_PART = 32
 MAX_FREQUENT = 200_000
 #: Sets of more features have a sketch of their own size.
 WIDE = 512
+#: Texts that Python is handed at a time, and pairs of them.
+BATCH, PAIR_BATCH = 1000, 100
 #: A task remembers so many nodes it has sent.
 SEEN = 200_000
 
@@ -205,14 +207,22 @@ def _place(number: Column | str, bits: int) -> Column:
     return F.pmod(F.xxhash64(number), F.lit(1 << bits))
 
 
+def _bits(bitmap: np.ndarray) -> int:
+    return int(len(bitmap) * 64).bit_length() - 1
+
+
+def _on(bitmap: np.ndarray, at: pd.Series) -> np.ndarray:
+    at = at.to_numpy(dtype=np.int64)
+    return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
+
+
 def _holds(bitmap: np.ndarray, spark: SparkSession) -> Callable[[Column | str], Column]:
     """Whether the bitmap holds the place of a number."""
-    shared, bits = spark.sparkContext.broadcast(bitmap), int(len(bitmap) * 64).bit_length() - 1
+    shared, bits = spark.sparkContext.broadcast(bitmap), _bits(bitmap)
 
     @F.pandas_udf("boolean")
     def held(at: pd.Series) -> pd.Series:
-        at = at.to_numpy(dtype=np.int64)
-        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+        return pd.Series(_on(shared.value, at))
 
     # else the optimiser would also ask it of whatever the filtered column is joined with
     held = held.asNondeterministic()
@@ -232,15 +242,16 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 
 def _texts(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str, width: int) -> DataFrame:
     """(node, text) of ``nodes`` (node, doc_id) and of a few others; where ids repeat some more than once.  Nothing is shuffled."""
-    held = _holds(_bitmap(nodes.select("doc_id")), docs.sparkSession)
+    bitmap = _bitmap(nodes.select("doc_id"))
+    shared, bits = docs.sparkSession.sparkContext.broadcast(bitmap), _bits(bitmap)
 
     def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for _, block in blocks(f.text[f.held]):
+            for _, block in blocks(f.text[_on(shared.value, f["at"])]):
                 yield pd.DataFrame({"node": [digest(h) for h in shingles(block, width)], "text": block})
 
     key = F.col(id_col).cast("long")
-    return docs.select(held(key).alias("held"), F.col(text_col).cast("binary").alias("text")).mapInPandas(named, "node long, text binary")
+    return docs.select(_place(key, bits).alias("at"), F.col(text_col).cast("binary").alias("text")).mapInPandas(named, "node long, text binary")
 
 
 def jaccard_components(docs: DataFrame, threshold: float = 0.75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,7 +262,8 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.75, width: int = 5,
     set; a null id takes part and gets the smallest id of its component.  An empty table gives no rows.
     Other columns are ignored, whatever their names.
     """
-    slim = stored(_slim(docs, id_col, text_col, width))
+    with small_batches(docs.sparkSession, BATCH):
+        slim = stored(_slim(docs, id_col, text_col, width))
     nodes = stored(slim.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), *(F.first(c).alias(c) for c in ["wide", *_BITS])))
     comp = _linked(docs, nodes, round(100 * threshold), width, id_col, text_col)
     named = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -273,7 +285,8 @@ def _met(docs: DataFrame, text_col: str, width: int, percent: int, salts: int) -
     mark = F.col("key").bitwiseAND(1)
     seen = sent.withColumns({"lo": F.min("key").over(by_sig), "hi": F.max("key").over(by_sig), "any": F.max(mark).over(by_sig), "held": F.count(F.lit(1)).over(by_sig)})
     meets = seen.where("salt > 0 or (any = 1 and shiftright(lo, 1) <> shiftright(hi, 1))")
-    parts = stored(meets.groupBy("sig", "salt", node.alias("node")).agg((F.max(mark) == 1).alias("marked"), F.max("held").alias("held")))
+    with small_batches(docs.sparkSession, BATCH):
+        parts = stored(meets.groupBy("sig", "salt", node.alias("node")).agg((F.max(mark) == 1).alias("marked"), F.max("held").alias("held")))
     # at most MAX_FREQUENT features in two bands each
     whole = F.broadcast(parts.where("salt > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("all_held")))
     u = F.shiftrightunsigned(F.xxhash64("node"), 11) / F.lit(float(1 << 53))
@@ -290,7 +303,8 @@ def _linked(docs: DataFrame, nodes: DataFrame, percent: int, width: int, id_col:
     large = stored(met.where(f"held > {FIRST}"))
     free(met)
     need = found.select(F.explode(F.array("node", "b_node")).alias("node")).unionByName(large.select("node")).distinct()
-    texts = stored(_texts(docs, nodes.select("node", "doc_id").join(need, "node", "left_semi"), text_col, id_col, width))
+    with small_batches(docs.sparkSession, BATCH):
+        texts = stored(_texts(docs, nodes.select("node", "doc_id").join(need, "node", "left_semi"), text_col, id_col, width))
     comp = stored(nodes.select("node", F.col("node").alias("component")).limit(0))
     done, lo, hi = [found], FIRST, 8 * FIRST + 1
     while True:
@@ -417,7 +431,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
             yield f.loc[on, ["a", "b"]]
 
     both = pairs.join(texts, "node").join(texts.toDF("b_node", "b_text"), "b_node").select("a", "b", "text", "b_text")
-    out = stored(both.mapInPandas(linked, "a long, b long").distinct())
+    with small_batches(pairs.sparkSession, PAIR_BATCH):
+        out = stored(both.mapInPandas(linked, "a long, b long").distinct())
     free(pairs)
     return out
 
