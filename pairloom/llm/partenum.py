@@ -28,7 +28,7 @@ Of the pairs that a parity sketch does not exclude, those are verified first in
 with its leader, then the others that still join two components.  Near copies by the thousand thus cost a few
 comparisons each, and no link between components is lost.
 
-A sketch has 1024 bits, each the parity of the features that fall on it: two
+A sketch has 512 bits, each the parity of the features that fall on it: two
 sets differ in at least as many features as their sketches in bits.  Sets of more than WIDE features have a second
 sketch of four to eight bits a feature.  Pairs are verified on their whole texts, which are smaller than their sets.
 
@@ -60,7 +60,7 @@ ROWS_PER_SALT = 1_000_000
 #: About so many sets of a bucket lead in the first round.
 FIRST = 9
 #: Longs of a sketch.
-SKETCH = 16
+SKETCH = 8
 _BITS = [f"s{i}" for i in range(SKETCH)]
 #: Bits of a bitmap as a power of two: sixteen a row, within these bounds (128 KB and 16 MB).
 BITMAP_BITS = (20, 27)
@@ -68,7 +68,7 @@ BITMAP_BITS = (20, 27)
 SAMPLE_PART = 32
 MAX_FREQUENT = 200_000
 #: Sets of more features have a sketch of their own size.
-WIDE = 512
+WIDE = 256
 #: Texts that Python is handed at a time, and pairs of them.
 BATCH, PAIR_BATCH = 1000, 100
 #: A task remembers so many nodes it has sent.
