@@ -9,10 +9,20 @@ from pyspark.sql import functions as F
 from pairloom.functions.storage import stored
 
 
-def _ranged(df: DataFrame, order: list[str | Column]) -> DataFrame:
+def _names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def _ranged(df: DataFrame, order: list[str | Column], at: str, part: str, low: str) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    return stored(placed).withColumns({"_part": F.shiftright("_at", 33), "_low": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    return stored(placed).withColumns({part: F.shiftright(at, 33), low: F.col(at).bitwiseAND((1 << 33) - 1)})
 
 
 def with_position(df: DataFrame, *order: str | Column, name: str = "position") -> DataFrame:
@@ -20,23 +30,26 @@ def with_position(df: DataFrame, *order: str | Column, name: str = "position") -
 
     One range sort; then only the row count of each partition is summed in order.
     """
-    placed = _ranged(df, list(order))
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", before.alias("_before"))  # a row a partition
-    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_low")).drop("_part", "_before", "_low", "_at")
+    at, part, low, ahead = _names(df, "_at", "_part", "_low", "_before")
+    placed = _ranged(df, list(order), at, part, low)
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(part, before.alias(ahead))  # a row a partition
+    return placed.join(F.broadcast(offsets), part).withColumn(name, F.col(ahead) + F.col(low)).drop(part, ahead, low, at)
 
 
 def with_running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
     """``df`` with, for each ``new: column`` of ``sums``, the sum of the column up to and including the row."""
-    placed = _ranged(df, order)
-    totals = placed.groupBy("_part").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
-    ahead = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("_part", *(F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0)).alias(f"_b_{n}") for n in sums))
-    inside = W.partitionBy("_part").orderBy("_low")
-    out = placed.join(F.broadcast(offsets), "_part")
-    out = out.withColumns({n: F.sum(c).over(inside) + F.col(f"_b_{n}") for n, c in sums.items()})
-    return out.drop("_part", "_low", "_at", *(f"_b_{n}" for n in sums))
+    at, part, low = _names(df, "_at", "_part", "_low")
+    base = dict(zip(sums, _names(df, *(f"_b_{n}" for n in sums)), strict=True))
+    placed = _ranged(df, order, at, part, low)
+    totals = placed.groupBy(part).agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
+    ahead = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(part, *(F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0)).alias(b) for n, b in base.items()))
+    inside = W.partitionBy(part).orderBy(low)
+    out = placed.join(F.broadcast(offsets), part)
+    out = out.withColumns({n: F.sum(c).over(inside) + F.col(base[n]) for n, c in sums.items()})
+    return out.drop(part, low, at, *base.values())
 
 
 #: Up to so many rows a top-n is one bounded heap a task; beyond it is cut from a range sort.

@@ -1,6 +1,10 @@
 """Edge lists: projection, cleaning, indexing, degrees, cores, set operations.
 
 An edge list has the long columns ``left`` and ``right``.
+
+Rules, unless an operator says otherwise: an empty table gives no rows (counts give 0); repeated edges count as
+often as they occur, but not in ``distinct_edges``, ``adjacency`` and ``symmetrize``; a null end is a value of its own in counts of
+edges, no node of a node list or core, and meets nothing in joins; other columns pass or are dropped by name, never read.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import hash_key
 from pairloom.functions.ranking import with_position
-from pairloom.functions.storage import stored
+from pairloom.functions.storage import free, stored
 
 KEYS = ["left", "right"]
 
@@ -24,9 +28,13 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 
 
 def factorize(df: DataFrame, col: str, order: str | Column | None = None, code: str | None = None) -> DataFrame:
-    """``df`` with dense codes 0.. of ``col``, by value or by the least ``order`` of each value; null gets -1."""
+    """``df`` with dense codes 0.. of ``col``, by value or by the least ``order`` of each value; null gets -1.
+
+    Equal ``order`` goes by value; a column of the new name is replaced.
+    """
     values = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.min(F.col(col) if order is None else order).alias("_first"))
     name = code or f"{col}_code"
+    df = df.drop(name)
     coded = with_position(values, "_first", col, name=name).drop("_first").withColumnRenamed(col, "_value")
     return df.join(coded, F.col(col) == F.col("_value"), "left").drop("_value").withColumn(name, F.coalesce(F.col(name), F.lit(-1)).cast("long"))
 
@@ -60,11 +68,12 @@ def node_degrees(edges: DataFrame, side: str) -> DataFrame:
 
 def k_core(edges: DataFrame, k: int, max_rounds: int = 100) -> DataFrame:
     """The largest subgraph whose nodes all have ``k`` edges or more (both sides trimmed at once, to a fixpoint)."""
-    now, size = stored(edges), None
+    now, size = stored(edges.where("left is not null and right is not null")), None
     for _ in range(max_rounds):
         left = node_degrees(now, "left").where(F.col("degree") >= k).select(F.col("node").alias("left"))
         right = node_degrees(now, "right").where(F.col("degree") >= k).select(F.col("node").alias("right"))
-        now = stored(now.join(left, "left", "left_semi").join(right, "right", "left_semi").select(*edges.columns))
+        before, now = now, stored(now.join(left, "left", "left_semi").join(right, "right", "left_semi").select(*edges.columns))
+        free(before)
         if (count := now.count()) == size:
             return now
         size = count

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.functions.storage import stored
+from pairloom.functions.storage import free, stored
 from pairloom.operators.graph import KEYS, except_pairs, node_degrees
 
 
@@ -67,32 +67,58 @@ def _extend(walks: DataFrame, e: DataFrame) -> DataFrame:
 def graph_distance(edges: DataFrame, max_dist: int = 3, exclude_existing: bool = True, normalize: bool = False, pairs: DataFrame | None = None) -> DataFrame:
     """(left, right, score): 1 / distance of left and right nodes at an odd distance of at most ``max_dist``.
 
-    A level-by-level walk from the left nodes at hand; of each level only new
-    pairs go on, and with ``pairs`` a left node whose pairs are all solved stops.
-    ``normalize`` scales scores to 0..1.
+    With ``pairs``, walks from both ends meet in the middle, and only pairs not solved yet go on.  Without,
+    a level-by-level walk from all left nodes, of each level only new pairs.
+    ``normalize`` scales scores to 0..1.  Rules: repeated edges and pairs count once; null nodes meet nothing.
     """
     e = edges.select(*KEYS).distinct()
-    wanted = None if pairs is None else pairs.select(*KEYS).distinct()
-    lefts = e.select("left").distinct() if wanted is None else wanted.select("left").distinct()
-    seen_right = front = stored(e.join(lefts, "left", "left_semi").withColumn("dist", F.lit(1)))
+    out = _distances(e, max_dist) if pairs is None else _pair_distances(stored(e), stored(pairs.select(*KEYS).distinct()), max_dist)
+    out = out.select(*KEYS, (1.0 / F.col("dist")).alias("score"))
+    out = except_pairs(out, e) if exclude_existing else out
+    if normalize:
+        ends = out.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+        out = out.crossJoin(F.broadcast(ends)).withColumn("score", F.when(F.col("_hi") > F.col("_lo"), (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.col("score"))).drop("_lo", "_hi")
+    return out
+
+
+def _pair_distances(e: DataFrame, wanted: DataFrame, max_dist: int) -> DataFrame:
+    """(left, right, dist) of the ``wanted`` pairs.
+
+    ``ahead`` holds the left nodes within so many double steps of a pair's left end, ``behind`` those next to its right end or so
+    many double steps before it; in turn one of them takes a step, for the ends of open pairs only.
+    """
+    solved = wanted.join(e, KEYS, "left_semi").withColumn("dist", F.lit(1))
+    open_ = stored(wanted.join(e, KEYS, "left_anti"))
+    ahead = open_.select("left", F.col("left").alias("b")).distinct()
+    behind = open_.select("right").distinct().join(e.toDF("b", "right"), "right")
+    old: list[DataFrame] = []
+    for dist in range(3, max_dist + 1, 2):
+        step = lambda d, end: d.join(open_.select(end).distinct(), end, "left_semi").join(e.toDF("b", "item"), "b").select(end, "item").distinct().join(e.toDF("b", "item"), "item").select(end, "b").distinct()
+        if dist % 4 == 3:
+            ahead = stored(step(ahead, "left"))
+        else:
+            behind = stored(step(behind, "right"))
+        hit = stored(open_.join(behind, "right").join(ahead, ["left", "b"], "left_semi").select(*KEYS).distinct())
+        solved = solved.unionByName(hit.withColumn("dist", F.lit(dist)))
+        old.append(open_)
+        open_ = stored(open_.join(hit, KEYS, "left_anti"))
+    free(*old)
+    return solved
+
+
+def _distances(e: DataFrame, max_dist: int) -> DataFrame:
+    """(left, right, dist) of all pairs."""
+    lefts = e.select("left").distinct()
+    seen_right = front = stored(e.withColumn("dist", F.lit(1)))
     seen_left = lefts.select(F.col("left"), F.col("left").alias("b"))
     for dist in range(3, max_dist + 1, 2):
-        if wanted is not None:
-            open_ = wanted.join(seen_right, KEYS, "left_anti").select("left").distinct()
-            front = front.join(open_, "left", "left_semi")
         back = front.select(*KEYS).join(e.toDF("b", "right"), "right").select("left", "b").distinct()
         new_left = stored(back.join(seen_left, ["left", "b"], "left_anti"))
         seen_left = seen_left.unionByName(new_left)
         reached = new_left.join(e.toDF("b", "right"), "b").select(*KEYS).distinct()
         front = stored(reached.join(seen_right, KEYS, "left_anti").withColumn("dist", F.lit(dist)))
         seen_right = seen_right.unionByName(front)
-    out = seen_right if wanted is None else seen_right.join(wanted, KEYS, "left_semi")
-    out = out.select(*KEYS, (1.0 / F.col("dist")).alias("score"))
-    out = except_pairs(out, e) if exclude_existing else out
-    if normalize:
-        ends = out.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-        out = out.crossJoin(F.broadcast(ends)).withColumn("score", F.when(F.col("_hi") > F.col("_lo"), (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.col("score"))).drop("_lo", "_hi")
-    return out
+    return seen_right
 
 
 def l3(edges: DataFrame, pairs: DataFrame | None = None, degree_rule: str = "doubled") -> DataFrame:

@@ -1,6 +1,9 @@
 """Node sampling, holdouts, folds and non-edge sampling.
 
 All choices follow a hash of the row and a seed, so reruns agree.
+
+Rules: equal hashes go by the row's own values; an empty table gives no rows; null nodes are no nodes and are
+not drawn; repeated edges count in degrees and holdouts as often as they occur.
 """
 
 from __future__ import annotations
@@ -77,6 +80,8 @@ def sample_forest_fire(edges: DataFrame, max_edges: int, p: float, seed: int, ma
             front = stored(lowest(lit, max_edges - count, hash_key(seed, F.lit("b"), "side", "node"), "side", "node"))
         burned = stored(burned.unionByName(front))
         count += front.count()
+    else:
+        raise RuntimeError(f"fewer than {max_edges} nodes burned within {max_levels} levels")
     kept = _induced(edges, burned.where("side = 'left'"), burned.where("side = 'right'"))
     return lowest(kept, max_edges, hash_key(seed, *KEYS), *KEYS)
 
@@ -175,8 +180,9 @@ def build_eval_pairs(targets: DataFrame, train: DataFrame, test: DataFrame) -> D
 
 
 def assign_splits(targets: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:
-    """Targets with ``split``: train_pos, test_pos or negative."""
+    """Distinct targets with ``split``: train_pos, test_pos or negative; a pair in both train and test is train_pos."""
     tags = train.select(*KEYS, F.lit("train_pos").alias("split")).unionByName(test.select(*KEYS, F.lit("test_pos").alias("split")))
+    tags = tags.groupBy(*KEYS).agg(F.max("split").alias("split"))
     return targets.select(*KEYS).distinct().join(tags, KEYS, "left").withColumn("split", F.coalesce("split", F.lit("negative")))
 
 

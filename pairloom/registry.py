@@ -375,12 +375,12 @@ def _shown(obs: DataFrame) -> DataFrame:
 
 
 @query(eval_base() + OBS[1] + ' SELECT "left", "right", combo, round(x::DOUBLE, 6) AS x FROM ob1')
-def csgr_observations_k1(spark, sf):
+def cond_observations_k1(spark, sf):
     return _shown(_obs(spark, sf, 1))
 
 
 @query(eval_base() + OBS[1] + OBS[2] + ' SELECT "left", "right", combo, round(x::DOUBLE, 6) AS x FROM ob2')
-def csgr_observations_k2(spark, sf):
+def cond_observations_k2(spark, sf):
     return _shown(_obs(spark, sf, 2))
 
 
@@ -395,12 +395,12 @@ sup AS (SELECT s1, s2, s3, count(*) AS n, list("left") AS who FROM t3 GROUP BY 1
 c3 AS (SELECT t3."left", e2."right", t3.s1, t3.s2, t3.s3, any_value(wl.n) AS n, count(*) AS c FROM t3 JOIN wl USING (s1, s2, s3) JOIN e e2 ON e2."left" = wl.w JOIN e p ON p."left" = t3."left" AND p."right" = e2."right" GROUP BY 1, 2, 3, 4, 5)
 SELECT "left", "right", count(*) AS n, round(sum(x::DOUBLE), 6) AS s1 FROM (SELECT c3."left", c3."right", {X} AS x FROM c3 JOIN ld du ON du."left" = c3."left" JOIN rd dv ON dv."right" = c3."right") WHERE x > 1e-8 GROUP BY 1, 2"""
 )
-def csgr_observations_k3(spark, sf):
+def cond_observations_k3(spark, sf):
     return _k3(spark, sf, True)
 
 
 @query()
-def csgr_observations_k3_whole(spark, sf):
+def cond_observations_k3_whole(spark, sf):
     """No SQL: it would hold a row for each target and triple of neighbours."""
     return _k3(spark, sf, False)
 
@@ -419,29 +419,29 @@ def _moments(spark, sf):
 
 
 @query(K1 + ' SELECT "left", "right", n, ' + ", ".join(f"round({c}, 6) AS {c}" for c in ("s1", "s2", "s3", "s4", "raw_entropy")) + " FROM mo1")
-def csgr_moments(spark, sf):
+def cond_moments(spark, sf):
     return rounded(_moments(spark, sf), "s1", "s2", "s3", "s4", "raw_entropy")
 
 
 @query(K1 + ' SELECT "left", "right", n, n_left FROM mo1')
-def csgr_left_max(spark, sf):
+def cond_left_max(spark, sf):
     return cooc.left_max_count(_moments(spark, sf)).select("left", "right", "n", "n_left")
 
 
 @query(K1 + f' SELECT "left", "right", round({SKEW}, 4) + 0.0 AS skew, round({KURT}, 4) + 0.0 AS kurt FROM sk1')
-def csgr_skew_kurt(spark, sf):
+def cond_skew_kurt(spark, sf):
     out = cooc.skew_kurtosis(cooc.left_max_count(_moments(spark, sf)))
     return out.select("left", "right", *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("skew", "kurt")))
 
 
 @query(K1 + f' SELECT "left", "right", round({ENT}, 6) + 0.0 AS entropy, round({ENT.replace("- raw", "+ raw")}, 6) + 0.0 AS shannon FROM mo1')
-def csgr_entropy(spark, sf):
+def cond_entropy(spark, sf):
     out = cooc.entropy(cooc.entropy(_moments(spark, sf)), shannon=True, name="shannon")
     return rounded(out.select("left", "right", "entropy", "shannon"), "entropy", "shannon")
 
 
 @query(K1 + f' SELECT "left", "right", {BIN} AS mean_bin, round((1.0 / n)::FLOAT::DOUBLE, 6) AS weight FROM mo1')
-def csgr_mean_bins(spark, sf):
+def cond_mean_bins(spark, sf):
     hot = cooc.mean_bin_onehot(_moments(spark, sf))
     weights = [F.col(f"bin_{i}") for i in range(cooc.BINS)]
     at = sum((F.when(w > 0, F.lit(i)).otherwise(F.lit(0)) for i, w in enumerate(weights)), F.lit(0))
@@ -452,7 +452,7 @@ HB = "greatest(0, least(9, floor(x * 10::FLOAT)::INT))"
 
 
 @query(K1 + ' SELECT "left", "right", ' + ", ".join(f"count(*) FILTER (WHERE {HB} = {i}) AS hist_{i}" for i in range(10)) + " FROM ob1 GROUP BY 1, 2")
-def csgr_histogram(spark, sf):
+def cond_histogram(spark, sf):
     return cooc.observation_histogram(_obs(spark, sf, 1))
 
 

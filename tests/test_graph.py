@@ -164,3 +164,36 @@ def test_factorize_and_kfold_and_allbut(spark):
     assert sorted((r.fold, r["count"]) for r in folds) == [(i, 8) for i in range(1, 6)]
     assert sampling.allbut(log, "user", ["t", "user"], 3, 5).where("is_test").count() == 6
     assert sampling.allbut(log, "user", ["t", "user"], 3, 5, max_test=4).where("is_test").count() == 4
+
+
+def test_odd_inputs(spark, wide):
+    from pairloom.functions.ranking import with_position
+    from pairloom.operators import embed
+
+    e = spark.createDataFrame([(1, 2, 9, 8)] * 3 + [(1, 3, 7, 6)], "left long, right long, _low int, _part int")
+    placed = with_position(e, "right", "left", "_low")
+    assert set(placed.columns) == {*e.columns, "position"} and sorted(r["_low"] for r in placed.collect()) == [7, 9, 9, 9]
+    splits = sampling.assign_splits(e, e.where("right = 2"), e.where("right = 3"))
+    assert sorted(r.split for r in splits.collect()) == ["test_pos", "train_pos"]
+    coded = graph.factorize(graph.factorize(e, "right"), "right")
+    assert coded.columns.count("right_code") == 1
+    scored = evaluate.attach_scores(e.selectExpr("left", "right", "1 AS label", "5.0 AS score"), e.selectExpr("left", "right", "0.5 AS score"))
+    assert {r.score for r in scored.collect()} == {0.5} and evaluate.ranking_metrics(scored.limit(0)).first().n_samples == 0
+    none = e.limit(0).select("left", "right")
+    assert embed.train_sage(none).isEmpty() and embed.train_edge_embeddings(none).isEmpty()
+    assert graph.k_core(none, 2).isEmpty() and paths.graph_distance(none, 5, pairs=none).isEmpty()
+
+
+def test_katz_of_length_five(wide):
+    import numpy as np
+
+    rows_ = [(r.left, r.right) for r in wide.collect()]
+    ls, rs = (sorted({r[i] for r in rows_}) for i in (0, 1))
+    a = np.zeros((len(ls), len(rs)))
+    for u, v in rows_:
+        a[ls.index(u), rs.index(v)] = 1
+    want = 0.05 * a + 0.05**3 * a @ a.T @ a + 0.05**5 * a @ a.T @ a @ a.T @ a
+    got = {(r.left, r.right): r.score for r in paths.katz(wide).collect()}
+    assert len(got) == (want > 0).sum() and all(math.isclose(want[ls.index(u), rs.index(v)], s, rel_tol=1e-9) for (u, v), s in got.items())
+    some = wide.sample(0.2, 1)
+    assert {tuple(r) for r in paths.katz(wide, pairs=some).select("left", "right").collect()} == {tuple(r) for r in some.collect()}

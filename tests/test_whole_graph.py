@@ -54,7 +54,7 @@ def test_counts_cover_every_edge(spark, sf):
 def test_triples_are_observed_on_every_edge(spark, sf):
     e = graph(spark, sf)
     degree = {u: sum(a == u for a, _ in e) for u, _ in e}
-    got = {(r.left, r.right) for r in registry.QUERIES["csgr_observations_k3_whole"](spark, sf).collect()}
+    got = {(r.left, r.right) for r in registry.QUERIES["cond_observations_k3_whole"](spark, sf).collect()}
     assert got == {(u, v) for u, v in e if degree[u] >= 3}
 
 
