@@ -35,6 +35,7 @@ UND = "und"
 EVIDENCE = 20
 GRAMS = (4, 3, 2, 1)
 BROADCAST_LANGS = 100_000
+DENSE = 20_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -60,7 +61,8 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class LanguageModel:
     """Log frequencies by language of words (order 0) and n-grams; picklable and bounded.
 
-    An entry holds the languages that have it and by how much their logs exceed those of an unseen one.
+    A table of entries by languages is dense up to DENSE cells; a larger one holds, for each entry, the languages that have
+    it and by how much their logs exceed those of an unseen one.  Both give the same rows.
     """
 
     def __init__(self, rows: list, totals: dict[tuple[str, int], int]):
@@ -69,12 +71,19 @@ class LanguageModel:
         found: dict[int, dict[str, list]] = {n: {} for n in (0, *GRAMS)}
         for lang, n, gram, c in rows:
             found[n].setdefault(gram, []).append((at[lang], c))
-        self.index: dict[int, dict[str, tuple[np.ndarray, np.ndarray]]] = {}
+        self.index: dict[int, dict[str, int]] = {}
         self.unseen: dict[int, np.ndarray] = {}
+        self.logs: dict[int, np.ndarray | list] = {}
         for n, entries in found.items():
             total = np.array([totals.get((lang, n), 0) for lang in self.langs], dtype=float)
             self.unseen[n] = np.log(0.5 / (total + 0.5 * max(1, len(entries)))).astype(np.float32)
-            self.index[n] = {g: (np.array([i for i, _ in e], dtype=np.int32), np.log([2 * c + 1 for _, c in e]).astype(np.float32)) for g, e in entries.items()}
+            self.index[n] = {g: i for i, g in enumerate(entries)}
+            more = [(np.array([i for i, _ in e], dtype=np.int32), np.log([2 * c + 1 for _, c in e]).astype(np.float32)) for e in entries.values()]
+            self.logs[n] = more
+            if len(entries) * len(self.langs) <= DENSE:
+                self.logs[n] = np.tile(self.unseen[n], (len(entries), 1))
+                for i, (langs, log) in enumerate(more):
+                    self.logs[n][i, langs] += log
 
     def word_row(self, word: str) -> np.ndarray | None:
         word = word if word.isalpha() else "".join(c for c in word if c.isalpha())
@@ -84,13 +93,16 @@ class LanguageModel:
             return self._mean(0, [one])
         for n in GRAMS:
             index = self.index[n]
-            if known := [e for g in _grams(word, n) if (e := index.get(g)) is not None]:
+            if known := [i for g in _grams(word, n) if (i := index.get(g)) is not None]:
                 return self._mean(n, known)
         return np.zeros(len(self.langs), dtype=np.float32)
 
-    def _mean(self, n: int, known: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def _mean(self, n: int, known: list[int]) -> np.ndarray:
+        logs = self.logs[n]
+        if isinstance(logs, np.ndarray):
+            return logs[known[0]] if len(known) == 1 else logs[known].mean(axis=0)
         row = self.unseen[n].copy()
-        for langs, more in known:
+        for langs, more in (logs[i] for i in known):
             row[langs] += more / len(known)
         return row
 

@@ -248,7 +248,17 @@ def test_language(spark, docs, empty):
     assert kept.columns == docs.columns and {900, 901, 902, 903} & {r.doc_id for r in kept.collect()} == set()
     assert langid.Scorer(langid.train_language_model(empty.select("text", "lang")))("text") == ("und", 0.0)
     few = langid.train_language_model(spark.createDataFrame(rows, "text string, lang string"), max_entries=60)
-    assert few.langs == ["de", "fr"] and sum(len(e[0]) for i in few.index.values() for e in i.values()) <= 60
+    assert few.langs == ["de", "fr"] and sum(len(i) for i in few.index.values()) <= 60
+
+
+def test_sparse_and_dense_models_score_alike(monkeypatch):
+    rows = [("a", 0, "le", 5), ("b", 0, "le", 1), ("b", 0, "der", 7), ("a", 2, "le", 4), ("b", 2, "er", 3), ("a", 1, "e", 9), ("b", 1, "e", 2)]
+    totals = {(lang, n): 20 + n for lang in "ab" for n in (0, 1, 2)}
+    dense = langid.Scorer(langid.LanguageModel(rows, totals))
+    monkeypatch.setattr(langid, "DENSE", 0)
+    sparse = langid.Scorer(langid.LanguageModel(rows, totals))
+    for text in ("le der", "lere", "e", "der er le", "x"):
+        assert sparse(text)[0] == dense(text)[0] and abs(sparse(text)[1] - dense(text)[1]) < 1e-6
 
 
 def test_every_language_is_learned(spark):
