@@ -265,12 +265,14 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.75, width: int = 5,
     with small_batches(docs.sparkSession, BATCH):
         slim = stored(_slim(docs, id_col, text_col, width))
     nodes = stored(slim.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), *(F.first(c).alias(c) for c in ["wide", *_BITS])))
+    ids = stored(slim.select("doc_id", "n_shingles", "node"))
+    free(slim)  # its sketches are in nodes, once a set
     comp = _linked(docs, nodes, round(100 * threshold), width, id_col, text_col)
     named = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     names = stored(named.join(least, "component").select("node", "component_id"))
     free(nodes, comp)
-    return slim.join(names, "node", "left").select("doc_id", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return ids.join(names, "node", "left").select("doc_id", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _met(docs: DataFrame, text_col: str, width: int, percent: int, salts: int) -> DataFrame:
@@ -375,7 +377,12 @@ def _wide_near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     pairs = stored(pairs)
     names = pairs.columns
     both_large = (F.col("size") > WIDE) & (F.col("b_size") > WIDE)
-    wide = nodes.where(F.col("size") > WIDE).select("node", "wide")
+    large = pairs.where(both_large).select(*names)
+    if large.isEmpty():
+        return pairs
+    # few in later rounds: only the sketches of these move
+    ends = large.select(F.explode(F.array("node", "b_node")).alias("doc_id")).distinct()
+    wide = nodes.where(F.col("size") > WIDE).where(_holds(_bitmap(ends), pairs.sparkSession)("node")).select("node", "wide")
 
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -383,7 +390,7 @@ def _wide_near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             keep = [bits_apart(x, y) <= k for x, y, k in zip(f.wide, f.b_wide, most, strict=True)]
             yield f.loc[keep, names]
 
-    large = pairs.where(both_large).join(wide, "node").join(wide.toDF("b_node", "b_wide"), "b_node")
+    large = large.join(wide, "node").join(wide.toDF("b_node", "b_wide"), "b_node")
     out = stored(pairs.where(~both_large).unionByName(large.select(*names, "wide", "b_wide").mapInPandas(near, pairs.schema)))
     free(pairs)
     return out
