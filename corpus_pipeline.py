@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import free, stored, table, tokenizer_path
+from pairloom.llm.common import free, hand_small_batches, stored, table, tokenizer_path
 from pairloom.llm.langid import drop_unidentified, train_language_model
 from pairloom.llm.mixing import mixed_documents
 from pairloom.llm.packing import pack_documents
@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A document goes if its text is null or has no letter, or if no learned language reaches LEAST_SCORE, of 1 for all of
     them.  Rows without a language or text teach nothing; repeated rows are treated alike.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    hand_small_batches(spark, BATCH)
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     return drop_unidentified(docs, train_language_model(learn), LEAST_SCORE)
 
@@ -42,7 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind, n_chars counted anew.  A null text stays null; no row goes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    hand_small_batches(spark, BATCH)
     out = docs.withColumn("text", redact(docs, train_spans(docs)))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -57,7 +57,7 @@ def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens and their places in sequences.  A null text is packed as the end id alone; repeated rows one by one."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    hand_small_batches(spark, BATCH)
     return pack_documents(docs, tokenizer_path())
 
 
