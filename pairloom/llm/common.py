@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.storage import free, stored
 
-__all__ = ["fold", "free", "small_batches", "stored", "table", "tokenizer_path", "unit_hash"]
+__all__ = ["fold", "free", "hand_small_batches", "small_batches", "stored", "table", "tokenizer_path", "unit_hash"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,13 +35,25 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+#: Bytes of whole texts that Python is handed at a time at most, but for one longer text.
+BATCH_BYTES = 4_000_000
+_ROWS, _BYTES = (f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes"))
+
+
+def hand_small_batches(spark: SparkSession, rows: int, size: int = BATCH_BYTES) -> None:
+    """From now on Python is handed at most ``rows`` rows and about ``size`` bytes at a time; never more than the session allows already."""
+    for name, most in ((_ROWS, rows), (_BYTES, size)):
+        have = int(spark.conf.get(name, "-1").rstrip("bB"))
+        spark.conf.set(name, str(min(most, have) if have > 0 else most))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Hands Python at most ``rows`` rows at a time in the jobs run inside; for whole texts, of which ten thousand may fill a worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    """``hand_small_batches`` for the jobs run inside; for whole texts, of which ten thousand may fill a worker."""
+    before = {name: spark.conf.get(name, None) for name in (_ROWS, _BYTES)}
+    hand_small_batches(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
