@@ -43,7 +43,7 @@ _ROWS, _BYTES = (f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records"
 def hand_small_batches(spark: SparkSession, rows: int, size: int = BATCH_BYTES) -> None:
     """From now on Python is handed at most ``rows`` rows and about ``size`` bytes at a time; never more than the session allows already."""
     for name, most in ((_ROWS, rows), (_BYTES, size)):
-        have = int(spark.conf.get(name, "-1").rstrip("bB"))
+        have = int(spark.conf.get(name).rstrip("bB"))
         spark.conf.set(name, str(min(most, have) if have > 0 else most))
 
 
