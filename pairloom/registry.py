@@ -8,15 +8,17 @@ Queries whose SQL is written for the thin graph stay with it; each has a twin
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.functions.storage import stored
+from pairloom.functions.storage import shared_dir, stored
 from pairloom.jobs import experiments as jobs
 from pairloom.operators import cooc, embed, evaluate, graph, paths, sampling
 from pairloom.operators.model import predict_links, train_link_classifier
+from pairloom.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,6 +145,80 @@ def right_degrees(spark, sf):
     return graph.node_degrees(raw_edges(spark, sf), "right")
 
 
+# ---- files: written to the shared folder from the graph and read back
+
+
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query(base() + ' SELECT "left", "right" FROM raw')
+def ratings_read(spark, sf):
+    path = new_path(spark)
+    raw_edges(spark, sf).select("left", "right", F.lit(5), F.lit(0)).write.csv(path, sep="\t")
+    return io.read_ratings(spark, path)
+
+
+@query(base() + ' SELECT dense_rank() OVER (ORDER BY "left") - 1 AS "left", dense_rank() OVER (ORDER BY "right") - 1 AS "right" FROM e')
+def interactions_header_read(spark, sf):
+    path = new_path(spark)
+    raw_edges(spark, sf).select(F.col("right").alias("item"), F.col("left").alias("user")).write.option("header", True).csv(path, sep="\t")
+    return io.read_interactions_header(spark, path, "user", "item")
+
+
+@query(base() + ' SELECT dense_rank() OVER (ORDER BY "left") - 1 AS "left", "right" FROM e')
+def ragged_adjacency_read(spark, sf):
+    path = new_path(spark)
+    lines = edges_of(spark, sf).groupBy("left").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(" ", F.collect_list(F.col("right").cast("string"))).alias("rights"))
+    lines.orderBy("left").select(F.concat_ws(" ", F.col("n").cast("string"), "rights")).write.text(path)
+    return io.read_ragged_adjacency(spark, path)
+
+
+@query(base() + ' SELECT "left", "right" FROM e')
+def edges_round_trip(spark, sf):
+    path = new_path(spark)
+    io.write_edges(edges_of(spark, sf), path)
+    return io.read_edges(spark, path)
+
+
+@query(eval_base() + ' SELECT "left", "right", CAST(1 AS INTEGER) AS label FROM te UNION ALL SELECT "left", "right", CAST(0 AS INTEGER) FROM neg')
+def target_pairs_written(spark, sf):
+    _, test, pairs = pairs_of(spark, sf)
+    path = new_path(spark)
+    io.write_target_pairs(test, pairs.join(test, ["left", "right"], "left_anti"), path)
+    return spark.read.parquet(path)
+
+
+@query(base() + ', d AS (SELECT "right", count(*) AS degree FROM e GROUP BY 1) SELECT "left", "right", degree FROM e JOIN d USING ("right")')
+def pair_features_round_trip(spark, sf):
+    edges, path = stored(edges_of(spark, sf)), new_path(spark)
+    for sn, side in ((1, "left"), (2, "right")):
+        io.write_pair_features(edges.join(graph.node_degrees(edges, side).withColumnRenamed("node", side), side).select("left", "right", "degree"), path, sn)
+    return io.read_pair_features(spark, path, 2)
+
+
+@query(base() + ', s AS (SELECT count(DISTINCT "left") AS n_left, count(DISTINCT "right") AS n_right, count(*) AS n_edges FROM e) SELECT * FROM s UNION ALL SELECT * FROM s')
+def results_appended(spark, sf):
+    stats, path = stored(graph.graph_stats(edges_of(spark, sf))), new_path(spark)
+    for _ in range(2):
+        io.append_results(stats, path)
+    return spark.read.schema(stats.schema).option("header", True).csv(path)
+
+
+@query(base() + ' SELECT DISTINCT least("left", "right") AS src, greatest("left", "right") AS dst, CAST(("left" + "right") % 5 AS DOUBLE) AS weight FROM e WHERE ("left" + "right") % 5 <> 0')
+def weighted_edges_read(spark, sf):
+    path = new_path(spark)
+    raw_edges(spark, sf).select(F.concat_ws(" ", *(F.col(c).cast("string") for c in ("left", "right")), ((F.col("left") + F.col("right")) % 5).cast("string"))).write.text(path)
+    return io.read_weighted_edges(spark, path)
+
+
+@query(base() + ' SELECT greatest("left", "right") AS larger, least("left", "right") AS smaller, (("left" * 7 + "right") % 1000) / 8.0 AS score FROM e')
+def predictions_written(spark, sf):
+    path = new_path(spark)
+    io.write_predictions(edges_of(spark, sf).withColumn("score", (F.col("left") * 7 + F.col("right")) % 1000 / F.lit(8.0)), path)
+    return spark.read.schema("larger long, smaller long, score double").csv(path, sep="\t")
+
+
 def _core_sql(k: int, rounds: int, thin: bool = True) -> str:
     sql, last = base(thin), "e"
     for i in range(rounds):
