@@ -9,10 +9,10 @@ node's members lie within its radius of its centre, and the centres of a
 level farther apart than that.  A vector visits each later cell that may
 hold a partner: d(x, pivot) <= radius + eps, and d(x, pivot) - d(x, own pivot) <= 2 eps.
 
-Tasks then traverse two trees at a time from the top.  A pair of nodes is
+Tasks then traverse two trees at a time from the top, level by level.  A pair of nodes is
 dropped if d > r1 + r2 + eps, and accepted whole if d + r1 + r2 <= eps, so
-that a crowd of near copies is counted by its nodes' weights; only what lies between
-comes down to single vectors, where the cosine of the given vectors decides.
+that a crowd of near copies is counted by its nodes' weights; what lies between goes on
+to the pairs of their children, and from the finest level to single vectors, where the cosine of the given vectors decides.
 A task returns each vector's count and its root in the task, never a list of pairs.
 
 Where data have no structure at the scale of eps (random directions in many
@@ -36,7 +36,7 @@ from pairloom.llm.vectors import matrix, padded, units, usable
 CHUNK = 4096
 MAX_PIVOTS = 1024
 SAMPLE = 8192
-GUARD = 1e-9
+GUARD = 1e-7
 
 
 def greedy_net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
@@ -68,24 +68,30 @@ def build_levels(x: np.ndarray, eps: float, top: float = 2.0) -> list[np.ndarray
 
 
 class Tree:
-    """Nodes of two levels over the rows at hand: leaves within eps/2 and a top level, with true radii."""
+    """The nodes of every level over the rows at hand, finest level first, with true radii.
 
-    def __init__(self, x: np.ndarray, weight: np.ndarray, leaf: np.ndarray, top: np.ndarray):
+    ``path`` holds a row's centre on each level.  Of a node whose centre is not at hand the first member stands for it;
+    a node without members is absent.
+    """
+
+    def __init__(self, x: np.ndarray, weight: np.ndarray, path: np.ndarray):
         self.x, self.weight = x, weight
-        _, self.leaf = np.unique(leaf, return_inverse=True)
-        first = np.zeros(self.leaf.max() + 1 if len(x) else 0, dtype=np.int64)
-        first[self.leaf[::-1]] = np.arange(len(x))[::-1]
-        self.centre = first  # a member that is present stands for the node
-        self.leaf_radius = np.zeros(len(first))
-        np.maximum.at(self.leaf_radius, self.leaf, _distance(x, x[first[self.leaf]]))
-        self.leaf_weight = np.bincount(self.leaf, weights=weight, minlength=len(first))
-        order = np.argsort(self.leaf, kind="stable")
-        self.members = np.split(order, np.flatnonzero(np.diff(self.leaf[order])) + 1) if len(x) else []
-        tops, of = np.unique(top[first], return_inverse=True)
-        self.top_leaves = [np.flatnonzero(of == k) for k in range(len(tops))]
-        self.top_centre = np.array([first[leaves[0]] for leaves in self.top_leaves], dtype=np.int64)
-        reach = [(_distance(x[first[leaves]], x[[c]]) + self.leaf_radius[leaves]).max() for leaves, c in zip(self.top_leaves, self.top_centre, strict=True)]
-        self.top_radius = np.array(reach)
+        self.of, self.centre, self.radius, self.heavy, self.below = [], [], [], [], []
+        for level in path.T:
+            _, first, of = np.unique(level, return_index=True, return_inverse=True)
+            radius = np.zeros(len(first))
+            np.maximum.at(radius, of, _distance(x, x[first[of]]))
+            # what a node holds: rows on the finest level, nodes of the level below on the others
+            parent = of[self.centre[-1]] if self.centre else of
+            order = np.argsort(parent, kind="stable")
+            self.below.append(np.split(order, np.flatnonzero(np.diff(parent[order])) + 1))
+            self.of.append(of)
+            self.centre.append(first)
+            self.radius.append(radius)
+            self.heavy.append(np.bincount(of, weights=weight, minlength=len(first)))
+
+    def rows(self, level: int, node: int) -> np.ndarray:
+        return np.flatnonzero(self.of[level] == node)
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,29 +116,41 @@ class Forest:
 
 
 def dual_traversal(a: Tree, b: Tree, raw_a: np.ndarray, raw_b: np.ndarray, threshold: float, same: bool, forest: Forest) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the rows of ``b`` linked to each row of ``a`` and the other way (0 if ``same``); joins linked rows in ``forest``."""
+    """Weights of the rows of ``b`` linked to each row of ``a`` and the other way; joins linked rows in ``forest``.
+
+    ``same`` says that ``b`` is ``a``: every pair is then met both ways, and the first result counts all.
+    """
+    if not len(a.x) or not len(b.x):
+        return np.zeros(len(a.x)), np.zeros(len(b.x))
     eps = float(np.sqrt(2 - 2 * threshold))
     got_a, got_b = np.zeros(len(a.x)), np.zeros(len(b.x))
+    node_a, node_b = [np.zeros(len(c)) for c in a.centre], [np.zeros(len(c)) for c in b.centre]
     shift = 0 if same else len(a.x)
-    if not len(a.x) or not len(b.x):
-        return got_a, got_b
-    far = np.sqrt(np.maximum(0.0, 2 - 2 * (a.x[a.top_centre] @ b.x[b.top_centre].T))) - a.top_radius[:, None] - b.top_radius[None, :]
-    leaf_a, leaf_b = np.zeros(len(a.centre)), np.zeros(len(b.centre))
-    for p, mine in enumerate(a.top_leaves):
-        near = np.flatnonzero(far[p] <= eps + GUARD)
-        if not len(near):
-            continue
-        theirs = np.concatenate([b.top_leaves[k] for k in near])
-        d = np.sqrt(np.maximum(0.0, 2 - 2 * (a.x[a.centre[mine]] @ b.x[b.centre[theirs]].T)))
-        reach = a.leaf_radius[mine][:, None] + b.leaf_radius[theirs][None, :]
+    whole: tuple[set[tuple[int, int]], set[tuple[int, int]]] = (set(), set())
+    top = len(a.centre) - 1
+    todo = [(top, np.arange(len(a.centre[top])), np.arange(len(b.centre[top])))]
+    while todo:
+        level, mine, theirs = todo.pop()
+        d = np.sqrt(np.maximum(0.0, 2 - 2 * (a.x[a.centre[level][mine]] @ b.x[b.centre[level][theirs]].T)))
+        reach = a.radius[level][mine][:, None] + b.radius[level][theirs][None, :]
         i, j = np.nonzero(d <= reach + eps + GUARD)
-        sure = (d[i, j] + reach[i, j] <= eps - GUARD) | (mine[i] == theirs[j] if same else False)
+        sure = d[i, j] + reach[i, j] <= eps - GUARD
+        if same and level == 0:  # rows of a node of the finest level are within eps of each other
+            sure |= mine[i] == theirs[j]
         for u, v in zip(mine[i[sure]], theirs[j[sure]], strict=True):
-            leaf_a[u] += b.leaf_weight[v]
-            leaf_b[v] += a.leaf_weight[u]
-            forest.join(int(a.centre[u]), int(b.centre[v]) + shift)
-        for u, v in zip(mine[i[~sure]], theirs[j[~sure]], strict=True):
-            ra, rb = a.members[u], b.members[v]
+            node_a[level][u] += b.heavy[level][v]
+            node_b[level][v] += a.heavy[level][u]
+            forest.join(int(a.centre[level][u]), int(b.centre[level][v]) + shift)
+            whole[0].add((level, int(u)))
+            whole[1].add((level, int(v)))
+        i, j = i[~sure], j[~sure]
+        if level:
+            for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1) if len(i) else []:
+                children = [b.below[level][v] for v in theirs[j[part]]]
+                todo.append((level - 1, a.below[level][mine[i[part[0]]]], np.concatenate(children)))
+            continue
+        for u, v in zip(mine[i], theirs[j], strict=True):
+            ra, rb = a.below[0][u], b.below[0][v]
             cos = a.x[ra] @ b.x[rb].T
             linked = cos >= threshold
             for s, t in zip(*np.nonzero(np.abs(cos - threshold) < 1e-9), strict=True):
@@ -141,11 +159,16 @@ def dual_traversal(a: Tree, b: Tree, raw_a: np.ndarray, raw_b: np.ndarray, thres
             got_b[rb] += linked.T @ a.weight[ra]
             for s, t in zip(*np.nonzero(linked), strict=True):
                 forest.join(int(ra[s]), int(rb[t]) + shift)
-    for tree, k in ((a, 0), (b, shift)):
-        for rows in tree.members:  # a leaf's members are within eps of each other
+    for tree, nodes, k in ((a, whole[0], 0), (b, whole[1], shift)):
+        # all rows of an accepted node are linked to all of the other one, and so are connected
+        for level, node in nodes | {(0, n) for n in range(len(tree.centre[0]))}:
+            rows = tree.below[0][node] if not level else tree.rows(level, node)
             for r in rows[1:]:
                 forest.join(int(rows[0]) + k, int(r) + k)
-    return got_a + leaf_a[a.leaf], got_b + leaf_b[b.leaf]
+    for level in range(top + 1):
+        got_a += node_a[level][a.of[level]]
+        got_b += node_b[level][b.of[level]]
+    return got_a, got_b
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> float:
@@ -213,12 +236,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, chunk: int = CHUNK
     placed = homed.mapInPandas(visits, "node long, vec array<double>, weight long, cell int, chunk int, visit array<int>")
 
     def grow(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        levels = build_levels(units(matrix(f.vec)), eps)
         ids = f.node.to_numpy()
-        top = levels[-1] if len(np.unique(levels[-1])) > 1 or len(levels) == 1 else levels[-2]
-        return f.assign(leaf=ids[levels[0]], top=ids[top])
+        return f.assign(path=list(np.stack([ids[level] for level in build_levels(units(matrix(f.vec)), eps)], axis=1)))
 
-    schema = "node long, vec array<double>, weight long, cell int, chunk int, visit array<int>, leaf long, top long"
+    schema = "node long, vec array<double>, weight long, cell int, chunk int, visit array<int>, path array<long>"
     grown = stored(placed.groupBy("cell", "chunk").applyInPandas(grow, schema))
     guests = {r.c: -(-r.n // chunk) for r in grown.select(F.explode("visit").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a pivot
 
@@ -234,10 +255,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, chunk: int = CHUNK
                 task += [t for t, _ in to]
                 side += [s for _, s in to]
                 if len(at) > 20_000:
-                    yield f[["node", "vec", "weight", "leaf", "top"]].iloc[at].assign(task=task, side=side)
+                    yield f[["node", "vec", "weight", "path"]].iloc[at].assign(task=task, side=side)
                     at, task, side = [], [], []
             if at:
-                yield f[["node", "vec", "weight", "leaf", "top"]].iloc[at].assign(task=task, side=side)
+                yield f[["node", "vec", "weight", "path"]].iloc[at].assign(task=task, side=side)
 
     def meet(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["side", "node"], ignore_index=True)
@@ -245,7 +266,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, chunk: int = CHUNK
         same = first == last
         parts = [f] if same else [f[f.side == 0], f[f.side == 1]]
         raw = [matrix(p.vec) for p in parts]
-        trees = [Tree(units(r) if len(r) else np.zeros((0, 1)), p.weight.to_numpy(dtype=float), p.leaf.to_numpy(), p.top.to_numpy()) for r, p in zip(raw, parts, strict=True)]
+        high = max(map(len, f.path))  # a lower tree stays with its root on the levels above it
+        paths = [np.array([[*v, *[v[-1]] * (high - len(v))] for v in p.path], dtype=np.int64).reshape(len(p), high) for p in parts]
+        trees = [Tree(units(r) if len(r) else np.zeros((0, 1)), p.weight.to_numpy(dtype=float), path) for r, p, path in zip(raw, parts, paths, strict=True)]
         forest = Forest(len(f))
         got, other = dual_traversal(trees[0], trees[-1], raw[0], raw[-1], threshold, same, forest)
         total = got if same else np.concatenate([got, other])
@@ -253,7 +276,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, chunk: int = CHUNK
         out = pd.DataFrame({"node": f.node, "n": np.rint(total).astype(np.int64), "root": root})
         return out[(out.n > 0) | (out.root != out.node)]
 
-    sent = grown.mapInPandas(send, "node long, vec array<double>, weight long, leaf long, top long, task string, side int")
+    sent = grown.mapInPandas(send, "node long, vec array<double>, weight long, path array<long>, task string, side int")
     met = stored(sent.groupBy("task").applyInPandas(meet, "node long, n long, root long"))
     counts = met.groupBy("node").agg(F.sum("n").alias("n"))
     comp = connected_components(met.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))

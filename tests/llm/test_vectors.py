@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 
 from pairloom.llm import spann
-from pairloom.llm.covertree import near_vectors
+from pairloom.llm.covertree import Forest, Tree, build_levels, dual_traversal, near_vectors
 from pairloom.llm.spann import nearest
+from pairloom.llm.vectors import units
 
 ODD = [(9001, None), (9002, [0.0] * 8), (9003, [float("nan")] + [1.0] * 7), (9004, [None] + [1.0] * 7), (9005, []), (9006, [float("inf")] * 8)]
 
@@ -45,6 +46,28 @@ def test_near_vectors_match_brute_force(spark, crowd, chunk):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i, _ in ODD)
 
 
+@pytest.mark.parametrize("dim", [4, 16])
+@pytest.mark.parametrize("t", [0.95, 0.8])
+def test_traversal_of_two_trees_matches_brute_force(dim, t):
+    """Trees of different heights, one without some of its centres, rows of different weights."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(150, dim))
+    near = base[:1] + 0.1 * rng.normal(size=(150, dim))
+    x, y = np.vstack([base, near]), np.vstack([near[:80] + 0.01 * rng.normal(size=(80, dim)), base[:5] * 2])
+    paths = [np.stack(build_levels(units(z), np.sqrt(2 - 2 * t)), axis=1) for z in (x, y)]
+    high = max(p.shape[1] for p in paths)
+    paths = [np.concatenate([p] + [p[:, -1:]] * (high - p.shape[1]), axis=1) for p in paths]
+    here = rng.random(len(x)) < 0.7
+    x, paths[0] = x[here], paths[0][here]
+    a, b = Tree(units(x), np.ones(len(x)), paths[0]), Tree(units(y), np.arange(len(y)) % 3 + 1.0, paths[1])
+    on = a.x @ b.x.T >= t
+    forest = Forest(len(x) + len(y))
+    got_a, got_b = dual_traversal(a, b, x, y, t, False, forest)
+    assert (got_a == on @ b.weight).all() and (got_b == on.sum(axis=0)).all()
+    assert all(forest.find(int(i)) == forest.find(int(j) + len(x)) for i, j in zip(*np.nonzero(on), strict=True))
+    assert (dual_traversal(a, a, x, x, t, True, Forest(len(x)))[0] == (a.x @ a.x.T >= t).sum(axis=1)).all()
+
+
 def test_repeated_rows_and_empty_table(spark):
     same = spark.createDataFrame([(1, [1.0, 0.0])] * 3 + [(2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert sorted((r.vec_id, r.n_links) for r in near_vectors(same).collect()) == [(1, 2)] * 3 + [(2, 0)]
