@@ -12,7 +12,7 @@ kept if above 1e-8, as a float.  Degrees count rows, neighbours are distinct.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairloom.functions.storage import stored
 from pairloom.operators.graph import KEYS, adjacency, node_degrees
 
 #: The lower edges of the mean bins, and the least observation kept.
@@ -116,56 +117,64 @@ def _k2(edges: DataFrame, e: DataFrame, wanted: DataFrame, exclude_self: bool) -
     return _valued(found.select("left", "right", F.array("s1", "s2").alias("combo"), "_c", "_n"), edges)
 
 
-def observations_walked(edges: DataFrame, pairs: DataFrame, k: int, exclude_self: bool = False, chunk: int = 20_000) -> DataFrame:
-    """As ``observations`` for any k, one left node's bit matrix at a time.
+def observations_walked(edges: DataFrame, pairs: DataFrame, k: int, exclude_self: bool = False, cells: int = 4_000_000, group_rows: int = 4096) -> DataFrame:
+    """As ``observations`` for any k, by the first items of the subsets.
 
-    Each target node u meets the neighbours of its neighbours once (one row a
-    node w that shares an item with u): bits of the shared items, and of u's targets.  Subsets are
-    then enumerated ``chunk`` at a time.
+    Each target node u meets the neighbours of its neighbours once (one row a node w that shares an item with u).  A
+    group holds, for u and one of its items s, the nodes w that have s as well: bits of the later items they share, and of u's targets.
+    The subsets that begin with s are enumerated there, as many at a time as fit ``cells`` bits.  Where more than
+    ``group_rows`` nodes have s, they are dealt over several groups, and these groups' counts are added up.
     """
     e, wanted = edges.select(*KEYS).distinct(), pairs.select(*KEYS).distinct()
     targets = wanted.groupBy("left").agg(F.array_sort(F.collect_list("right")).alias("targets"))
     near = adjacency(e, "left").toDF("w", "w_near")
-    shared = wanted.select("left").distinct().join(e, "left").join(e.toDF("w", "right"), "right").groupBy("left", "w").agg(F.array_sort(F.collect_list("right")).alias("common")).where(F.size("common") >= k)
-    rows = shared.join(near, "w").join(targets, "left").select("left", "w", "common", F.array_intersect("targets", "w_near").alias("hits"))
-
-    def walk(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        u = int(f.left.iloc[0])
-        f = f[f.w != u] if exclude_self else f
-        items = sorted({int(i) for c in f.common for i in c})
+    steps = wanted.select("left").distinct().join(e, "left").join(e.toDF("w", "right"), "right")
+    steps = steps.where("w <> left") if exclude_self else steps
+    shared = steps.groupBy("left", "w").agg(F.array_sort(F.collect_list("right")).alias("common")).where(F.size("common") >= k)
+    met = shared.join(near, "w").join(targets, "left").select("left", "w", "common", F.array_intersect("targets", "w_near").alias("hits"))
+    begun = met.select("left", "w", "common", "hits", F.posexplode("common").alias("i", "first")).where(F.size("common") - F.col("i") >= k)
+    rows = stored(begun.select("left", "first", "w", F.slice("common", F.col("i") + 2, F.size("common")).alias("rest"), "hits"))
+    sizes = rows.groupBy("left", "first").agg(F.count(F.lit(1)).alias("nodes"))
+    crowded = stored(sizes.where(F.col("nodes") > group_rows))
+
+    def walk(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = pd.concat(list(frames))
+        items = sorted({int(i) for rest in f.rest for i in rest})
         goals = sorted({int(v) for h in f.hits for v in h})
-        if len(items) < k or not goals:
-            return
         at, to = {s: i for i, s in enumerate(items)}, {v: i for i, v in enumerate(goals)}
         has, hit = np.zeros((len(f), len(items)), bool), np.zeros((len(f), len(goals)))
-        for r, (c, h) in enumerate(zip(f.common, f.hits, strict=True)):
-            has[r, [at[int(i)] for i in c]] = True
+        for r, (rest, h) in enumerate(zip(f.rest, f.hits, strict=True)):
+            has[r, [at[int(i)] for i in rest]] = True
             hit[r, [to[int(v)] for v in h]] = 1
-        held: list[tuple[int, ...]] = []
-        for combo in combinations(range(len(items)), k):
-            held.append(combo)
-            if len(held) == chunk:
-                yield _counted(u, held, has, hit, items, goals)
-                held = []
-        if held:
-            yield _counted(u, held, has, hit, items, goals)
-
-    def walk_all(f: pd.DataFrame) -> pd.DataFrame:
-        parts = list(walk(f))
-        return pd.concat(parts) if parts else pd.DataFrame({"left": [], "right": [], "combo": [], "_c": [], "_n": []}, dtype=object)
-
-    counted = rows.groupBy("left").applyInPandas(walk_all, "left long, right long, combo array<long>, _c long, _n long")
+        subsets = combinations(range(len(items)), k - 1)
+        while held := list(islice(subsets, max(1, cells // (len(f) * k)))):
+            yield _counted(int(key[0]), int(key[1]), np.array(held, dtype=np.int64).reshape(len(held), k - 1), has, hit, np.array(items, dtype=np.int64), np.array(goals, dtype=np.int64), len(key) == 3)
+
+    schema = "left long, right long, combo array<long>, _c long, _n long"
+    # few bytes make much work here: a given number of partitions is not coalesced
+    tasks = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = rows.join(crowded, ["left", "first"], "left_anti").repartition(tasks, "left", "first").groupBy("left", "first").applyInPandas(walk, schema)
+    if not crowded.isEmpty():
+        part = F.pmod(F.xxhash64("w"), F.ceil(F.col("nodes") / group_rows)).alias("part")
+        parts = stored(rows.join(crowded, ["left", "first"]).select("left", "first", "w", "rest", "hits", part).repartition(tasks, "left", "first", "part").groupBy("left", "first", "part").applyInPandas(walk, schema))
+        support = parts.where("right IS NULL").groupBy("left", "combo").agg(F.sum("_n").alias("_n"))
+        hits = parts.where("right IS NOT NULL").groupBy("left", "right", "combo").agg(F.sum("_c").alias("_c"))
+        counted = counted.unionByName(hits.join(support, ["left", "combo"]).select("left", "right", "combo", "_c", "_n"))
     return _valued(counted, edges)
 
 
-def _counted(u: int, combos: list[tuple[int, ...]], has: np.ndarray, hit: np.ndarray, items: list[int], goals: list[int]) -> pd.DataFrame:
-    c = np.array(combos)
-    inside = has[:, c].all(axis=2)
+def _counted(u: int, first: int, subsets: np.ndarray, has: np.ndarray, hit: np.ndarray, items: np.ndarray, goals: np.ndarray, part: bool) -> pd.DataFrame:
+    """Counts of the subsets that are ``first`` and some of ``items``; of a part of the nodes also how many there have each, with no right node."""
+    inside = has[:, subsets].all(axis=2)
     n = inside.sum(axis=0)
     count = inside.T.astype(float) @ hit
     i, j = np.nonzero(count)
-    names = np.array(items)[c[i]]
-    return pd.DataFrame({"left": u, "right": np.array(goals)[j], "combo": list(names), "_c": count[i, j].astype(np.int64), "_n": n[i]})
+    names = np.concatenate([np.full((len(subsets), 1), first), items[subsets]], axis=1)
+    out = pd.DataFrame({"left": u, "right": pd.array(goals[j], dtype="Int64"), "combo": pd.Series(list(names[i]), dtype=object), "_c": count[i, j].astype(np.int64), "_n": n[i]})
+    if not part:
+        return out
+    some = np.flatnonzero(n)
+    return pd.concat([out, pd.DataFrame({"left": u, "right": pd.array([None] * len(some), dtype="Int64"), "combo": pd.Series(list(names[some]), dtype=object), "_c": 0, "_n": n[some]})])
 
 
 def observation_moments(obs: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """The golden graph: left nodes 0-3, right nodes 4-7, worked out by hand."""
 
 import math
+import random
+from itertools import combinations
 
 import pytest
 
@@ -56,6 +58,26 @@ def test_walk_equals_joins_without_self(edges, targets, k):
     assert key(a) == key(b)
 
 
+@pytest.mark.parametrize("exclude_self", [False, True])
+@pytest.mark.parametrize("k", [2, 3])
+def test_a_crowded_walk_is_dealt_over_groups(spark, k, exclude_self):
+    """Item 0 is everyone's, node 0 has every item: few rows a group, few subsets at a time and a plain count agree."""
+    rng = random.Random(4)
+    e = sorted({(u, 0) for u in range(12)} | {(0, v) for v in range(8)} | {(rng.randrange(12), rng.randrange(8)) for _ in range(40)})
+    of = {u: {b for a, b in e if a == u} for u, _ in e}
+    goals = [(u, v) for u in (0, 3, 7) for v in range(9)]
+    want = {}
+    for u, v in goals:
+        for combo in combinations(sorted(of[u]), k):
+            who = [w for w in of if set(combo) <= of[w] and not (exclude_self and w == u)]
+            if c := sum(v in of[w] for w in who):
+                want[u, v, combo] = round(c / len(who) / math.log1p(sum(b == v for _, b in e)) * math.log1p(len(of[u])), 9)
+    df, pairs = (spark.createDataFrame(x, "left long, right long") for x in (e, goals))
+    for cells, group_rows in ((4_000_000, 4096), (50, 4)):
+        got = cooc.observations_walked(df, pairs, k, exclude_self, cells, group_rows).collect()
+        assert len(got) == len(want) and {(r.left, r.right, tuple(r.combo)): r.x for r in got} == pytest.approx(want, rel=1e-5)
+
+
 def test_moments_entropy_bins(edges, targets):
     m = cooc.left_max_count(cooc.observation_moments(cooc.observations(edges, targets, 1)))
     got = rows(cooc.mean_bin(cooc.entropy(cooc.skew_kurtosis(m))), "left", "right")
