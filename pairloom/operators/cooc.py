@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.storage import stored
 from pairloom.operators.graph import KEYS, adjacency, node_degrees
+from pairloom.operators.lattice import LEAST, observation_sums
 
-#: The lower edges of the mean bins, and the least observation kept.
+#: The lower edges of the mean bins.
 MEAN_EDGES = (0.01, 0.05, 0.10, 0.20, 0.30, 0.40, 0.55, 0.70, 0.85)
-LEAST = 1e-8
 BINS = 10
 
 
@@ -230,7 +230,8 @@ def observation_histogram(obs: DataFrame, normalized: bool = False) -> DataFrame
 
 
 def _block(edges: DataFrame, pairs: DataFrame, k: int, i: int) -> DataFrame:
-    full = mean_bin_onehot(entropy(skew_kurtosis(left_max_count(observation_moments(observations(edges, pairs, k))))))
+    moments = observation_moments(observations(edges, pairs, k)) if k == 1 else observation_sums(edges, pairs, k)
+    full = mean_bin_onehot(entropy(skew_kurtosis(left_max_count(moments))))
     return full.select(*KEYS, *(F.col(f"bin_{b}").alias(f"bin_{b}_{i}") for b in range(BINS)), *(F.col(c).cast("float").alias(f"{c}_{i}") for c in ("kurt", "skew", "entropy")))
 
 

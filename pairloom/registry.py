@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.storage import shared_dir, stored
 from pairloom.jobs import experiments as jobs
-from pairloom.operators import cooc, embed, evaluate, graph, paths, sampling
+from pairloom.operators import cooc, embed, evaluate, graph, lattice, paths, sampling
 from pairloom.operators.model import predict_links, train_link_classifier
 from pairloom.sources import io
 
@@ -462,7 +462,7 @@ def cond_observations_k2(spark, sf):
 
 def _k3(spark, sf, thin):
     edges = stored(edges_of(spark, sf, thin))
-    return rounded(cooc.observation_moments(cooc.observations(edges, edges, 3)).select("left", "right", "n", "s1"), "s1")
+    return lattice.observation_sums(edges, edges, 3)
 
 
 @query(
@@ -472,13 +472,27 @@ c3 AS (SELECT t3."left", e2."right", t3.s1, t3.s2, t3.s3, any_value(wl.n) AS n,
 SELECT "left", "right", count(*) AS n, round(sum(x::DOUBLE), 6) AS s1 FROM (SELECT c3."left", c3."right", {X} AS x FROM c3 JOIN ld du ON du."left" = c3."left" JOIN rd dv ON dv."right" = c3."right") WHERE x > 1e-8 GROUP BY 1, 2"""
 )
 def cond_observations_k3(spark, sf):
-    return _k3(spark, sf, True)
+    return rounded(_k3(spark, sf, True).select("left", "right", "n", "s1"), "s1")
+
+
+#: Triples that another left node has too are listed; those of u alone are known by their number, each observed with every neighbour of u.
+K3_WHOLE = (
+    base()
+    + CO.format(t="e")
+    + f""", uw AS (SELECT a."left", b."left" AS w, list(a."right" ORDER BY a."right") AS s FROM e a JOIN e b ON a."right" = b."right" AND a."left" <> b."left" GROUP BY 1, 2 HAVING count(*) >= 3),
+i1 AS (SELECT "left", w, s, unnest(range(1, len(s) - 1)) AS i FROM uw), i2 AS (SELECT *, unnest(range(i + 1, len(s))) AS j FROM i1), i3 AS (SELECT *, unnest(range(j + 1, len(s) + 1)) AS l FROM i2),
+t3 AS MATERIALIZED (SELECT "left", w, s[i] AS s1, s[j] AS s2, s[l] AS s3 FROM i3), sup AS MATERIALIZED (SELECT "left", s1, s2, s3, 1 + count(*) AS n FROM t3 GROUP BY 1, 2, 3, 4),
+hit AS (SELECT t3."left", t3.s1, t3.s2, t3.s3, p."right", count(*) AS c FROM t3 JOIN e v ON v."left" = t3.w JOIN e p ON p."left" = t3."left" AND p."right" = v."right" GROUP BY 1, 2, 3, 4, 5),
+ct AS (SELECT p."left", p."right", n, 1 + coalesce(c, 0) AS c, count(*) AS t FROM e p JOIN sup ON sup."left" = p."left" LEFT JOIN hit ON hit."left" = p."left" AND hit."right" = p."right" AND hit.s1 = sup.s1 AND hit.s2 = sup.s2 AND hit.s3 = sup.s3 GROUP BY 1, 2, 3, 4
+UNION ALL SELECT p."left", p."right", 1, 1, d * (d - 1) * (d - 2) // 6 - coalesce(k, 0) FROM e p JOIN ld USING ("left") LEFT JOIN (SELECT "left", count(*) AS k FROM sup GROUP BY 1) USING ("left")),
+xs AS (SELECT ct."left", ct."right", t, {X}::DOUBLE AS x FROM ct JOIN ld du ON du."left" = ct."left" JOIN rd dv ON dv."right" = ct."right" WHERE t > 0)
+SELECT "left", "right", sum(t)::BIGINT AS n, round(sum(t * x), 6) AS s1, round(sum(t * x * x), 6) AS s2, round(sum(t * x * x * x), 6) AS s3, round(sum(t * x * x * x * x), 6) AS s4, round(sum(-t * x * ln(x)), 6) AS raw_entropy FROM xs WHERE x > 1e-8 GROUP BY 1, 2"""
+)
 
 
-@query()
+@query(K3_WHOLE)
 def cond_observations_k3_whole(spark, sf):
-    """No SQL: it would hold a row for each target and triple of neighbours."""
-    return _k3(spark, sf, False)
+    return rounded(_k3(spark, sf, False), "s1", "s2", "s3", "s4", "raw_entropy")
 
 
 MOM = ', mo{k} AS (SELECT *, max(n) OVER (PARTITION BY "left") AS n_left FROM (SELECT "left", "right", count(*) AS n, sum(x::DOUBLE) AS s1, sum(x::DOUBLE * x::DOUBLE) AS s2, sum(x::DOUBLE * x::DOUBLE * x::DOUBLE) AS s3, sum(x::DOUBLE * x::DOUBLE * x::DOUBLE * x::DOUBLE) AS s4, sum(-x::DOUBLE * ln(x::DOUBLE)) AS raw_entropy FROM ob{k} GROUP BY 1, 2))'
