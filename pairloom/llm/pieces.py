@@ -4,7 +4,8 @@ The text is cut where no piece of the vocabulary can reach across: before a run
 that occur in no longer piece.  In each part every character begins as a symbol of its own.  An agenda holds the
 adjacent pairs of symbols whose union is a piece, best score first and leftmost first among equals; the first pair is
 merged and its new neighbours go on the agenda, until it is empty.  Symbols that are no piece become their bytes.
-Ids of short parts are remembered, up to a bound.  Every text is encoded by the sentencepiece library too, in the same
+Short parts, of which there are very many, have their agendas side by side as rows of a numpy matrix, of which each row's
+first least entry is merged at a time; long parts have a heap.  Ids of short parts are remembered, up to a bound.  Every text is encoded by the sentencepiece library too, in the same
 Arrow batch, and another result of the library ends the job with the text's first difference.
 
 Rules: a null text counts as empty and has no ids; texts of any length are taken whole; repeated rows are encoded one by
@@ -19,6 +20,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +29,14 @@ from pairloom.llm.common import small_batches, stored
 
 MARK = "▁"
 #: Parts up to so many characters are remembered, so many of them.
-PART_CHARS, PARTS = 40, 200_000
+PART_CHARS, PARTS = 40, 300_000
 #: Whole texts that Python is handed, and that the library encodes, at a time.
 BATCH, BLOCK_CHARS = 1000, 1_000_000
+#: Bits of a symbol's number in a pair, and of a place in an entry of the agenda.
+BITS, PLACE = 20, 40
+LEFT = (1 << PLACE) - 1
+#: The rank of no pair; rows of a matrix of agendas.
+NEVER, ROWS = (1 << 31) - 1, 20_000
 #: The kinds of pieces in the model file that are used here, and its number for merges.
 NORMAL, BYTE, MERGES = 1, 6, 2
 
@@ -46,63 +53,147 @@ class MergeEncoder:
         kinds = {p.type for p in model.pieces}
         if model.trainer_spec.model_type != MERGES or sum(p.type == BYTE for p in model.pieces) != 256 or kinds - {1, 2, 3, BYTE}:
             raise ValueError("a merge-type vocabulary with byte fallback, without user-defined or unused pieces, is needed")
-        self.rank = {p.piece: (-p.score, i) for i, p in enumerate(model.pieces) if p.type == NORMAL}
-        self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
-        longer = [p for p in self.rank if len(p) > 1]
+        normal = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
+        scores = {s: at for at, s in enumerate(sorted({p.score for p in model.pieces}, reverse=True))}
+        self.order = [scores[p.score] for p in model.pieces]
+        byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
+        longer = [p for p in normal if len(p) > 1]
+        # a symbol is a piece, or a character that is none: such ones are numbered on and have their bytes as ids
+        inner = sorted({c for p in longer for c in p})
+        self.symbol = dict(normal) | {c: len(model.pieces) + i for i, c in enumerate(c for c in inner if c not in normal)}
+        self.spelt = {i: [byte[x] for x in c.encode()] for c, i in self.symbol.items() if i >= len(model.pieces)}
+        self.pairs = {self.symbol[p[:i]] << BITS | self.symbol[p[i:]]: n for p, n in normal.items() for i in range(1, len(p)) if p[:i] in self.symbol and p[i:] in self.symbol}
+        self.keys = np.array(sorted(self.pairs), dtype=np.int64)
+        self.unions = np.array([self.pairs[k] for k in self.keys.tolist()], dtype=np.int32)
+        self.ranks = np.array([*self.order, NEVER], dtype=np.int32)  # at -1, the union of no pair: never
+        self.numbers = np.full(0x110000, -1, dtype=np.int32)
+        self.numbers[[ord(c) for c in self.symbol if len(c) == 1]] = [i for c, i in self.symbol.items() if len(c) == 1]
+        self.decimals = [str(i) for i in range(len(model.pieces))]
+        self.bytes_of = lambda c: [byte[x] for x in c.encode()]
         apart = all(MARK not in p.lstrip(MARK) for p in longer)
-        inner = "".join(re.escape(c) for c in sorted({c for p in longer for c in p} - {MARK}))
-        self.parts = re.compile(f"{MARK}*[{inner}]+|{MARK}+|." if apart and inner else ".+", re.S).findall
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        others = "".join(re.escape(c) for c in inner if c != MARK)
+        self.parts = re.compile(f"{MARK}*[{others}]+|{MARK}+|." if apart and others else ".+", re.S).findall
+        self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def merged(self, part: str) -> list[int]:
-        """The ids of a part, by the agenda."""
-        rank, symbols, n = self.rank, list(part), len(part)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(rank[both][0], i, i + 1, 2) for i in range(n - 1) if (both := part[i : i + 2]) in rank]
-        heapify(agenda)
-        while agenda:
-            _, i, j, size = heappop(agenda)
-            a, b = symbols[i], symbols[j]
-            if not a or not b or len(a) + len(b) != size:  # one of them has been merged meanwhile
-                continue
-            symbols[i], symbols[j] = a + b, ""
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (both := a + b + symbols[k]) in rank:
-                    heappush(agenda, (rank[both][0], i, k, len(both)))
-            if (h := before[i]) >= 0 and (both := symbols[h] + a + b) in rank:
-                heappush(agenda, (rank[both][0], h, i, len(both)))
-        out: list[int] = []
-        for s in symbols:
-            if s in rank:
-                out.append(rank[s][1])
-            elif s:
-                out += (self.byte[x] for x in s.encode())
+        """The ids of a part, by a heap as the agenda: numbers that hold a pair's place in the order of scores, then its left end."""
+        symbol, pairs, order, n = self.symbol, self.pairs.get, self.order, len(part)
+        if any(c not in symbol for c in part):  # characters of no piece merge with nothing
+            return [i for run in re.findall("|".join((f"[{''.join(re.escape(c) for c in {*part} if c in symbol)}]+", ".")) if any(c in symbol for c in part) else ".", part, re.S) for i in (self.merged(run) if run[0] in symbol else self.bytes_of(run))]
+        held = [symbol[c] for c in part]
+        agenda = [order[m] << PLACE | i for i in range(n - 1) if (m := pairs(held[i] << BITS | held[i + 1])) is not None]
+        if agenda:
+            heapify(agenda)
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+            while agenda:
+                top = heappop(agenda)
+                i = top & LEFT
+                a, j = held[i], after[i]
+                if a < 0 or j >= n or (m := pairs(a << BITS | held[j])) is None or order[m] != top >> PLACE:
+                    continue  # one of the two has been merged meanwhile
+                held[i], held[j] = m, -1
+                after[i] = k = after[j]
+                if k < n:
+                    before[k] = i
+                    if (q := pairs(m << BITS | held[k])) is not None:
+                        heappush(agenda, order[q] << PLACE | i)
+                h = before[i]
+                if h >= 0 and (q := pairs(held[h] << BITS | m)) is not None:
+                    heappush(agenda, order[q] << PLACE | h)
+        last = len(order)
+        if max(held, default=0) < last:
+            return [s for s in held if s >= 0]
+        return [x for s in held if s >= 0 for x in (self.spelt[s] if s >= last else (s,))]
+
+    def union(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The pieces that pairs of symbols make together, or -1."""
+        key = a.astype(np.int64) << BITS | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.unions[at], -1)
+
+    def merged_together(self, parts: list[str]) -> list[list[int]]:
+        """``merged`` of short parts, whose agendas are the rows of a matrix."""
+        size = np.array([len(p) for p in parts])
+        symbols = self.numbers[np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32)]
+        ends = np.cumsum(size)
+        out: list[list[int]] = [[]] * len(parts)
+        for low, high in zip((0, 4, 8, 12, 20), (4, 8, 12, 20, PART_CHARS), strict=True):
+            rows = np.flatnonzero((size > low) & (size <= high))
+            for lo in range(0, len(rows), ROWS):
+                own = rows[lo : lo + ROWS]
+                column = np.arange(high)
+                inside = column < size[own, None]
+                held = np.where(inside, symbols[np.minimum((ends - size)[own, None] + column, len(symbols) - 1)], -1)
+                self._settle(held)
+                left = (held >= 0).sum(axis=1)
+                flat, to = held[held >= 0].tolist(), np.cumsum(left)
+                for i, b, n in zip(own.tolist(), to.tolist(), left.tolist(), strict=True):
+                    out[i] = flat[b - n : b]
+        last = len(self.order)
+        return [ids if max(ids) < last else [x for s in ids for x in (self.spelt[s] if s >= last else (s,))] for ids in out]
+
+    def _settle(self, held: np.ndarray) -> None:
+        """Merges the symbols in each row of ``held`` until no pair is a piece; -1 fills up on the right."""
+        live, row = np.arange(len(held)), held
+        new = np.where(row[:, 1:] >= 0, self.union(row[:, :-1], row[:, 1:]), -1)
+        column = np.arange(row.shape[1])
+        while len(live):
+            agenda = self.ranks[new]
+            at = agenda.argmin(axis=1) if agenda.shape[1] else np.zeros(len(live), dtype=np.int64)
+            some = agenda[np.arange(len(live)), at] < NEVER if agenda.shape[1] else np.zeros(len(live), dtype=bool)
+            held[live[~some]] = row[~some]
+            live, row, new, at = live[some], row[some], new[some], at[some]
+            if not len(live):
+                return
+            i = np.arange(len(live))
+            union = new[i, at]
+            # what stands right of the pair moves one place to the left
+            after = column[None, :] > at[:, None]
+            row = np.where(after, np.c_[row[:, 1:], np.full(len(live), -1)], row)
+            new = np.where(after[:, :-1], np.c_[new[:, 1:], np.full(len(live), -1)], new)
+            row[i, at] = union
+            right = row[i, np.minimum(at + 1, row.shape[1] - 1)]
+            open_ = at < new.shape[1]
+            new[i[open_], at[open_]] = np.where(right >= 0, self.union(union, right), -1)[open_]
+            back = at > 0
+            new[i[back], at[back] - 1] = self.union(row[i[back], at[back] - 1], union[back])
+
+    def learn(self, parts: list[list[str]]) -> None:
+        """Makes the ids of all short parts known; earlier ones are forgotten when twice PARTS more have been learnt."""
+        known, older = self.known, self.older
+        fresh = {p: None for text in parts for p in text if p not in known}
+        if len(known) + len(fresh) > PARTS:
+            self.older, self.known = known, {}
+            fresh = {p: None for text in parts for p in text}
+            known, older = self.known, self.older
+        short = []
+        for p in fresh:
+            if (found := older.get(p)) is not None:
+                known[p] = found
+            elif 1 < len(p) <= PART_CHARS:
+                short.append(p)
+            elif len(p) == 1:
+                known[p] = self.merged(p)
+        if short:
+            known.update(zip(short, self.merged_together(short), strict=True))
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        parts = [self.parts(self.library.normalize(t)) for t in texts]
+        self.learn(parts)
+        known, out = self.known, []
+        for text in parts:
+            ids: list[int] = []
+            for p in text:
+                ids += known[p] if p in known else self.merged(p)  # long parts are not kept
+            out.append(ids)
         return out
 
-    def encode(self, text: str) -> tuple[list[int], list[str]]:
-        """The ids, and them as decimal texts, several joined by commas in each."""
-        ids: list[int] = []
-        shown: list[str] = []
-        known = self.known
-        for part in self.parts(self.library.normalize(text)):
-            found = known.get(part)
-            if found is None:
-                got = tuple(self.merged(part))
-                found = got, ",".join(map(str, got))
-                if len(part) <= PART_CHARS:
-                    if len(known) >= PARTS:
-                        known.clear()
-                    known[part] = found
-            ids += found[0]
-            shown.append(found[1])
-        return ids, shown
-
-    def checked(self, texts: list[str]) -> list[tuple[list[int], list[str]]]:
+    def checked(self, texts: list[str]) -> list[list[int]]:
         """``encode`` of each text, equal to what the library gives."""
-        ours = [self.encode(t) for t in texts]
-        for (ids, _), theirs in zip(ours, self.library.encode(texts, num_threads=1), strict=True):
+        ours = self.encode(texts)
+        for ids, theirs in zip(ours, self.library.encode(texts, num_threads=1), strict=True):
             if ids != theirs:
                 at = next((i for i, (a, b) in enumerate(zip(ids, theirs, strict=False)) if a != b), min(len(ids), len(theirs)))
                 raise ValueError(f"the library encodes a text otherwise, from id {at} on: {theirs[at : at + 5]}, not {ids[at : at + 5]}")
@@ -129,8 +220,8 @@ def in_blocks(texts: list[str]) -> Iterator[list[str]]:
         yield held
 
 
-def _mapped(docs: DataFrame, id_col: str, text_col: str, schema: str, row: Callable[[list[int], list[str], str], tuple]) -> DataFrame:
-    """A row (id, *row(ids, shown, decoded)) for each document."""
+def _mapped(docs: DataFrame, id_col: str, text_col: str, schema: str, row: Callable[[list[int], str, list[str]], tuple]) -> DataFrame:
+    """A row (id, *row(ids, decoded, all ids as decimal texts)) for each document."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +231,8 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, schema: str, row: Calla
         for b in batches:
             rows = []
             for texts in in_blocks([t or "" for t in b.column(1).to_pylist()]):
-                for ids, shown in e.checked(texts):
-                    rows.append(row(ids, shown, e.library.decode(ids)))
+                for ids in e.checked(texts):
+                    rows.append(row(ids, e.library.decode(ids), e.decimals))
             cols = list(zip(*rows, strict=True)) or [()] * (len(names) - 1)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
 
@@ -159,10 +250,10 @@ MODEL = "piece_bpe_32k.model"
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, decoded): the ids of every whole text, without begin and end ids, and the text they decode to."""
-    return _mapped(docs, id_col, text_col, "doc_id long, ids array<int>, decoded string", lambda ids, shown, decoded: (ids, decoded))
+    return _mapped(docs, id_col, text_col, "doc_id long, ids array<int>, decoded string", lambda ids, decoded, _: (ids, decoded))
 
 
 def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): what ``encode_documents`` gives, as a count and digests made in the same batch."""
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    return _mapped(docs, id_col, text_col, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda ids, shown, decoded: (len(ids), sha(",".join(shown)), sha(decoded)))
+    return _mapped(docs, id_col, text_col, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda ids, decoded, shown: (len(ids), sha(",".join([shown[i] for i in ids])), sha(decoded)))
