@@ -408,3 +408,18 @@ def test_mix_goes_on_past_documents_that_do_not_fit(spark):
                 assert not left or 2 * (target - taken) <= min(left) + 1e-6
             else:  # without the last one it would be farther off
                 assert any(n > 2 * (taken - target) for n, c in docs_ if c > whole)
+
+
+def test_base_spans_are_those_of_the_patterns_and_found_in_one_pass():
+    import time
+
+    rng = random.Random(11)
+    alphabet = ["a", "B", "7", "12", "255", "300", ".", ".", "@", "@", "-", "+", " ", "_", "%", "(", ")", "4111 1111 1111 1111", "é", "x@y.zz", "1.2.3.4"]
+    for _ in range(4000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(30)))
+        want = sorted((m.start(), k, m.end()) for k, kind in enumerate(pii.KINDS) for m in pii.BASE[kind].finditer(t) if pii.valid(kind, m[0]))
+        assert pii.base_spans(t) == want, t
+    began = time.time()
+    for t in ("a" * 10**6 + " x@y.zz", "@" + "a" * 10**6, "1" * 10**6, "1." * 10**6, "a@" * 10**5, "+1" * 10**5):
+        pii.base_spans(t)
+    assert time.time() - began < 10
