@@ -454,12 +454,13 @@ def keep_one(docs: DataFrame, threshold: float = 0.75, width: int = 5, id_col: s
     found = stored(jaccard_components(docs, threshold, width, id_col, text_col).select("doc_id", (F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()) | (F.col("n_shingles") == 0)).alias("stays")))
     per = found.groupBy("doc_id").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
     doubtful = stored(per.where(~F.col("stays") | (F.col("n") > 1) | F.col("doc_id").isNull()))
-    key = F.col(id_col).cast("long")
-    marked = docs.withColumn("_held", _holds(_bitmap(doubtful), docs.sparkSession)(key))
-    passed = marked.where(~F.col("_held")).drop("_held")
-    rest = marked.where("_held").drop("_held")
-    out = doubtful.where("not stays").select(F.col("doc_id").alias("_out"))
-    twice = doubtful.where("stays").select(F.col("doc_id").alias("_twice"))
-    rest = rest.join(out, key.eqNullSafe(F.col("_out")), "left_anti")
-    once = rest.join(twice, key.eqNullSafe(F.col("_twice")), "left_anti")
-    return passed.unionByName(once).unionByName(rest.join(twice, key.eqNullSafe(F.col("_twice")), "left_semi").dropDuplicates([id_col, text_col]))
+    # whole rows travel packed, so that no name of theirs can clash
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+    marked = packed.withColumn("held", _holds(_bitmap(doubtful), docs.sparkSession)(F.col("key")))
+    passed, rest = marked.where(~F.col("held")), marked.where("held")
+    out = doubtful.where("not stays").select(F.col("doc_id").alias("out"))
+    twice = doubtful.where("stays").select(F.col("doc_id").alias("twice"))
+    rest = rest.join(out, F.col("key").eqNullSafe(F.col("out")), "left_anti")
+    same = F.col("key").eqNullSafe(F.col("twice"))
+    once, again = rest.join(twice, same, "left_anti"), rest.join(twice, same, "left_semi").dropDuplicates(["key", "text"])
+    return passed.unionByName(once).unionByName(again).select("row.*")
