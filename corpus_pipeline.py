@@ -5,7 +5,8 @@ and returns a DataFrame, which is written as Parquet and read again as the
 next one's documents.
 
 Rules for every stage: an empty table gives no rows; other columns, whatever their names, pass unchanged through all
-stages but the last; what a stage does with nulls and repeated rows is said at the stage.
+stages but the last; a stage that hands whole texts to Python lowers the session's batch limits for the job that writes its
+result, and ``run`` puts them back; what a stage does with nulls and repeated rows is said at the stage.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import free, hand_small_batches, stored, table, tokenizer_path
+from pairloom.llm.common import free, hand_small_batches, small_batches, stored, table, tokenizer_path
 from pairloom.llm.langid import drop_unidentified, train_language_model
 from pairloom.llm.mixing import mixed_documents
 from pairloom.llm.packing import pack_documents
@@ -78,7 +79,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        before, docs = docs, stored(stage(spark, docs, sf_dir))
-        free(before)
+    with small_batches(spark, BATCH):
+        for _, stage in STAGES:
+            before, docs = docs, stored(stage(spark, docs, sf_dir))
+            free(before)
     return docs
