@@ -118,6 +118,7 @@ class MergeEncoder:
         symbols = self.numbers[np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32)]
         ends = np.cumsum(size)
         out: list[list[int]] = [[]] * len(parts)
+        last = len(self.order)
         for low, high in zip((0, 4, 8, 12, 20), (4, 8, 12, 20, PART_CHARS), strict=True):
             rows = np.flatnonzero((size > low) & (size <= high))
             for lo in range(0, len(rows), ROWS):
@@ -126,12 +127,14 @@ class MergeEncoder:
                 inside = column < size[own, None]
                 held = np.where(inside, symbols[np.minimum((ends - size)[own, None] + column, len(symbols) - 1)], -1)
                 self._settle(held)
-                left = (held >= 0).sum(axis=1)
-                flat, to = held[held >= 0].tolist(), np.cumsum(left)
-                for i, b, n in zip(own.tolist(), to.tolist(), left.tolist(), strict=True):
-                    out[i] = flat[b - n : b]
-        last = len(self.order)
-        return [ids if max(ids) < last else [x for s in ids for x in (self.spelt[s] if s >= last else (s,))] for ids in out]
+                there = held >= 0
+                flat, to = held[there].tolist(), np.cumsum(there.sum(axis=1)).tolist()
+                b = 0
+                for i, e in zip(own.tolist(), to, strict=True):
+                    out[i], b = flat[b:e], e
+                for i in own[(held >= last).any(axis=1)].tolist():
+                    out[i] = [x for s in out[i] for x in (self.spelt[s] if s >= last else (s,))]
+        return out
 
     def _settle(self, held: np.ndarray) -> None:
         """Merges the symbols in each row of ``held`` until no pair is a piece; -1 fills up on the right."""
@@ -161,20 +164,16 @@ class MergeEncoder:
 
     def learn(self, parts: list[list[str]]) -> None:
         """Makes the ids of all short parts known; earlier ones are forgotten when twice PARTS more have been learnt."""
+        fresh = set().union(*parts)
+        if len(self.known) + len(fresh) > PARTS:
+            self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        fresh = {p: None for text in parts for p in text if p not in known}
-        if len(known) + len(fresh) > PARTS:
-            self.older, self.known = known, {}
-            fresh = {p: None for text in parts for p in text}
-            known, older = self.known, self.older
-        short = []
-        for p in fresh:
-            if (found := older.get(p)) is not None:
-                known[p] = found
-            elif 1 < len(p) <= PART_CHARS:
-                short.append(p)
-            elif len(p) == 1:
-                known[p] = self.merged(p)
+        fresh -= known.keys()
+        again = fresh & older.keys()
+        known.update((p, older[p]) for p in again)
+        fresh -= again
+        short = [p for p in fresh if 1 < len(p) <= PART_CHARS]
+        known.update((p, self.merged(p)) for p in fresh if len(p) == 1)
         if short:
             known.update(zip(short, self.merged_together(short), strict=True))
 
