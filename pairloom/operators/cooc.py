@@ -230,8 +230,7 @@ def observation_histogram(obs: DataFrame, normalized: bool = False) -> DataFrame
 
 
 def _block(edges: DataFrame, pairs: DataFrame, k: int, i: int) -> DataFrame:
-    moments = observation_moments(observations(edges, pairs, k)) if k == 1 else observation_sums(edges, pairs, k)
-    full = mean_bin_onehot(entropy(skew_kurtosis(left_max_count(moments))))
+    full = mean_bin_onehot(entropy(skew_kurtosis(left_max_count(observation_sums(edges, pairs, k)))))
     return full.select(*KEYS, *(F.col(f"bin_{b}").alias(f"bin_{b}_{i}") for b in range(BINS)), *(F.col(c).cast("float").alias(f"{c}_{i}") for c in ("kurt", "skew", "entropy")))
 
 

@@ -126,8 +126,9 @@ def _crowded(k: int, cells: int):
         rest, hits = [[np.asarray(x) for x in f[c]] for c in ("rest", "hits")]
         items, goals = (np.unique(np.concatenate(x)) for x in (rest, hits))
         here = bitmaps(hits, goals)
-        for subsets, inter in shared_subsets(bitmaps(rest, items), k - 1, cells):
-            names = np.column_stack([np.full(len(subsets), int(key[1])), items[subsets]])
+        alone = np.zeros((1, 0), dtype=np.int64), bitmaps([np.zeros(1, dtype=np.int64)] * len(f), np.zeros(1, dtype=np.int64))
+        for subsets, inter in [alone] if k == 1 else shared_subsets(bitmaps(rest, items), k - 1, cells):
+            names = np.column_stack([np.full(len(subsets), int(key[1])), *items[subsets].T]).astype(np.int64)
             for lo in range(0, len(inter), step := max(1, cells // max(1, len(goals)))):
                 part, named = inter[lo : lo + step], names[lo : lo + step]
                 c = popcounts(part, here)
@@ -148,13 +149,11 @@ def _choose(d: Column, k: int) -> Column:
 
 
 def observation_sums(edges: DataFrame, pairs: DataFrame, k: int, exclude_self: bool = False, cells: int = 2_000_000, group_rows: int = 4096, group_sets: float = 2e7) -> DataFrame:
-    """(left, right, n, s1..s4, raw_entropy): the moments of ``observations`` for any k from 2 on, without a row for an observation.
+    """(left, right, n, s1..s4, raw_entropy): the moments of ``observations`` for any k, without a row for an observation.
 
     A left node goes to one group unless more than ``group_rows`` nodes share k items with it or these share more than
     ``group_sets`` subsets in all.  Rules: as in ``observations``; targets whose right node has no edges have no observations.
     """
-    if k < 2:
-        raise ValueError("k is 2 or more here")
     spark = edges.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     e, wanted = edges.select(*KEYS).distinct(), pairs.select(*KEYS).distinct()

@@ -200,6 +200,8 @@ def split_train_test_negatives(splits: DataFrame, ratio: int = 10, seed: int = 0
 
 def sample_ratio(scored: DataFrame, ratio: int, seed: int) -> DataFrame:
     """All positives and min(ratio * positives, negatives) negatives of rows (left, right, label, ...)."""
-    want = ratio * scored.where("label = 1").count()
-    negatives = lowest(scored.where("label = 0"), want, hash_key(seed, F.lit(ratio), *KEYS), *KEYS)
+    n = {r.label: r["count"] for r in scored.groupBy("label").count().collect()}  # two rows
+    want, negatives = ratio * n.get(1, 0), scored.where("label = 0")
+    if want < n.get(0, 0):
+        negatives = lowest(negatives, want, hash_key(seed, F.lit(ratio), *KEYS), *KEYS)
     return scored.where("label = 1").unionByName(negatives)

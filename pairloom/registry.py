@@ -14,10 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.functions.hashing import hash_key
 from pairloom.functions.storage import shared_dir, stored
 from pairloom.jobs import experiments as jobs
 from pairloom.operators import cooc, embed, evaluate, graph, lattice, paths, sampling
-from pairloom.operators.model import predict_links, train_link_classifier
+from pairloom.operators.model import predict_pairs, train_link_classifier
 from pairloom.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -790,12 +791,28 @@ def baseline_report_full(spark, sf):
     return jobs.run_baselines(jobs.Split(train, test, pairs), ratios=(1, 10, 100))
 
 
+def _gbt(spark, sf):
+    """(half, left, right, label, score): a classifier learns from one half of the pairs, by hash, and scores both."""
+    train, test, pairs = pairs_of(spark, sf)
+    rows = cooc.feature_matrix(train, pairs).join(sampling.build_eval_pairs(pairs, train, test), ["left", "right"])
+    rows = stored(rows.withColumn("half", (hash_key(6, "left", "right") % 2).cast("int")))
+    model = train_link_classifier(rows.where("half = 0"), cooc.feature_subsets()["Full"])
+    return predict_pairs(model, rows).select("half", "left", "right", "label", "score")
+
+
 @query()
 def gbt_scores(spark, sf):
-    train, test, pairs = pairs_of(spark, sf)
-    rows = stored(cooc.feature_matrix(train, pairs).join(sampling.build_eval_pairs(pairs, train, test), ["left", "right"]))
-    model = train_link_classifier(rows, cooc.feature_subsets()["Full"])
-    return predict_links(model, rows).select("left", "right", "label", "score")
+    """Probabilities of the half that nothing was learnt from; ``gbt_report`` has SQL."""
+    return _gbt(spark, sf).where("half = 1").drop("half")
+
+
+@query(eval_base() + f""", hv AS (SELECT {key(6, '"left"', '"right"')} % 2 AS half, label FROM (SELECT "left", "right", 1 AS label FROM te UNION ALL SELECT "left", "right", 0 FROM neg)) SELECT half::INT AS half, count(*) AS n, sum(label)::BIGINT AS positives, count(*) AS probabilities, half = 0 AS learnt FROM hv GROUP BY half""")
+def gbt_report(spark, sf):
+    """Of each half: rows, positives, scores within 0 and 1; and whether the half that taught is ranked well above chance."""
+    scored = stored(_gbt(spark, sf))
+    counts = scored.groupBy("half").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("positives"), F.count(F.when(F.col("score").between(0, 1), 1)).alias("probabilities"))
+    area = evaluate.ranking_metrics(scored, ["half"]).select("half", ((F.col("half") == 0) & (F.col("auroc") > 0.55)).alias("learnt"))
+    return counts.join(area, "half")
 
 
 @query()
