@@ -6,12 +6,14 @@ the pairs are pushed into the walk, from both ends, instead of filtering all pai
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairloom.functions.storage import free, stored
-from pairloom.operators.graph import KEYS, except_pairs, node_degrees
+from pairloom.operators.graph import KEYS, except_pairs
 
 
 def _walks3(e: DataFrame, pairs: DataFrame | None, weighted: DataFrame | None = None) -> DataFrame:
@@ -34,7 +36,8 @@ def path3_count(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
 def katz(edges: DataFrame, max_len: int = 5, beta: float = 0.05, pairs: DataFrame | None = None) -> DataFrame:
     """(left, right, score): the sum over odd l <= max_len of beta^l times the walks of length l; edges keep their score.
 
-    Only odd walks cross between the sides.  Walks of length l + 2 extend those of
+    Only odd walks cross between the sides.  With ``pairs``, walks from 5 on are counted from both ends, which meet at a left node:
+    2i steps from the left end, 2j + 1 from the right one, i - j being 0 or 1.  Without, walks of length l + 2 extend those of
     length l by a step back and a step forth, each grouped before the next.
     """
     e = edges.select(*KEYS).distinct()
@@ -43,18 +46,34 @@ def katz(edges: DataFrame, max_len: int = 5, beta: float = 0.05, pairs: DataFram
     parts = [within(e).select(*KEYS, F.lit(float(beta)).alias("term"))]
     if max_len >= 3:
         parts.append(_walks3(e, wanted).select(*KEYS, (F.col("value") * beta**3).alias("term")))
+    if max_len >= 5 and wanted is not None:
+        parts += [w.select(*KEYS, (F.col("value") * beta**length).alias("term")) for length, w in _meeting_walks(stored(e), stored(wanted), max_len)]
     walks = None
-    for length in range(5, max_len + 1, 2):
-        start = e if wanted is None else e.join(wanted.select("left").distinct(), "left", "left_semi")
-        walks = walks if walks is not None else _walks3_from(start, e)
+    for length in range(5, max_len + 1, 2) if wanted is None else ():
+        walks = walks if walks is not None else _walks3_from(e, e)
         walks = stored(_extend(walks, e))
-        parts.append(within(walks).select(*KEYS, (F.col("value") * beta**length).alias("term")))
+        parts.append(walks.select(*KEYS, (F.col("value") * beta**length).alias("term")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy(*KEYS).agg(F.sum("term").alias("score"))
 
 
+def _meeting_walks(e: DataFrame, wanted: DataFrame, max_len: int) -> Iterator[tuple[int, DataFrame]]:
+    """(length, (left, right, value)) for the lengths from 5 on: walks of ``wanted`` pairs, without a table of all pairs of their ends."""
+    step = lambda d, end: d.join(e.toDF("b", "item"), "b").groupBy(end, "item").agg(F.sum("value").alias("value")).join(e.toDF("b", "item"), "item").groupBy(end, "b").agg(F.sum("value").alias("value"))
+    one = F.lit(1).cast("long").alias("value")
+    ahead = stored(step(wanted.select("left", F.col("left").alias("b"), one).distinct(), "left"))
+    behind = wanted.select("right").distinct().join(e.toDF("b", "right"), "right").select("right", "b", one)
+    for length in range(5, max_len + 1, 2):
+        if length % 4 == 1:
+            behind = stored(step(behind, "right"))
+        else:
+            ahead = stored(step(ahead, "left"))
+        met = wanted.join(ahead.withColumnRenamed("value", "_f"), "left").join(behind, ["right", "b"])
+        yield length, met.groupBy(*KEYS).agg(F.sum(F.col("_f") * F.col("value")).alias("value"))
+
+
 def _walks3_from(start: DataFrame, e: DataFrame) -> DataFrame:
     return _extend(start.select(*KEYS, F.lit(1).cast("long").alias("value")), e)
 
@@ -121,16 +140,19 @@ def _distances(e: DataFrame, max_dist: int) -> DataFrame:
     return seen_right
 
 
-def l3(edges: DataFrame, pairs: DataFrame | None = None, degree_rule: str = "doubled") -> DataFrame:
+def l3(edges: DataFrame, pairs: DataFrame | None = None, degree_rule: str = "doubled", weight: str | None = None) -> DataFrame:
     """(left, right, score) of non-adjacent pairs: the sum over left - a - b - right of 1 / sqrt(k_a k_b).
 
     ``degree_rule``: ``doubled`` counts every right degree twice (the end of the larger id of
-    each edge counts twice where right ids follow left ids), ``published`` once.
+    each edge counts twice where right ids follow left ids), ``published`` once.  With a column ``weight`` a degree is the sum
+    of its edges' absolute weights; steps still count alike.  Rules: of a repeated edge the largest weight counts, a null or zero weight is no edge.
     """
-    e = edges.select(*KEYS).distinct()
+    size = F.lit(1.0) if weight is None else F.abs(F.col(weight).cast("double"))
+    sized = edges.select(*KEYS, size.alias("_size")).where("_size > 0").groupBy(*KEYS).agg(F.max("_size").alias("_size"))
+    e = sized.select(*KEYS)
     factor = 2.0 if degree_rule == "doubled" else 1.0
-    ka = node_degrees(e, "right").select(F.col("node").alias("right"), (F.col("degree") * factor).alias("_ka"))
-    kb = node_degrees(e, "left").select(F.col("node").alias("left"), F.col("degree").cast("double").alias("_kb"))
+    ka = sized.groupBy("right").agg((F.sum("_size") * factor).alias("_ka"))
+    kb = sized.groupBy("left").agg(F.sum("_size").alias("_kb"))
     weighted = e.join(ka, "right").join(kb, "left").select(*KEYS, (1.0 / F.sqrt(F.col("_ka") * F.col("_kb"))).alias("_w"))
     score = _walks3(e, pairs, weighted).withColumnRenamed("value", "score")
     return except_pairs(score, e)

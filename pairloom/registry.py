@@ -220,6 +220,14 @@ def predictions_written(spark, sf):
     return spark.read.schema("larger long, smaller long, score double").csv(path, sep="\t")
 
 
+@query()
+def observations_written(spark, sf):
+    """Raw observations, written and read back."""
+    path = new_path(spark)
+    io.write_observations(_obs(spark, sf, 1), path)
+    return rounded(spark.read.parquet(path), "value")
+
+
 def _core_sql(k: int, rounds: int, thin: bool = True) -> str:
     sql, last = base(thin), "e"
     for i in range(rounds):
@@ -298,6 +306,12 @@ def sample_degree_subgraph(spark, sf):
     return sampling.sample_degree_nodes(stored(edges_of(spark, sf)), 2500, 5)
 
 
+@query(_sample_sql("{key}").replace("2500.0", "(CASE WHEN (SELECT count(*) FROM e) > 50000 THEN 25000.0 ELSE (SELECT count(*) FROM e) END)"))
+def sample_for_budget(spark, sf):
+    """25,000 edges at random if there are more than 50,000."""
+    return sampling.sample_for_budget(stored(edges_of(spark, sf)), " Random", 5)
+
+
 @query()
 def sample_forest_fire(spark, sf):
     return sampling.sample_forest_fire(stored(edges_of(spark, sf)), 2500, 0.7, 5)
@@ -442,6 +456,9 @@ ob2 AS (SELECT * FROM (SELECT c2."left", c2."right", c2.s1 || ',' || c2.s2 AS co
 }
 
 
+ORACLES["observations_written"] = eval_base() + OBS[1] + ' SELECT "left", "right", round(x::DOUBLE, 6) AS value FROM ob1'
+
+
 def _obs(spark, sf, k):
     train, _, pairs = pairs_of(spark, sf)
     return cooc.observations(train, pairs, k)
@@ -610,6 +627,18 @@ def katz_3(spark, sf):
     return paths.katz(train, 3, 0.005, pairs).withColumn("score", F.round("score", 12))
 
 
+#: Walks by the numbers of steps between left nodes (w2) and from right to left ones (b3), for all pairs at once.
+WALKS = ', w2 AS MATERIALIZED (SELECT a."left" AS u, b."left" AS b, count(*) AS n FROM tr a JOIN tr b ON a."right" = b."right" GROUP BY 1, 2), b3 AS MATERIALIZED (SELECT z."right" AS v, w2.u AS b, sum(n)::BIGINT AS n FROM tr z JOIN w2 ON w2.b = z."left" GROUP BY 1, 2)'
+KATZ5 = WALKS + ', k5 AS (SELECT "left", "right", sum(t) AS score FROM (SELECT p."left", p."right", 0.00000031250::DOUBLE * sum(w2.n * b3.n) AS t FROM pairs p JOIN w2 ON w2.u = p."left" JOIN b3 ON b3.v = p."right" AND b3.b = w2.b GROUP BY 1, 2 UNION ALL SELECT p."left", p."right", 0.000125::DOUBLE * b3.n FROM pairs p JOIN b3 ON b3.v = p."right" AND b3.b = p."left" UNION ALL SELECT "left", "right", 0.05::DOUBLE FROM tr JOIN pairs USING ("left", "right")) GROUP BY 1, 2)'
+
+
+@query(eval_base() + KATZ5 + ' SELECT "left", "right", round(score, 10) AS score FROM k5')
+def katz_5(spark, sf):
+    """Length 5 and beta 0.05, the defaults."""
+    train, _, pairs = pairs_of(spark, sf)
+    return paths.katz(train, pairs=pairs).withColumn("score", F.round("score", 10))
+
+
 def _distance_sql(limit: int) -> str:
     sql = ', b1 AS (SELECT "left", "right", 1 AS d FROM tr), v1 AS (SELECT DISTINCT "left", "left" AS b FROM tr)'
     for d in range(3, limit + 1, 2):
@@ -657,6 +686,14 @@ def l3_scores_published(spark, sf):
     return rounded(paths.l3(train, pairs, "published"), "score")
 
 
+@query(eval_base() + _l3_sql("1.0").replace('count(*) AS d FROM tr GROUP BY 1) rd', 'sum(1 + ("left" * 7 + "right") % 5) AS d FROM tr GROUP BY 1) rd').replace('count(*) AS d FROM tr GROUP BY 1) ld', 'sum(1 + ("left" * 7 + "right") % 5) AS d FROM tr GROUP BY 1) ld') + ' SELECT "left", "right", round(score, 6) AS score FROM l3')
+def l3_scores_weighted(spark, sf):
+    """Degrees as sums of weights, negative ones by their size."""
+    train, _, pairs = pairs_of(spark, sf)
+    size = 1 + (F.col("left") * 7 + F.col("right")) % 5
+    return rounded(paths.l3(train.withColumn("weight", F.when(F.col("left") % 2 == 0, size).otherwise(-size)), pairs, "published", weight="weight"), "score")
+
+
 @query(eval_base() + P3 + ' SELECT "left", "right", paths, rank FROM (SELECT *, row_number() OVER (PARTITION BY "left" ORDER BY paths DESC, "right") AS rank FROM p3) WHERE rank <= 5')
 def ranked_predictions(spark, sf):
     train, _, pairs = pairs_of(spark, sf)
@@ -696,6 +733,27 @@ def edge_embeddings(spark, sf):
     return embed.train_edge_embeddings(graph.offset_right_ids(edges_of(spark, sf)), seed=1)
 
 
+def _weights_sql() -> str:
+    """The fixed weights as lists of columns, and both layers by unnested products."""
+    w = embed.random_weights(64, 64, 32, 1)
+    lists = {k: "[" + ", ".join("[" + ", ".join(repr(float(x)) for x in col) + "]" for col in w[k].T) + "]" for k in ("m1", "s1", "m2", "s2")}
+    means = lambda src: f"SELECT node, list(x ORDER BY pos) AS x FROM (SELECT li.node, pos, avg(x) AS x FROM li JOIN (SELECT node AS t, unnest(x) AS x, generate_subscripts(x, 1) AS pos FROM {src}) USING (t) GROUP BY 1, 2) GROUP BY 1"
+    layer = lambda m, s, mean, own: f"SELECT o.node, list_transform(range(1, len(w.{m}) + 1), lambda j: list_dot_product(a.x, w.{m}[j]) + list_dot_product(o.x, w.{s}[j])) AS x FROM {own} o JOIN {mean} a USING (node), w"
+    return (
+        VEC
+        + ', li AS (SELECT "left" AS node, "right" AS t FROM pr UNION ALL SELECT "right", "left" FROM pr), w AS (SELECT '
+        + ", ".join(f"{v}::DOUBLE[][] AS {k}" for k, v in lists.items())
+        + f"), x0 AS (SELECT node, embedding::DOUBLE[] AS x FROM v), a0 AS ({means('x0')}), p1 AS ({layer('m1', 's1', 'a0', 'x0')}), x1 AS (SELECT node, list_transform(x, lambda y: greatest(y, 0)) AS x FROM p1), a1 AS ({means('x1')}), p2 AS ({layer('m2', 's2', 'a1', 'x1')})"
+        + " SELECT node, (generate_subscripts(x, 1) - 1)::INT AS pos, round(unnest(x), 6) + 0.0 AS x FROM p2"
+    )
+
+
+@query(_weights_sql())
+def sage_forward_values(spark, sf):
+    """The vectors of ``sage_forward``, a row a component."""
+    return rounded(sage_forward(spark, sf).select("node", F.posexplode("vec").alias("pos", "x")), "x")
+
+
 @query()
 def sage_forward(spark, sf):
     v = _vectors(spark, sf).withColumn("vec", F.col("vec").cast("array<double>"))
@@ -747,7 +805,14 @@ def evaluation_report(spark, sf):
     return evaluate.evaluate_at_ratios(_scored(spark, sf))
 
 
-@query()
+ATT_ALL = WALKS + EVAL + ', att AS (SELECT ev."left", ev."right", label, coalesce(b3.n * 0.005::DOUBLE * 0.005 * 0.005, 0)::FLOAT AS score FROM ev LEFT JOIN b3 ON b3.v = ev."right" AND b3.b = ev."left")'
+
+
+@query(
+    base(False, SPLIT + negatives_sql("(SELECT least(100 * (SELECT count(*) FROM te), (SELECT count(DISTINCT \"left\") * count(DISTINCT \"right\") - count(*) FROM e)))") + PAIRS)
+    + ATT_ALL + _ratio_sql("att", (1, 10, 100), 0) + METRIC.format(src="s")
+    + " SELECT ratio, round(auroc, 4) AS auroc, round(aupr, 4) AS aupr, n_samples, round(n_samples / (SELECT sum(label) FROM att) - 1, 4) AS reached FROM me"
+)
 def evaluation_report_whole(spark, sf):
     """The report on 100 non-edges for each test edge, or all that the graph has; ``reached`` is the ratio that a row really has."""
     edges = stored(edges_of(spark, sf))
@@ -800,6 +865,16 @@ def _gbt(spark, sf):
     return predict_pairs(model, rows).select("half", "left", "right", "label", "score")
 
 
+@query(_report_sql(False).replace("SELECT 'katz' AS model", "SELECT 'g' AS dataset, 1 AS seed, 'all' AS sampling, 'katz' AS model").replace("SELECT 'graph_distance' AS model", "SELECT 'g', 1, 'all', 'graph_distance'").replace("SELECT 'l3' AS model", "SELECT 'g', 1, 'all', 'l3'"))
+def grid_report(spark, sf):
+    """A grid of one data set, one way of sampling that keeps all edges, and one seed; rows as appended to a file and read back."""
+    path = new_path(spark)
+    whole = edges_of(spark, sf)
+    report = lambda split: jobs.run_baselines(split, jobs.PATH_SCORERS, ratios=(1,))
+    jobs.run_grid(spark, {"g": whole}, path, seeds=(1,), samplings=("all",), job=report, prepared=lambda edges, seed, sampling: jobs.prepare(edges, seed))
+    return spark.read.schema("dataset string, seed int, sampling string, model string, ratio int, auroc double, aupr double, n_samples long").option("header", True).csv(path)
+
+
 @query()
 def gbt_scores(spark, sf):
     """Probabilities of the half that nothing was learnt from; ``gbt_report`` has SQL."""
