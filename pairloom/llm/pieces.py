@@ -14,6 +14,7 @@ one; an empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import small_batches, stored
 
-MARK = "▁"
+MARK, ALONE = "▁", "\n"
 #: Parts up to so many characters are remembered, so many of them.
 PART_CHARS, PARTS = 40, 300_000
 #: Whole texts that Python is handed, and that the library encodes, at a time.
@@ -73,6 +74,9 @@ class MergeEncoder:
         apart = all(MARK not in p.lstrip(MARK) for p in longer)
         others = "".join(re.escape(c) for c in inner if c != MARK)
         self.parts = re.compile(f"{MARK}*[{others}]+|{MARK}+|." if apart and others else ".+", re.S).findall
+        if ALONE in inner:
+            raise ValueError("a vocabulary whose longer pieces have no line ends is needed")
+        self.before = self.library.encode(ALONE)
         self.known: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
 
@@ -173,9 +177,12 @@ class MergeEncoder:
         known.update((p, older[p]) for p in again)
         fresh -= again
         short = [p for p in fresh if 1 < len(p) <= PART_CHARS]
-        known.update((p, self.merged(p)) for p in fresh if len(p) == 1)
+        single = [p for p in fresh if len(p) == 1]
+        if single:
+            known.update(zip(single, self.agreed(single, [self.merged(p) for p in single]), strict=True))
         if short:
-            known.update(zip(short, self.merged_together(short), strict=True))
+            known.update(zip(short, self.agreed(short, self.merged_together(short)), strict=True))
+            gc.freeze()  # hundreds of thousands of small lists that hold numbers only: not to be searched for cycles again and again
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text."""
@@ -185,19 +192,25 @@ class MergeEncoder:
         for text in parts:
             ids: list[int] = []
             for p in text:
-                ids += known[p] if p in known else self.merged(p)  # long parts are not kept
+                ids += known[p] if p in known else self.agreed([p], [self.merged(p)])[0]  # long parts are not kept
             out.append(ids)
         return out
 
-    def checked(self, texts: list[str]) -> list[list[int]]:
-        """``encode`` of each text, equal to what the library gives."""
-        ours = self.encode(texts)
-        for ids, theirs in zip(ours, self.library.encode(texts, num_threads=1), strict=True):
-            if ids != theirs:
-                at = next((i for i, (a, b) in enumerate(zip(ids, theirs, strict=False)) if a != b), min(len(ids), len(theirs)))
-                raise ValueError(f"the library encodes a text otherwise, from id {at} on: {theirs[at : at + 5]}, not {ids[at : at + 5]}")
+    def agreed(self, parts: list[str], ours: list[list[int]]) -> list[list[int]]:
+        """The ids of parts, equal to what the library gives: it sets a mark before a text, so a part without one follows a character that stands alone."""
+        theirs = self.library.encode([(p[1:] if p[0] == MARK else ALONE + p).replace(MARK, " ") for p in parts], num_threads=1)
+        for p, ids, found in zip(parts, ours, theirs, strict=True):
+            if ids != (found if p[0] == MARK else found[len(self.before) :]) and p != MARK:
+                raise ValueError(f"the library encodes {p[:80]!r} otherwise: {found[:20]}, not {ids[:20]}")
         return ours
 
+    def decoded(self, text: str, ids: list[int]) -> str:
+        """The library's text of the ids, which is the one encoded, but for the mark."""
+        out = self.library.decode(ids)
+        if out.replace(MARK, " ") != text.replace(MARK, " "):
+            raise ValueError(f"the ids of a text that begins {text[:80]!r} decode to another")
+        return out
+
 
 @lru_cache(maxsize=2)
 def encoder(model_file: str) -> MergeEncoder:
@@ -230,8 +243,8 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, schema: str, row: Calla
         for b in batches:
             rows = []
             for texts in in_blocks([t or "" for t in b.column(1).to_pylist()]):
-                for ids in e.checked(texts):
-                    rows.append(row(ids, e.library.decode(ids), e.decimals))
+                for t, ids in zip(texts, e.encode(texts), strict=True):
+                    rows.append(row(ids, e.decoded(t, ids), e.decimals))
             cols = list(zip(*rows, strict=True)) or [()] * (len(names) - 1)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
 

@@ -32,6 +32,7 @@ def ours():
 def test_any_text_is_encoded_as_by_the_library(text):
     e = pieces.encoder(tokenizer_path(pieces.MODEL))
     assert e.encode([text]) == [e.library.encode(text)]
+    assert e.decoded(text, e.library.encode(text)) == e.library.decode(e.library.encode(text))
 
 
 def test_agenda_on_whole_texts_agrees_with_parts(ours, library):
@@ -78,10 +79,17 @@ def test_memory_of_parts_is_bounded(monkeypatch, library):
         assert len(e.known) <= 40 and len(e.older) <= 40
 
 
-def test_a_difference_to_the_library_ends_the_job(ours, monkeypatch):
-    monkeypatch.setattr(ours, "encode", lambda texts: [[1, 2]])
+def test_a_difference_to_the_library_ends_the_job(monkeypatch):
+    e = MergeEncoder(tokenizer_path(pieces.MODEL))
+    with pytest.raises(ValueError, match="otherwise"):
+        e.agreed(["▁hello"], [[1, 2]])
+    with pytest.raises(ValueError, match="otherwise"):
+        e.agreed(["hello"], [[1, 2]])
+    with pytest.raises(ValueError, match="decode"):
+        e.decoded("hello", e.library.encode("hallo"))
+    monkeypatch.setattr(e, "merged_together", lambda parts: [[5]] * len(parts))
     with pytest.raises(ValueError, match="otherwise"):
-        ours.checked(["hello"])
+        e.encode(["some text"])
 
 
 def test_texts_are_handed_over_in_blocks(monkeypatch):
