@@ -62,8 +62,8 @@ def sample_forest_fire(edges: DataFrame, max_edges: int, p: float, seed: int, ma
     if edges.count() <= max_edges:
         return edges
     out = edges.select(F.lit("left").alias("side"), F.col("left").alias("node"), F.lit("right").alias("to_side"), F.col("right").alias("to"))
-    links = stored(out.unionByName(out.select(F.col("to_side").alias("side"), F.col("to").alias("node"), F.col("side").alias("to_side"), F.col("node").alias("to"))))
-    order = stored(links.select("side", "node").distinct().withColumn("start", hash_key(seed, "side", "node")))
+    both = stored(out.unionByName(out.select(F.col("to_side").alias("side"), F.col("to").alias("node"), F.col("side").alias("to_side"), F.col("node").alias("to"))))
+    order = stored(both.select("side", "node").distinct().withColumn("start", hash_key(seed, "side", "node")))
     total, spark = order.count(), edges.sparkSession
     burned = spark.createDataFrame([], "side string, node long")
     front, count = None, 0
@@ -74,7 +74,7 @@ def sample_forest_fire(edges: DataFrame, max_edges: int, p: float, seed: int, ma
             front = stored(order.join(burned, ["side", "node"], "left_anti").orderBy("start", "side", "node").limit(1).select("side", "node"))
         else:
             want = F.floor(F.log(uniform(seed, F.lit(f"g{level}"), "side", "node")) / F.lit(math.log(p))) + 1
-            fresh = links.join(front, ["side", "node"]).join(burned.select(F.col("side").alias("to_side"), F.col("node").alias("to")), ["to_side", "to"], "left_anti")
+            fresh = both.join(front, ["side", "node"]).join(burned.select(F.col("side").alias("to_side"), F.col("node").alias("to")), ["to_side", "to"], "left_anti")
             place = F.row_number().over(W.partitionBy("side", "node").orderBy(hash_key(seed, F.lit(f"n{level}"), "to_side", "to"), "to"))
             lit = fresh.withColumns({"place": place, "want": want}).where("place <= want").select(F.col("to_side").alias("side"), F.col("to").alias("node")).distinct()
             front = stored(lowest(lit, max_edges - count, hash_key(seed, F.lit("b"), "side", "node"), "side", "node"))
