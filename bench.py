@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINES = ["graph_stats", "holdout_test", "negatives_uniform", "item_cooccurrence", "cond_moments", "pair_features", "katz_3", "l3_scores", "graph_distance_5", "baseline_report"]
+HEADLINES = ["graph_stats", "holdout_test", "negatives_uniform", "item_cooccurrence", "cond_moments", "pair_features", "katz_3", "l3_scores", "graph_distance_5_whole", "baseline_report_whole", "cond_observations_k3_whole"]
 
 
 def main() -> None:
