@@ -20,28 +20,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.functions.storage import stored
+from pairloom.functions.skew import dealt_join
+from pairloom.functions.storage import free, stored
 from pairloom.operators.graph import KEYS, adjacency, node_degrees
-from pairloom.operators.lattice import LEAST, observation_sums
+from pairloom.operators.lattice import LEAST, bitmaps, observation_sums, popcounts
 
 #: The lower edges of the mean bins.
 MEAN_EDGES = (0.01, 0.05, 0.10, 0.20, 0.30, 0.40, 0.55, 0.70, 0.85)
 BINS = 10
 
 
-def cooccurrence(edges: DataFrame, max_left_degree: int | None = None) -> DataFrame:
+def cooccurrence(edges: DataFrame, hub_degree: int = 2048, block: int = 2048, hubs: int = 4096) -> DataFrame:
     """(s, v, co): how many left nodes are adjacent to both, s = v included.
 
-    Only s <= v is joined and counted, then mirrored.  ``max_left_degree``
-    leaves out hubs, whose degree squared is the cost; off by default.
+    Only s <= v is counted, then mirrored.  Left nodes of up to ``hub_degree`` items are joined with themselves.  Of the
+    others, whose degree squared would be rows, a task takes the bitmaps of two blocks of about ``block`` items over at most about ``hubs``
+    nodes and sends a row for each pair of items that meet, not one for each node as well.
     """
     e = edges.select(*KEYS).distinct()
-    if max_left_degree:
-        e = e.join(node_degrees(e, "left").where(F.col("degree") <= max_left_degree).select(F.col("node").alias("left")), "left", "left_semi")
-    half = e.select("left", F.col("right").alias("s")).join(e.select("left", F.col("right").alias("v")), "left").where("s <= v").groupBy("s", "v").agg(F.count(F.lit(1)).alias("co"))
+    large = stored(node_degrees(e, "left").where(F.col("degree") > hub_degree).select(F.col("node").alias("left")))
+    n = large.count()
+    if not n:
+        free(large)
+        half = _half(e)
+    else:
+        parts = _half(e.join(large, "left", "left_anti")).unionByName(_block_counts(e.join(large, "left", "left_semi"), block, -(-n // hubs)))
+        half = parts.groupBy("s", "v").agg(F.sum("co").alias("co"))
     return half.unionByName(half.where("s < v").select(F.col("v").alias("s"), F.col("s").alias("v"), "co"))
 
 
+def _half(e: DataFrame) -> DataFrame:
+    """(s, v, co) with s <= v by the self-join."""
+    return e.select("left", F.col("right").alias("s")).join(e.select("left", F.col("right").alias("v")), "left").where("s <= v").groupBy("s", "v").agg(F.count(F.lit(1)).alias("co"))
+
+
+def _block_counts(e: DataFrame, block: int, chunks: int) -> DataFrame:
+    """(s, v, co) with s <= v, a row a chunk of left nodes, from bitmaps of item blocks.
+
+    Blocks go by hash, so pairs of blocks are not ordered as their items are: a pair is counted in the one cell of its two blocks.
+    """
+    blocks = max(1, -(-e.select("right").distinct().count() // block))
+    placed = e.select(*KEYS, F.pmod(F.xxhash64("left"), F.lit(chunks)).alias("chunk"), F.pmod(F.xxhash64("right"), F.lit(blocks)).alias("own"))
+    # the cells (i, j), i <= j, of which ``own`` is one
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = pd.concat(list(frames))
+        i, j = int(f.i.iloc[0]), int(f.j.iloc[0])
+        nodes = f.left.unique()
+        at = pd.Series(np.arange(len(nodes)), index=nodes)
+        sides = []
+        for part in (i, j):
+            own = f[f.own == part].sort_values("left")
+            names = np.unique(own.right.to_numpy(dtype=np.int64))
+            members = [np.zeros(0, dtype=np.int64)] * len(nodes)
+            for node, g in own.groupby("left").right:
+                members[at[node]] = g.to_numpy(dtype=np.int64)
+            sides.append((names, bitmaps(members, names)))
+        (a, x), (b, y) = sides
+        for lo in range(0, len(a), 256):
+            co = popcounts(x[lo : lo + 256], y)
+            p, q = np.nonzero(co)
+            s, v, c = a[lo + p], b[q], co[p, q]
+            if i == j:
+                once = s <= v
+                s, v, c = s[once], v[once], c[once]
+            yield pd.DataFrame({"s": np.minimum(s, v), "v": np.maximum(s, v), "co": c.astype(np.int64)})
+
+    tasks = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(tasks, "chunk", "i", "j").groupBy("chunk", "i", "j").applyInPandas(count, "s long, v long, co long")
+
+
 def conditional_probability(edges: DataFrame) -> DataFrame:
     """(s, v, p): P(v given s) = co(s, v) / |L(s)|."""
     size = node_degrees(edges.select(*KEYS).distinct(), "right").toDF("s", "n")
@@ -88,10 +137,10 @@ def observations(edges: DataFrame, pairs: DataFrame, k: int = 1, exclude_self: b
 
 
 def _k1(edges: DataFrame, e: DataFrame, wanted: DataFrame, exclude_self: bool) -> DataFrame:
-    steps = wanted.join(e.toDF("left", "s"), "left")
+    steps = dealt_join(wanted, e.toDF("left", "s"), "left").select("left", "right", "s")
     # the co-occurrences that some pair needs, counted from the pairs' side of the edges only
     needed = steps.select("s", F.col("right").alias("v")).distinct()
-    co = needed.join(e.toDF("w", "s"), "s").join(e.toDF("w", "v"), ["w", "v"]).groupBy("s", "v").agg(F.count(F.lit(1)).alias("_c"))
+    co = dealt_join(needed, e.toDF("w", "s"), "s").join(e.toDF("w", "v"), ["w", "v"]).groupBy("s", "v").agg(F.count(F.lit(1)).alias("_c"))
     support = node_degrees(e, "right").toDF("s", "_n")
     found = steps.join(co.withColumnRenamed("v", "right"), ["s", "right"]).join(support, "s")
     if exclude_self:
@@ -102,7 +151,7 @@ def _k1(edges: DataFrame, e: DataFrame, wanted: DataFrame, exclude_self: bool) -
 
 def _k2(edges: DataFrame, e: DataFrame, wanted: DataFrame, exclude_self: bool) -> DataFrame:
     near = adjacency(e, "left").toDF("w", "w_near")
-    triples = wanted.join(e.toDF("w", "right"), "right")
+    triples = dealt_join(wanted, e.toDF("w", "right"), "right").select("left", "right", "w")
     if exclude_self:
         triples = triples.where("w <> left")
     both = triples.join(near, "w").join(near.toDF("left", "u_near"), "left").select("left", "right", F.array_intersect("u_near", "w_near").alias("common")).where(F.size("common") >= 2)

@@ -12,19 +12,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairloom.functions.skew import MOST, dealt_join
 from pairloom.functions.storage import free, stored
 from pairloom.operators.graph import KEYS, except_pairs
 
 
-def _walks3(e: DataFrame, pairs: DataFrame | None, weighted: DataFrame | None = None) -> DataFrame:
-    """(left, right, value): the sum over walks left - a - b - right of the weight of the step (a, b), 1 by default."""
+def _walks3(e: DataFrame, pairs: DataFrame | None, weighted: DataFrame | None = None, most: int = MOST) -> DataFrame:
+    """(left, right, value): the sum over walks left - a - b - right of the weight of the step (a, b), 1 by default.
+
+    Nodes of more than ``most`` rows in a join are dealt over tasks; the last two joins have one row of a key on one side.
+    """
     ab = (e.withColumn("_w", F.lit(1)) if weighted is None else weighted).select(F.col("right").alias("a"), F.col("left").alias("b"), "_w")
     if pairs is None:
-        two = e.toDF("left", "a").join(ab, "a").groupBy("left", "b").agg(F.sum("_w").alias("_v"))
-        return two.join(e.toDF("b", "right"), "b").groupBy(*KEYS).agg(F.sum("_v").alias("value"))
-    ends = pairs.select(*KEYS).distinct().join(e.toDF("b", "right"), "right")
+        two = stored(dealt_join(e.toDF("left", "a"), ab, "a", most).groupBy("left", "b").agg(F.sum("_w").alias("_v")))
+        return dealt_join(two, e.toDF("b", "right"), "b", most).groupBy(*KEYS).agg(F.sum("_v").alias("value"))
+    ends = stored(dealt_join(pairs.select(*KEYS).distinct(), e.toDF("b", "right"), "right", most).select(*KEYS, "b"))
     needed = ends.select("left", "b").distinct()
-    two = needed.join(e.toDF("left", "a"), "left").join(ab, ["a", "b"]).groupBy("left", "b").agg(F.sum("_w").alias("_v"))
+    two = dealt_join(needed, e.toDF("left", "a"), "left", most).join(ab, ["a", "b"]).groupBy("left", "b").agg(F.sum("_w").alias("_v"))
     return ends.join(two, ["left", "b"]).groupBy(*KEYS).agg(F.sum("_v").alias("value"))
 
 

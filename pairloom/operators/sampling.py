@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import hash_key, uniform
-from pairloom.functions.ranking import lowest, with_position
+from pairloom.functions.ranking import _names, lowest, with_position
+from pairloom.functions.skew import MOST, with_rank
 from pairloom.functions.storage import stored
 from pairloom.operators.graph import KEYS, except_pairs, node_degrees, node_list
 
@@ -98,12 +99,12 @@ def sample_for_budget(edges: DataFrame, method: str, seed: int, threshold: int =
     return sample_random_nodes(edges, budget if name == "random" else threshold, seed)
 
 
-def holdout_per_left(edges: DataFrame, frac: float = 0.2, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(train, test): of every left node round(frac * n) edges go to test."""
-    by_left = W.partitionBy("left")
-    place = F.row_number().over(by_left.orderBy(hash_key(seed, *KEYS), "right"))
-    marked = edges.withColumn("_test", place <= F.floor(F.count(F.lit(1)).over(by_left) * F.lit(frac) + 0.5))
-    return marked.where(~F.col("_test")).drop("_test"), marked.where("_test").drop("_test")
+def holdout_per_left(edges: DataFrame, frac: float = 0.2, seed: int = 0, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """(train, test): of every left node round(frac * n) edges go to test; nodes of more than ``most`` edges are ranked by many tasks."""
+    place, size, test = _names(edges, "_place", "_size", "_test")
+    placed = with_rank(edges, "left", hash_key(seed, *KEYS), "right", rank=place, size=size, most=most)
+    marked = placed.withColumn(test, F.col(place) <= F.floor(F.col(size) * F.lit(frac) + 0.5)).drop(place, size)
+    return marked.where(~F.col(test)).drop(test), marked.where(F.col(test)).drop(test)
 
 
 def kfold_blocks(log: DataFrame, k: int, *order: str) -> DataFrame:
@@ -114,10 +115,13 @@ def kfold_blocks(log: DataFrame, k: int, *order: str) -> DataFrame:
     return placed.withColumn("fold", fold.cast("int")).drop("_pos")
 
 
-def allbut(log: DataFrame, user: str, order: list[str], start: int, stop: int, max_test: int = 0) -> DataFrame:
-    """``log`` with ``is_test``: rows whose ordinal within their user lies in start..stop, at most ``max_test`` of them in ``order`` if positive."""
-    ordinal = F.row_number().over(W.partitionBy(user).orderBy(*order))
-    marked = log.withColumn("is_test", ordinal.between(start, stop))
+def allbut(log: DataFrame, user: str, order: list[str], start: int, stop: int, max_test: int = 0, most: int = MOST) -> DataFrame:
+    """``log`` with ``is_test``: rows whose ordinal within their user lies in start..stop, at most ``max_test`` of them in ``order`` if positive.
+
+    Users of more than ``most`` rows are ranked by many tasks.
+    """
+    (ordinal,) = _names(log, "_ordinal")
+    marked = with_rank(log, user, *order, rank=ordinal, most=most).withColumn("is_test", F.col(ordinal).between(start, stop)).drop(ordinal)
     if max_test <= 0:
         return marked
     tests = with_position(marked.where("is_test"), *order, name="_pos").withColumn("is_test", F.col("_pos") < max_test).drop("_pos")
