@@ -33,18 +33,19 @@ BINS = 10
 def cooccurrence(edges: DataFrame, hub_degree: int = 2048, block: int = 2048, hubs: int = 4096) -> DataFrame:
     """(s, v, co): how many left nodes are adjacent to both, s = v included.
 
-    Only s <= v is counted, then mirrored.  Left nodes of up to ``hub_degree`` items are joined with themselves.  Of the
+    Only s <= v is counted, then mirrored.  Left nodes of up to ``hub_degree`` rows are joined with themselves.  Of the
     others, whose degree squared would be rows, a task takes the bitmaps of two blocks of about ``block`` items over at most about ``hubs``
-    nodes and sends a row for each pair of items that meet, not one for each node as well.
+    nodes and sends a row for each pair of items that meet, not one for each node as well.  Rules: null ends meet nothing, repeated
+    edges count once.
     """
     e = edges.select(*KEYS).distinct()
-    large = stored(node_degrees(e, "left").where(F.col("degree") > hub_degree).select(F.col("node").alias("left")))
+    large = stored(node_degrees(edges, "left").where(F.col("degree") > hub_degree).select(F.col("node").alias("left")))
     n = large.count()
     if not n:
         free(large)
         half = _half(e)
     else:
-        parts = _half(e.join(large, "left", "left_anti")).unionByName(_block_counts(e.join(large, "left", "left_semi"), block, -(-n // hubs)))
+        parts = _half(e.join(large, "left", "left_anti")).unionByName(_block_counts(e.where("right IS NOT NULL").join(large, "left", "left_semi"), block, -(-n // hubs)))
         half = parts.groupBy("s", "v").agg(F.sum("co").alias("co"))
     return half.unionByName(half.where("s < v").select(F.col("v").alias("s"), F.col("s").alias("v"), "co"))
 

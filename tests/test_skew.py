@@ -75,7 +75,8 @@ def test_cooccurrence_of_hubs_by_blocks(spark, star):
     for r in star.collect():
         of.setdefault(r.left, set()).add(r.right)
     want = Counter((s, v) for items in of.values() for s in items for v in items)
+    odd = star.unionByName(star.limit(5)).unionByName(spark.createDataFrame([(0, None), (None, 1000), (None, 1001), (None, None)], star.schema))
     for settings in ({}, {"hub_degree": 0, "block": 40, "hubs": 30}, {"hub_degree": 4, "block": 1000}, {"hub_degree": 100, "block": 7}):
-        got = cooc.cooccurrence(star.unionByName(star.limit(5)), **settings).collect()
+        got = cooc.cooccurrence(odd, **settings).collect()
         assert len(got) == len(want) and {(r.s, r.v): r.co for r in got} == want
     assert cooc.cooccurrence(star.limit(0)).isEmpty()
