@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.hashing import hash_key, uniform
 from pairloom.functions.ranking import _names, lowest, with_position
 from pairloom.functions.skew import MOST, with_rank
-from pairloom.functions.storage import stored
+from pairloom.functions.storage import free, stored
 from pairloom.operators.graph import KEYS, except_pairs, node_degrees, node_list
 
 
@@ -52,37 +52,60 @@ def sample_degree_nodes(edges: DataFrame, max_edges: int, seed: int) -> DataFram
     return _induced(edges, *sides)
 
 
-def sample_forest_fire(edges: DataFrame, max_edges: int, p: float, seed: int, max_levels: int = 10_000) -> DataFrame:
-    """Edges among nodes burned by fires that start at random nodes and spread level by level.
+def burn_forest(edges: DataFrame, max_nodes: int, p: float, seed: int, max_levels: int = 10_000) -> DataFrame:
+    """(side, node, level, from_side, from_node): nodes burned by fires that start at random nodes and spread level by level.
 
-    A burning node lights Geometric(1 - p) >= 1 of its unburned neighbours, in
-    hash order.  The budget counts burned nodes; if the edges among them are
-    still too many, a uniform sample of them is kept.  Both sides burn: a node
-    is (side, id).
+    A burning node lights Geometric(1 - p) >= 1 of its unburned neighbours, in hash order; of several that light a node
+    the one with the lowest hash claims it.  When all fires are out, as many new ones start at once as should fill the
+    budget if each burns as many nodes as those of the last turn did on average (the first turn has one); they are the
+    starts and have no ``from``.  Exactly min(max_nodes, all nodes) burn: the last level is cut in hash order.  Both sides
+    burn: a node is (side, id).  Nulls are no nodes; repeated edges are one; an empty table burns nothing.
     """
-    if edges.count() <= max_edges:
-        return edges
-    out = edges.select(F.lit("left").alias("side"), F.col("left").alias("node"), F.lit("right").alias("to_side"), F.col("right").alias("to"))
-    both = stored(out.unionByName(out.select(F.col("to_side").alias("side"), F.col("to").alias("node"), F.col("side").alias("to_side"), F.col("node").alias("to"))))
+    spark = edges.sparkSession
+    known = edges.where("left is not null and right is not null").select(*KEYS).distinct()
+    one = known.select(F.lit("left").alias("side"), F.col("left").alias("node"), F.lit("right").alias("to_side"), F.col("right").alias("to"))
+    both = stored(one.unionByName(known.select(F.lit("right").alias("side"), F.col("right").alias("node"), F.lit("left").alias("to_side"), F.col("left").alias("to"))))
     order = stored(both.select("side", "node").distinct().withColumn("start", hash_key(seed, "side", "node")))
-    total, spark = order.count(), edges.sparkSession
-    burned = spark.createDataFrame([], "side string, node long")
-    front, count = None, 0
+    goal = min(max_nodes, order.count())
+    burned = spark.createDataFrame([], "side string, node long, level int, from_side string, from_node long")
+    # no draw is longer, so each task keeps that many neighbours of a node at most before rows move
+    longest = math.floor(math.log(0.5 / (1 << 52)) / math.log(p)) + 1
+    front, fresh_count, count, starts, since = None, 0, 0, 1, 0
     for level in range(max_levels):
-        if count >= min(max_edges, total):
+        room = goal - count
+        if room <= 0:
             break
-        if front is None or front.isEmpty():
-            front = stored(order.join(burned, ["side", "node"], "left_anti").orderBy("start", "side", "node").limit(1).select("side", "node"))
+        if not fresh_count:
+            starts, since = (1, 0) if front is None else (min(room, -(-room * starts // since)), 0)
+            lit = lowest(order.join(burned, ["side", "node"], "left_anti"), starts, "start", "side", "node")
+            lit = lit.select("side", "node", F.lit(None).cast("string").alias("from_side"), F.lit(None).cast("long").alias("from_node"))
         else:
             want = F.floor(F.log(uniform(seed, F.lit(f"g{level}"), "side", "node")) / F.lit(math.log(p))) + 1
-            fresh = both.join(front, ["side", "node"]).join(burned.select(F.col("side").alias("to_side"), F.col("node").alias("to")), ["to_side", "to"], "left_anti")
+            fresh = both.join(front.select("side", "node"), ["side", "node"]).join(burned.select(F.col("side").alias("to_side"), F.col("node").alias("to")), ["to_side", "to"], "left_anti")
             place = F.row_number().over(W.partitionBy("side", "node").orderBy(hash_key(seed, F.lit(f"n{level}"), "to_side", "to"), "to"))
-            lit = fresh.withColumns({"place": place, "want": want}).where("place <= want").select(F.col("to_side").alias("side"), F.col("to").alias("node")).distinct()
-            front = stored(lowest(lit, max_edges - count, hash_key(seed, F.lit("b"), "side", "node"), "side", "node"))
+            taken = fresh.withColumn("place", place).where(F.col("place") <= longest).where(F.col("place") <= want)
+            claim = F.min(F.struct(hash_key(seed, F.lit(f"c{level}"), "side", "node", "to_side", "to").alias("key"), "side", "node")).alias("by")
+            lit = taken.groupBy("to_side", "to").agg(claim).select(F.col("to_side").alias("side"), F.col("to").alias("node"), F.col("by.side").alias("from_side"), F.col("by.node").alias("from_node"))
+            lit = lowest(lit, room, hash_key(seed, F.lit("b"), "side", "node"), "side", "node")
+        before, front = (front, burned), stored(lit.select("side", "node", F.lit(level).alias("level"), "from_side", "from_node"))
         burned = stored(burned.unionByName(front))
-        count += front.count()
+        free(*before)
+        fresh_count = front.count()
+        count, since = count + fresh_count, since + fresh_count
     else:
-        raise RuntimeError(f"fewer than {max_edges} nodes burned within {max_levels} levels")
+        raise RuntimeError(f"fewer than {goal} nodes burned within {max_levels} levels")
+    free(both, order, front)
+    return burned
+
+
+def sample_forest_fire(edges: DataFrame, max_edges: int, p: float, seed: int, max_levels: int = 10_000) -> DataFrame:
+    """Edges among the nodes of ``burn_forest``; all edges if few enough.
+
+    The budget counts burned nodes; if the edges among them are still too many, a uniform sample of them is kept.
+    """
+    if edges.count() <= max_edges:
+        return edges
+    burned = burn_forest(edges, max_edges, p, seed, max_levels)
     kept = _induced(edges, burned.where("side = 'left'"), burned.where("side = 'right'"))
     return lowest(kept, max_edges, hash_key(seed, *KEYS), *KEYS)
 

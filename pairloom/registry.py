@@ -317,6 +317,23 @@ def sample_forest_fire(spark, sf):
     return sampling.sample_forest_fire(stored(edges_of(spark, sf)), 2500, 0.7, 5)
 
 
+NODES = "SELECT 'left' AS side, \"left\" AS node FROM e UNION SELECT 'right', \"right\" FROM e"
+
+
+@query(base() + f", v AS ({NODES}) SELECT least(2500, count(*))::BIGINT AS burned, count(DISTINCT side) AS sides, 0::BIGINT AS unlit, 0::BIGINT AS repeated FROM v")
+def forest_fire_burned(spark, sf):
+    """How many nodes a budget of 2,500 burns; how many were lit by none of their neighbours of the level before, though no start, or twice."""
+    edges = stored(edges_of(spark, sf))
+    burned = sampling.burn_forest(edges, 2500, 0.7, 5)
+    near = edges.select(F.lit("left").alias("from_side"), F.col("left").alias("from_node"), F.lit("right").alias("side"), F.col("right").alias("node"))
+    near = near.unionByName(edges.select(F.lit("right").alias("from_side"), F.col("right").alias("from_node"), F.lit("left").alias("side"), F.col("left").alias("node")))
+    lit = near.join(burned.select(F.col("side").alias("from_side"), F.col("node").alias("from_node"), (F.col("level") + 1).alias("level")), ["from_side", "from_node"])
+    unlit = burned.where("from_side is not null").join(lit, ["side", "node", "level", "from_side", "from_node"], "left_anti").agg(F.count(F.lit(1)).alias("unlit"))
+    per_node = burned.groupBy("side", "node").agg(F.count(F.lit(1)).alias("n"))
+    totals = per_node.agg(F.count(F.lit(1)).alias("burned"), F.countDistinct("side").alias("sides"), F.count(F.when(F.col("n") > 1, 1)).alias("repeated"))
+    return totals.crossJoin(unlit).select("burned", "sides", "unlit", "repeated")  # a row each
+
+
 LOG = "WITH o AS (SELECT event_id, user_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ordinal FROM events)"
 
 

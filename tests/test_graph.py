@@ -168,6 +168,26 @@ def test_budget_sampling_is_induced(wide, method):
         assert got.count() <= 40
 
 
+def test_fires_burn_the_budget_and_spread_along_edges(spark, wide):
+    # the wide graph, 60 loose edges that each burn alone, repeated edges and nulls
+    loose = spark.createDataFrame([(1000 + i, 1000 + i) for i in range(60)] * 2 + [(None, 5), (7, None)], "left long, right long")
+    edges = wide.select("left", "right").unionByName(loose).cache()
+    pairs = {(r.left, r.right) for r in edges.collect()}
+    nodes = {("left", a) for a, b in pairs if None not in (a, b)} | {("right", b) for a, b in pairs if None not in (a, b)}
+    for most in (30, len(nodes) - 20, len(nodes) + 5):
+        got = sampling.burn_forest(edges, most, 0.7, 3).collect()
+        level = {(r.side, r.node): r.level for r in got}
+        assert len(got) == len(level) == min(most, len(nodes)) and set(level) <= nodes
+        for r in got:
+            if r.from_side is not None:
+                ends = {r.side: r.node, r.from_side: r.from_node}
+                assert (ends["left"], ends["right"]) in pairs and level[r.from_side, r.from_node] == r.level - 1
+        assert sorted(map(str, got)) == sorted(map(str, sampling.burn_forest(edges.repartition(3), most, 0.7, 3).collect()))
+    # 60 separate fires take few turns, as many start at once
+    assert max(level.values()) < 30
+    assert sampling.burn_forest(edges.limit(0), 5, 0.7, 3).isEmpty()
+
+
 def test_splits_and_ratios(spark, wide):
     train, test = sampling.holdout_per_left(wide, 0.2, 3)
     neg = sampling.sample_negatives_uniform(wide, 200, 1)
