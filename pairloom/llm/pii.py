@@ -8,11 +8,12 @@ candidate from its format and context; the threshold of each kind is the least a
 which held-out examples keep the wanted precision, and what passes it and does not
 overlap a span already taken is added, best score first.
 
-No text carries labels, so examples come from the base spans of a bounded
-sample of documents: a candidate that lies on a base span of its kind is positive, and so
+No text carries labels, so examples come from the base spans of all
+documents: a candidate that lies on a base span of its kind is positive, and so
 are variants of base spans rewritten into the looser formats in their own
 context (``a@b.c`` as ``a [at] b [dot] c``, a telephone number without its country code);
 candidates that a rule's check refused, and other runs of digits, are negative.
+The trees grow in Spark jobs that add up gradients over all examples, and every held-out example counts in the thresholds.
 
 Rules: a null text is empty and has no span; positions count code points; candidates of equal score are taken in order of their
 place; repeated rows are treated alike and teach once; an empty table gives no rows, and teaches that no span is to be added.
@@ -31,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.boosting import BoostedTrees
-from pairloom.llm.common import stored
+from pairloom.llm.common import free, small_batches, stored
+from pairloom.operators.boosting import BoostedScorer, fit_boosted
 
 #: The kinds in their order, and the base pattern of each.
 KINDS = ("email", "ip", "card", "phone")
@@ -59,6 +61,13 @@ _DIGIT = re.compile("[0-9]")
 #: Parts of the base patterns by which they are searched in one pass: a local name read backwards, a host, numbers joined by single dots.
 _LOCAL, _HOST, _DOTTED = re.compile(r"[A-Za-z0-9._%+-]*"), re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(?:\.[0-9]+)*")
 FEATURES = 16
+_NAMES = [f"f{i}" for i in range(FEATURES)]
+#: Thresholds are multiples of one in so many.
+STEPS = 10_000
+#: Held-out examples without which nothing of a kind is added.
+LEAST_TESTED = 20
+#: Texts that Python is handed at a time.
+BATCH = 1000
 
 
 def luhn(digits: str) -> bool:
@@ -193,23 +202,51 @@ def examples(text: str) -> list[list[float]]:
 
 
 class SpanModel:
-    """Boosted trees over candidates and the threshold of each kind."""
+    """Boosted trees over candidates, the threshold of each kind, and how many examples made the trees and the thresholds."""
 
     def __init__(self, precision: float = 0.95):
-        self.precision, self.trees = precision, BoostedTrees()
+        self.precision = precision
+        self.trees: BoostedTrees | BoostedScorer = BoostedTrees()
         self.least = [2.0] * len(KINDS)
+        self.taught = self.tested = 0
+
+    def learn(self, rows: DataFrame) -> SpanModel:
+        """From a table (f0, ..., y, test) of any size: trees from the rows that ``test`` does not mark, thresholds from those it does."""
+        counts = {(int(r.f0), bool(r.test)): int(r.n) for r in rows.groupBy("f0", "test").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows a kind
+        self.taught, self.tested = (sum(n for (_, t), n in counts.items() if t == which) for which in (False, True))
+        if all(counts.get((k, True), 0) < LEAST_TESTED for k in range(len(KINDS))):
+            return self
+        self.trees = fit_boosted(rows.where("test = 0"), {"spans": _NAMES}, rounds=40, depth=3, rate=0.2, bins=32, positive_weight=1.0, label="y", grain=24)
+
+        def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                yield _stepped(f.f0.to_numpy(), self.predict(f[_NAMES].to_numpy()), f.y.to_numpy())
+
+        met = rows.where("test = 1").mapInPandas(count, "kind int, step int, n long, hits long").groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+        return self._thresholds(met.toPandas())  # at most STEPS + 1 rows a kind
 
     def fit(self, x: np.ndarray, y: np.ndarray, test: np.ndarray) -> SpanModel:
-        """Trees from the rows that ``test`` does not mark, thresholds from those it does."""
+        """As ``learn``, from a few rows on the driver."""
+        self.taught, self.tested = int((~test).sum()), int(test.sum())
         self.trees.fit(x[~test], y[~test])
-        p = self.trees.predict(x[test])
+        return self._thresholds(_stepped(x[test][:, 0], self.predict(x[test]), y[test])) if test.any() else self
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        if isinstance(self.trees, BoostedTrees):
+            return self.trees.predict(x)
+        return 1 / (1 + np.exp(-self.trees.margins(self.trees.bins(x), ["spans"])[:, 0]))
+
+    def _thresholds(self, met: pd.DataFrame) -> SpanModel:
+        """From counts by kind and step of the score: of each kind the least step that is reached with the wanted precision.
+
+        Within a step, as within a tie, hits come first: a candidate that scores as a rewritten span does counts as a miss only for want of a label.
+        """
         for k in range(len(KINDS)):
-            of = x[test][:, 0] == k if len(y) else np.zeros(0, bool)
-            order = np.argsort(-p[of], kind="stable")
-            s, hit = p[of][order], y[test][of][order]
-            right = np.cumsum(hit) / np.arange(1, len(hit) + 1)
-            ok = np.flatnonzero((right >= self.precision) & (s >= 0.5))
-            self.least[k] = float(s[ok[-1]]) if len(hit) >= 20 and len(ok) else 2.0
+            of = met[met.kind == k].sort_values("step", ascending=False)
+            n, hits = of.n.cumsum(), of.hits.cumsum()
+            reached = (of.hits > 0) & (hits >= self.precision * (n - of.n + of.hits)) | (hits >= self.precision * n)
+            ok = of.step[reached & (of.step >= STEPS // 2)]
+            self.least[k] = float(ok.iloc[-1]) / STEPS if of.n.sum() >= LEAST_TESTED and len(ok) else 2.0
         return self
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -220,7 +257,7 @@ class SpanModel:
         found = [c for c in found if marked.find(1, c[0], c[2]) < 0]
         if not found:
             return base, []
-        p = self.trees.predict(np.array([features(text, *c) for c in found]))
+        p = self.predict(np.array([features(text, *c) for c in found]))
         added: list[tuple[int, int, int]] = []
         marked = bytearray(len(text))
         for i in np.argsort(-p, kind="stable"):
@@ -231,26 +268,42 @@ class SpanModel:
         return base, sorted(added)
 
 
-def train_spans(docs: DataFrame, max_docs: int = 4000, max_examples: int = 40_000, precision: float = 0.95, text: str = "text") -> SpanModel:
-    """From the documents with a digit or an at sign that come first by a hash of their texts: ``max_docs`` of them, ``max_examples`` examples.
+def _stepped(kind: np.ndarray, score: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+    """(kind, step, n, hits): how many examples, and positive ones, have their score in a step."""
+    f = pd.DataFrame({"kind": kind.astype(np.int32), "step": np.floor(score * STEPS).astype(np.int32), "n": np.ones(len(y), dtype=np.int64), "hits": y.astype(np.int64)})
+    return f.groupby(["kind", "step"], as_index=False).sum()
+
 
-    The examples are those of the lowest hashes within their kind; a kind with fewer than its share leaves the rest to the others.
-    A quarter of the texts, with all that they give, sets the thresholds.
+def train_spans(docs: DataFrame, max_examples: int | None = None, precision: float = 0.95, text: str = "text") -> SpanModel:
+    """From all documents with a digit or an at sign, each text once.
+
+    A quarter of the texts, with all that they give, sets the thresholds.  Whole texts are not shuffled: their examples meet by
+    128 bits of a hash of the text.  With ``max_examples`` (not used by any query) at most so many are taken, a kind with fewer than its share leaving the
+    rest to the others, and fitted on the driver.
     """
-    names = [f"f{i}" for i in range(FEATURES)] + ["y", "test"]
+    columns = [*_NAMES, "y", "test"]
 
     def collect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [([*e, float(_place_hash(t, -1) % 4 == 3)], _place_hash(t, i)) for t in f.text for i, e in enumerate(examples(t))]
-            yield pd.DataFrame([e for e, _ in found], columns=names, dtype=float).assign(h=np.array([h for _, h in found], dtype=np.int64))
+            rows = []
+            for t in f.text.unique():
+                if found := examples(t):
+                    a, b = _place_hash(t, -1), _place_hash(t, -2)
+                    rows += [(a, b, i, *e, float(a % 4 == 3)) for i, e in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["a", "b", "i", *columns]).astype({"a": "int64", "b": "int64", "i": "int32"} | dict.fromkeys(columns, "float64"))
 
-    # the hashes are put in order first, so that only the texts below the last of them move
     some = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("text").rlike("[0-9@]"))
-    least = some.select(F.xxhash64("text").alias("h")).orderBy("h").limit(max_docs).agg(F.max("h").alias("h")).first()[0]
-    sample = some.where(F.xxhash64("text") <= F.lit(least)).distinct() if least is not None else some.limit(0)
-    got = stored(sample.mapInPandas(collect, ", ".join(f"{c} double" for c in names) + ", h long"))
-    got = _bounded(got, max_examples).select(*names).orderBy(*names).toPandas().to_numpy(dtype=float).reshape(-1, FEATURES + 2)
-    return SpanModel(precision).fit(got[:, :-2], got[:, -2], got[:, -1] == 1)
+    given = some.mapInPandas(collect, "a long, b long, i int, " + ", ".join(f"{c} double" for c in columns))
+    once = given.groupBy("a", "b", "i").agg(*(F.first(c).alias(c) for c in columns))
+    with small_batches(docs.sparkSession, BATCH):
+        rows = stored(once.select(*columns, F.xxhash64("a", "b", "i").alias("h")))
+    if max_examples is None:
+        model = SpanModel(precision).learn(rows)
+    else:
+        got = _bounded(rows, max_examples).select(*columns).orderBy(*columns).toPandas().to_numpy(dtype=float).reshape(-1, FEATURES + 2)
+        model = SpanModel(precision).fit(got[:, :-2], got[:, -2], got[:, -1] == 1)
+    free(rows)
+    return model
 
 
 def _place_hash(text: str, i: int) -> int:

@@ -377,6 +377,19 @@ def test_every_kind_keeps_its_share_of_the_examples(spark, monkeypatch):
     assert dict(zip(*seen["kinds"], strict=True))[3.0] >= 100
 
 
+def test_all_texts_teach_once_whatever_their_order(spark):
+    texts = [f"{i} call +1 (017) 555-{1000 + i} tel (017) 555-{1000 + i} or 10.0.{i % 300}.7" for i in range(4500)]
+    df = spark.createDataFrame([(t,) for t in texts + texts[:50] + ["none", None]], "text string")
+    model = pii.train_spans(df)
+    given = {t: len(pii.examples(t)) for t in texts}
+    tested = sum(n for t, n in given.items() if pii._place_hash(t, -1) % 4 == 3)
+    assert (model.taught, model.tested) == (sum(given.values()) - tested, tested)
+    again = pii.train_spans(df.repartition(5))
+    assert again.least == model.least and min(model.least) <= 1
+    x = np.array([e[:-1] for t in texts[:200] for e in pii.examples(t)])
+    assert again.predict(x).tolist() == model.predict(x).tolist()
+
+
 def test_mix_counts_repeated_rows_one_by_one(spark):
     rows = [(1, "w w w w w", "a")] * 1000 + [(i, "w " * 10, "b") for i in range(2, 502)] + [(i, "w " * 5, "c") for i in range(600, 1600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit(7))
