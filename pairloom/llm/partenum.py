@@ -32,7 +32,8 @@ A sketch has 512 bits, each the parity of the features that fall on it: two
 sets differ in at least as many features as their sketches in bits.  Sets of more than WIDE features have a second
 sketch of four to eight bits a feature.  Pairs are verified on their whole texts, which are smaller than their sets.
 
-Signatures frequent in the sample are dealt over many parts wherever rows meet by signature.
+Signatures frequent in the sample are sent to many parts.  Where sets meet leaders, a bucket is dealt over one part for
+every SETS_PER_PART sets, and its leaders go to each of these, so that only buckets of more sets copy them.
 Equal sets are one node throughout: tasks send a node's signatures once, and
 documents meet their node's component at the end.  A node is a 62-bit digest
 of the set (and features are 64-bit hashes of shingles).
@@ -57,6 +58,8 @@ from pairloom.llm.textblocks import blocks, mix64, shingles
 RATIO = 3
 #: A frequent signature is dealt over 32 parts and one more for so many distinct sets.
 ROWS_PER_SALT = 1_000_000
+#: Sets of a bucket that meet its leaders in one part, about.
+SETS_PER_PART = 2048
 #: About so many sets of a bucket lead in the first round.
 FIRST = 9
 #: Longs of a sketch.
@@ -278,7 +281,7 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.75, width: int = 5,
 def _met(docs: DataFrame, text_col: str, width: int, percent: int, salts: int) -> DataFrame:
     """(sig, salt, node, marked, held, u): the signatures sent that may meet another set, how many sets (about) sent them, and the set's place in hash order, 0 to 1; stored.
 
-    The salt is 0 but for frequent signatures.
+    The salt is the set's part of its bucket, 0 but for buckets of SETS_PER_PART sets or more.
     """
     sent = _sent(docs, text_col, width, percent, _frequent(docs, text_col, width))
     node = F.shiftright("key", 1)
@@ -292,7 +295,8 @@ def _met(docs: DataFrame, text_col: str, width: int, percent: int, salts: int) -
     # at most MAX_FREQUENT features in two bands each
     whole = F.broadcast(parts.where("salt > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("all_held")))
     u = F.shiftrightunsigned(F.xxhash64("node"), 11) / F.lit(float(1 << 53))
-    out = stored(parts.join(whole, "sig", "left").select("sig", "salt", "node", "marked", F.coalesce("all_held", "held").alias("held"), u.alias("u")))
+    out = parts.join(whole, "sig", "left").select("sig", "node", "marked", F.coalesce("all_held", "held").alias("held"), u.alias("u"))
+    out = stored(out.select("sig", F.pmod(F.xxhash64("node"), _parts()).cast("int").alias("salt"), "node", "marked", "held", "u"))
     free(parts)
     return out
 
@@ -301,7 +305,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, percent: int, width: int, id_col:
     """(node, component) of every node that is linked with another; stored."""
     salts = 32 + nodes.count() // ROWS_PER_SALT
     met = _met(docs, text_col, width, percent, salts)
-    found = _wide_near(_first_pairs(met, nodes, percent, salts), nodes, percent)
+    found = _wide_near(_first_pairs(met, nodes, percent), nodes, percent)
     large = stored(met.where(f"held > {FIRST}"))
     free(met)
     need = found.select(F.explode(F.array("node", "b_node")).alias("node")).unionByName(large.select("node")).distinct()
@@ -322,7 +326,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, percent: int, width: int, id_col:
         if now.isEmpty():
             break
         tried = reduce(DataFrame.unionByName, [d.select("node", "b_node") for d in done])
-        later = _later_pairs(now, lo, hi, percent, salts).join(tried, ["node", "b_node"], "left_anti")
+        later = _later_pairs(now, lo, hi, percent).join(tried, ["node", "b_node"], "left_anti")
         done.append(_wide_near(later, nodes, percent))
         lo, hi = hi, 8 * hi + 1
     free(large, texts, *done)
@@ -343,14 +347,15 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def _salts(salts: int) -> Column:
-    """All salts of the signature of a row."""
-    return F.when(F.col("salt") > 0, F.sequence(F.lit(1), F.lit(salts))).otherwise(F.array(F.lit(0))).alias("salts")
+def _parts() -> Column:
+    """Over how many parts the bucket of a row is dealt."""
+    return F.expr(f"1 + held div {SETS_PER_PART}")
 
 
-def _leads(now: DataFrame, lo: int, hi: int, salts: int) -> DataFrame:
-    """The rows of sets in place ``lo`` to ``hi`` of their bucket, for every salt, their columns renamed."""
-    lead = now.where((F.col("u") * F.col("held") >= lo) & (F.col("u") * F.col("held") < hi)).withColumn("salt", F.explode(_salts(salts)))
+def _leads(now: DataFrame, lo: int, hi: int) -> DataFrame:
+    """The rows of sets in place ``lo`` to ``hi`` of their bucket, for every part of it, their columns renamed."""
+    lead = now.where((F.col("u") * F.col("held") >= lo) & (F.col("u") * F.col("held") < hi))
+    lead = lead.withColumn("salt", F.explode(F.sequence(F.lit(0), (_parts() - 1).cast("int"))))
     return lead.select("sig", "salt", *(F.col(c).alias(f"b_{c}") for c in now.columns if c not in ("sig", "salt", "held")))
 
 
@@ -361,9 +366,9 @@ def _near(percent: int) -> Column:
     return (F.least("size", "b_size") * 100 >= F.greatest("size", "b_size") * percent) & (apart <= F.col("size") + F.col("b_size") - 2 * least)
 
 
-def _first_pairs(met: DataFrame, nodes: DataFrame, percent: int, salts: int) -> DataFrame:
+def _first_pairs(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(node, b_node, size, b_size, n): sets and the first leaders of their buckets with which they may be linked, and in how many buckets they meet."""
-    pairs = met.join(_leads(met, 0, FIRST, salts), ["sig", "salt"]).where((F.struct("u", "node") > F.struct("b_u", "b_node")) & (F.col("marked") | F.col("b_marked")))
+    pairs = met.join(_leads(met, 0, FIRST), ["sig", "salt"]).where((F.struct("u", "node") > F.struct("b_u", "b_node")) & (F.col("marked") | F.col("b_marked")))
     pairs = pairs.groupBy("node", "b_node").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("marked")).alias("marked"), F.bool_or(F.col("b_marked")).alias("b_marked"), F.bool_or(F.col("marked") & F.col("b_marked")).alias("both"))
     few = nodes.select("node", "size", *_BITS)
     pairs = pairs.join(few, "node").join(few.select(*(F.col(c).alias(f"b_{c}") for c in few.columns)), "b_node")
@@ -403,11 +408,11 @@ def _open(large: DataFrame, comp: DataFrame, nodes: DataFrame, lo: int) -> DataF
     return stored(now.join(several.select("sig"), "sig", "left_semi").join(nodes.select("node", "size", *_BITS), "node"))
 
 
-def _later_pairs(now: DataFrame, lo: int, hi: int, percent: int, salts: int) -> DataFrame:
+def _later_pairs(now: DataFrame, lo: int, hi: int, percent: int) -> DataFrame:
     """As ``_first_pairs``, for later leaders and sets of other components; excluded before any row is made of a pair."""
     may = (F.struct("u", "node") > F.struct("b_u", "b_node")) & (F.col("component") != F.col("b_component"))
     may &= (F.col("marked") | (F.col("size") > F.col("b_size"))) & (F.col("b_marked") | (F.col("b_size") > F.col("size")))
-    pairs = now.join(_leads(now, lo, hi, salts), ["sig", "salt"]).where(may & _near(percent))
+    pairs = now.join(_leads(now, lo, hi), ["sig", "salt"]).where(may & _near(percent))
     return pairs.groupBy("node", "b_node", "size", "b_size").agg(F.count(F.lit(1)).alias("n"))
 
 

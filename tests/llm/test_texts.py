@@ -132,6 +132,27 @@ def test_a_large_group_near_the_threshold_matches_brute_force(spark):
     assert len({w[2] for w in want}) > 20
 
 
+def test_leaders_are_copied_only_to_the_parts_that_a_bucket_needs(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(2400):
+        words = list(base)
+        words[rng.randrange(60)] = f"e{i}"
+        rows.append((1 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    met = partenum._met(df, "text", 5, 75, 32).cache()
+    lead = met.where(f"u * held < {partenum.FIRST}")
+    copies = lead.select(F.sum(F.expr("1 + held div 2048"))).first()[0]
+    assert lead.where("held > 100 and held < 2048").count() > 20
+    assert partenum._leads(met, 0, partenum.FIRST).count() == copies < 2 * lead.count()
+    # of a bucket dealt over many parts no link is lost
+    some = df.where("doc_id <= 150")
+    monkeypatch.setattr(partenum, "SETS_PER_PART", 10)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in partenum.jaccard_components(some).collect())
+    assert got == sorted(components(some.collect()))
+
+
 def test_keep_one(docs, empty):
     kept = partenum.keep_one(docs)
     assert kept.columns == docs.columns and partenum.keep_one(empty).isEmpty()
