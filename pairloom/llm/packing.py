@@ -65,7 +65,7 @@ class WordTokenizer:
     _ODD = re.compile("[\x1c-\x1f]|<\\|")
     _SIGNS = _byte_signs()
 
-    def __init__(self, path: str, room: int = 200_000):
+    def __init__(self, path: str, room: int = 50_000):
         from tokenizers import Tokenizer
 
         self.whole, self.room = Tokenizer.from_file(path), room

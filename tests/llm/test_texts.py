@@ -206,6 +206,15 @@ def test_word_tokenizer_equals_whole_tokenizer_on_letters_with_marks():
         assert np.frombuffer(own(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+def test_word_tokenizer_remembers_a_bounded_number_of_words():
+    tok, small = packing.WordTokenizer(tokenizer_path()), packing.WordTokenizer(tokenizer_path(), room=10)
+    for i in range(0, 120_000, 1000):
+        text = " ".join(chr(97 + k % 26) + chr(97 + k // 26 % 26) + chr(97 + k // 676 % 26) + chr(97 + k // 17576) for k in range(i, i + 1000))
+        ids = tok(text)
+        assert i % 40_000 or ids == small(text)
+        assert len(tok.words) <= 51_000 and len(tok.parts) <= 101_000
+
+
 def test_plan_covers_any_histogram():
     rng = random.Random(3)
     for _ in range(20):
