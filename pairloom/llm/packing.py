@@ -40,6 +40,8 @@ from pairloom.llm.common import stored
 
 CAPACITY = 4096
 END_ID = 1
+#: Parts of words that a tokenizer remembers, and as many older ones: some 150 bytes each.
+ROOM = 50_000
 
 
 def _byte_signs() -> dict[int, str]:
@@ -49,76 +51,88 @@ def _byte_signs() -> dict[int, str]:
 
 
 class WordTokenizer:
-    """A word-level tokenizer file read by ``tokenizers``, remembering words and their ids.
+    """A word-level tokenizer file read by ``tokenizers``, remembering parts of words and their ids.
 
     The file's pre-tokenizer cuts at white space and between letters, single
     digits and other signs, so the ids of a text are those of its words in
-    order.  Words in plain Latin letters, digits and ASCII signs are cut here and looked up in the
+    order.  Signs at the end of a word are words of their own here.  Words in plain Latin letters, digits and ASCII signs are cut here and looked up in the
     file's model; all other words, and texts that hold a special token's
     string or separators that only some libraries call white space, go through the whole tokenizer.
-    Ids are kept as little-endian 32-bit bytes.  At most ``room`` words and
-    twice as many parts of words are remembered at a time.
+    Ids are kept as little-endian 32-bit bytes.  At most ``room`` parts are remembered, as many of those used before
+    them, so that frequent ones stay, and as many words of several parts or from the whole tokenizer.
     """
 
     _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ʯ]+")
     _PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-    _ODD = re.compile("[\x1c-\x1f]|<\\|")
+    _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
     _SIGNS = _byte_signs()
+    _SIGN = r"!-/:-@\[-`{-~"
+    # not after a letter whose lower case ends with a mark
+    _ENDS = re.compile(f"[{_SIGN}](?<=[A-Za-zÀ-ÖØ-öø-įı-ʯ].)[{_SIGN}]*(?!\\S)")
+    _ALONE = re.compile(f"[{_SIGN}]+")
 
-    def __init__(self, path: str, room: int = 50_000):
+    def __init__(self, path: str, room: int = ROOM):
         from tokenizers import Tokenizer
 
         self.whole, self.room = Tokenizer.from_file(path), room
         self.model = self.whole.model
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
-        shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self._SIGNS)
-        out = self.parts[part] = _packed([t.id for t in self.model.tokenize(shown)])
+        if (out := self.parts.get(part)) is not None:
+            return out
+        if (out := self.older.get(part)) is None:
+            shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self._SIGNS)
+            out = _packed([t.id for t in self.model.tokenize(shown)])
+        if len(self.parts) >= self.room:
+            self.parts, self.older = {}, self.parts
+        self.parts[part] = out
         return out
 
     def _word(self, word: str) -> bytes:
+        if (out := self.words.get(word)) is not None:
+            return out
         if word.isascii() or self._PLAIN.fullmatch(word):
-            lower, parts = word.lower(), self.parts
-            if lower.isalpha():
-                out = parts.get(lower) or self._part(lower)
-            elif (stem := lower[:-1]).isalpha():
-                out = (parts.get(stem) or self._part(stem)) + (parts.get(lower[-1]) or self._part(lower[-1]))
-            else:
-                out = b"".join([parts.get(p) or self._part(p) for p in self._PART.findall(lower)])
+            lower = word.lower()
+            if lower == word and (word.isalpha() or self._ALONE.fullmatch(word)):
+                return self._part(word)
+            out = b"".join([self._part(p) for p in self._PART.findall(lower)])
         else:
             out = _packed(self.whole.encode(word, add_special_tokens=False).ids)
+        if len(self.words) >= self.room:
+            self.words.clear()
         self.words[word] = out
         return out
 
     def __call__(self, text: str) -> bytes:
-        if self._ODD.search(text):
+        if any(odd in text for odd in self._ODD):
             return _packed(self.whole.encode(text, add_special_tokens=False).ids)
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        if len(self.words) > self.room:
-            self.words.clear()
-        if len(self.parts) > 2 * self.room:
-            self.parts.clear()
         lower = text.lower()
         # else lower case depends on what stands around, or composes anew with a mark that follows
         if len(lower) == len(text) and "Σ" not in text and (lower.isascii() or unicodedata.is_normalized("NFC", lower)):
             text = lower
-        get, add = self.words.get, self._word
-        return b"".join([get(w) or add(w) for w in text.split()])
+        add, out = self._word, []
+        words = self._ENDS.sub(r" \g<0>", text).split()
+        for at in range(0, len(words), 1000):
+            get = self.parts.get  # not the same for ever
+            out += [get(w) or add(w) for w in words[at : at + 1000]]
+        return b"".join(out)
 
 
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of every piece of every document."""
+def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, room: int = ROOM) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids]) of every piece of every document; a task remembers up to twice ``room`` parts of words."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, end = WordTokenizer(tokenizer_path), _packed([end_id])
+        tok, end = WordTokenizer(tokenizer_path, room), _packed([end_id])
         for f in frames:
             rows, again = [], {t: None for t, n in Counter(f.iloc[:, 1]).items() if n > 1}
             for i, t in zip(f.iloc[:, 0], f.iloc[:, 1], strict=True):
@@ -276,6 +290,6 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, rows_per_salt: int
     return placed.select(*pieces.columns, "at.sequence_id", "at.offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, room: int = ROOM) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
-    return pack_pieces(stored(cut_pieces(docs, tokenizer_path, capacity, end_id, with_ids=with_ids)), capacity)
+    return pack_pieces(stored(cut_pieces(docs, tokenizer_path, capacity, end_id, with_ids=with_ids, room=room)), capacity)

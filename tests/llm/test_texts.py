@@ -215,6 +215,27 @@ def test_word_tokenizer_remembers_a_bounded_number_of_words():
         assert len(tok.words) <= 51_000 and len(tok.parts) <= 101_000
 
 
+def test_word_tokenizer_remembers_frequent_parts_and_signs_at_the_end_once(monkeypatch):
+    tok = packing.WordTokenizer(tokenizer_path(), room=40)
+    asked: list[str] = []
+    monkeypatch.setattr(packing, "_packed", lambda ids, f=packing._packed: asked.append("x") or f(ids))
+    rare = [chr(97 + k // 26) + chr(97 + k % 26) + "zq" for k in range(500)]
+    signs = [".", ",", "!!", ".!!", "%%%", "..."]
+    for i, word in enumerate(rare):
+        tok(f"often{signs[i % 6]} {word}")
+    # each rare word once, the frequent one and its signs only once in all: a memory that is cleared asks for them again
+    assert len(asked) == len(rare) + 1 + len(signs)
+    assert len(tok.parts) <= 40 and len(tok.older) <= 40
+
+
+@pytest.mark.parametrize("text", ["a_. b._ c», d”. e.». f.' g's. h!!'s don't. İx. İ, aİ.. ΟΔΟΣa. ΑΣ. x². y½, 1. 2.0. \u00e9. e\u0301. \u4e2d. \u0436, é_ß.. ..a.. 'll. i'll! a\u00a0. b.\u0085c. z.\x00 q\u0301. r.\u0301 s.é ǀ. ª. º, (k) [l]. w\u200b.", "Caf\u00e9?! <b>x</b>. a</w>. </w> x.</w>"])
+def test_word_tokenizer_cuts_signs_at_the_end_as_the_whole_tokenizer(text):
+    from tokenizers import Tokenizer
+
+    for t in (text, text.upper()):
+        assert np.frombuffer(packing.WordTokenizer(tokenizer_path())(t), "<u4").tolist() == Tokenizer.from_file(tokenizer_path()).encode(t, add_special_tokens=False).ids
+
+
 def test_plan_covers_any_histogram():
     rng = random.Random(3)
     for _ in range(20):
