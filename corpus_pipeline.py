@@ -59,11 +59,13 @@ def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens and their places in sequences.  A null text is packed as the end id alone; repeated rows one by one."""
     hand_small_batches(spark, BATCH)
-    return pack_documents(docs, tokenizer_path())
+    return pack_documents(docs, tokenizer_path(), room=ROOM)
 
 
 #: Whole texts that a Python worker is handed at a time: ten thousand, Spark's default, fill too much of its memory.
 BATCH = 1000
+#: Parts of words that packing remembers a task: workers of all stages share an executor's memory.
+ROOM = 20_000
 #: A language is found if its share of the evidence, four languages having at least a quarter, is so large.
 LEAST_SCORE = 0.4
 STAGES = [

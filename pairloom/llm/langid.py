@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import free, stored
+from pairloom.llm.common import free, given_back, stored
 
 UND = "und"
 EVIDENCE = 20
@@ -45,7 +45,7 @@ def _grams(word: str, n: int) -> list[str]:
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
+    for frame in given_back(frames):
         for lang, part in frame.groupby("lang"):
             seen: dict[int, Counter] = {n: Counter() for n in (0, *GRAMS)}
             for text in part["text"]:
@@ -179,7 +179,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str | Column =
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = Scorer(shared.value)
-        for texts in batches:
+        for texts in given_back(batches):
             yield pd.DataFrame([score(t) for t in texts], columns=["lang_pred", "score"])
 
     return predict(F.col(text) if isinstance(text, str) else text)

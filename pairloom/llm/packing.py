@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import stored
+from pairloom.llm.common import given_back, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -133,7 +133,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok, end = WordTokenizer(tokenizer_path, room), _packed([end_id])
-        for f in frames:
+        for f in given_back(frames):
             rows, again = [], {t: None for t, n in Counter(f.iloc[:, 1]).items() if n > 1}
             for i, t in zip(f.iloc[:, 0], f.iloc[:, 1], strict=True):
                 ids = again.get(t)

@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import free, small_batches, stored
+from pairloom.llm.common import free, given_back, small_batches, stored
 from pairloom.llm.components import connected_components
 from pairloom.llm.textblocks import blocks, mix64, shingles
 
@@ -153,7 +153,7 @@ def _slim(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(doc_id, n_shingles, node, wide, s0, ...) of every row."""
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in given_back(frames):
             for at, block in blocks(f.text):
                 found = shingles(block, width)
                 ids = f.doc_id.iloc[at : at + len(block)].astype("Int64").reset_index(drop=True)
@@ -167,7 +167,7 @@ def _frequent(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, n
     """At most MAX_FREQUENT features that three or more distinct sets of one text in SAMPLE_PART hold: (sorted values, ranks, 0 the rarest)."""
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in given_back(frames):
             for _, block in blocks(f.text):
                 found = shingles(block, width)
                 yield pd.DataFrame({"feature": np.concatenate(found).view(np.int64)})
@@ -187,7 +187,7 @@ def _sent(docs: DataFrame, text_col: str, width: int, percent: int, frequent: tu
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for f in frames:
+        for f in given_back(frames):
             for _, block in blocks(f.text):
                 sigs, keys, hot = [], [], []
                 for h in shingles(block, width):
@@ -249,7 +249,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str, width:
     shared, bits = docs.sparkSession.sparkContext.broadcast(bitmap), _bits(bitmap)
 
     def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in given_back(frames):
             for _, block in blocks(f.text[_on(shared.value, f["at"])]):
                 yield pd.DataFrame({"node": [digest(h) for h in shingles(block, width)], "text": block})
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.boosting import BoostedTrees
-from pairloom.llm.common import free, small_batches, stored
+from pairloom.llm.common import free, given_back, small_batches, stored
 from pairloom.operators.boosting import BoostedScorer, fit_boosted
 
 #: The kinds in their order, and the base pattern of each.
@@ -284,7 +284,7 @@ def train_spans(docs: DataFrame, max_examples: int | None = None, precision: flo
     columns = [*_NAMES, "y", "test"]
 
     def collect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in given_back(frames):
             rows = []
             for t in f.text.unique():
                 if found := examples(t):
@@ -338,7 +338,7 @@ def find_spans(docs: DataFrame, model: SpanModel, text: str = "text") -> Column:
     @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for texts in batches:
+        for texts in given_back(batches):
             rows = []
             for t in texts:
                 base, added = m.spans(t or "")
@@ -355,7 +355,7 @@ def redact(docs: DataFrame, model: SpanModel, text: str = "text") -> Column:
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        for texts in batches:
+        for texts in given_back(batches):
             yield pd.Series([t if t is None else redacted(t, sum(m.spans(t), [])) for t in texts], dtype=object)
 
     return clean(F.col(text))

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,34 @@ def test_word_tokenizer_cuts_signs_at_the_end_as_the_whole_tokenizer(text):
         assert np.frombuffer(packing.WordTokenizer(tokenizer_path())(t), "<u4").tolist() == Tokenizer.from_file(tokenizer_path()).encode(t, add_special_tokens=False).ids
 
 
+def test_packing_gives_the_memory_of_each_batch_back(spark, monkeypatch):
+    from pairloom.llm import common
+
+    def used():
+        return sum(int(line.split()[1]) for line in open("/proc/self/smaps_rollup") if line.startswith("Pss_Anon")) / 1024
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, f, schema):
+            return f
+
+    kept, done = [], []
+
+    def frames():
+        for n in range(3):
+            texts = [f"{i} {n} " + "a " * 1500 for i in range(10_000)]
+            kept.extend(texts[::500])  # what stays lies among what goes
+            yield pd.DataFrame({"doc_id": range(10_000), "text": texts}).head(20)
+
+    trim = common.give_back
+    monkeypatch.setattr(common, "give_back", lambda: done.append(trim()))
+    before = used()
+    assert sum(len(f) for f in packing.cut_pieces(Docs(), tokenizer_path())(frames())) == 60
+    assert len(done) == 3 and used() < before + 60
+
+
 def test_plan_covers_any_histogram():
     rng = random.Random(3)
     for _ in range(20):
