@@ -41,13 +41,14 @@ of the set (and features are 64-bit hashes of shingles).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -210,26 +211,16 @@ def _place(number: Column | str, bits: int) -> Column:
     return F.pmod(F.xxhash64(number), F.lit(1 << bits))
 
 
-def _bits(bitmap: np.ndarray) -> int:
-    return int(len(bitmap) * 64).bit_length() - 1
+def _held(rows: DataFrame, bitmap: np.ndarray, number: Column | str, on: bool = True) -> DataFrame:
+    """The ``rows`` whose ``number`` has its place in the bitmap; the others, if not ``on``.  Nothing is shuffled.
 
-
-def _on(bitmap: np.ndarray, at: pd.Series) -> np.ndarray:
-    at = at.to_numpy(dtype=np.int64)
-    return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
-
-
-def _holds(bitmap: np.ndarray, spark: SparkSession) -> Callable[[Column | str], Column]:
-    """Whether the bitmap holds the place of a number."""
-    shared, bits = spark.sparkContext.broadcast(bitmap), _bits(bitmap)
-
-    @F.pandas_udf("boolean")
-    def held(at: pd.Series) -> pd.Series:
-        return pd.Series(_on(shared.value, at))
-
-    # else the optimiser would also ask it of whatever the filtered column is joined with
-    held = held.asNondeterministic()
-    return lambda number: held(_place(number, bits))
+    Spark's own expressions test the bits: a Python function would need a worker of its own in every task, beside the one that
+    is handed the texts, and Spark keeps such workers, with their memory, for the stages that follow.
+    """
+    row = pa.table({"bitmap": pa.ListArray.from_arrays(pa.array([0, len(bitmap)], pa.int32()), pa.array(bitmap))})
+    at = _place(number, (len(bitmap) * 64).bit_length() - 1)
+    bit = F.getbit(F.get("bitmap", F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int"))
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(row)), bit == int(on)).drop("bitmap")
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -245,16 +236,14 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 
 def _texts(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str, width: int) -> DataFrame:
     """(node, text) of ``nodes`` (node, doc_id) and of a few others; where ids repeat some more than once.  Nothing is shuffled."""
-    bitmap = _bitmap(nodes.select("doc_id"))
-    shared, bits = docs.sparkSession.sparkContext.broadcast(bitmap), _bits(bitmap)
 
     def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in given_back(frames):
-            for _, block in blocks(f.text[_on(shared.value, f["at"])]):
+            for _, block in blocks(f.text):
                 yield pd.DataFrame({"node": [digest(h) for h in shingles(block, width)], "text": block})
 
-    key = F.col(id_col).cast("long")
-    return docs.select(_place(key, bits).alias("at"), F.col(text_col).cast("binary").alias("text")).mapInPandas(named, "node long, text binary")
+    keyed = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("binary").alias("text"))
+    return _held(keyed, _bitmap(nodes.select("doc_id")), "key").select("text").mapInPandas(named, "node long, text binary")
 
 
 def jaccard_components(docs: DataFrame, threshold: float = 0.75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -387,7 +376,7 @@ def _wide_near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         return pairs
     # few in later rounds: only the sketches of these move
     ends = large.select(F.explode(F.array("node", "b_node")).alias("doc_id")).distinct()
-    wide = nodes.where(F.col("size") > WIDE).where(_holds(_bitmap(ends), pairs.sparkSession)("node")).select("node", "wide")
+    wide = _held(nodes.where(F.col("size") > WIDE).select("node", "wide"), _bitmap(ends), "node")
 
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -430,7 +419,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     """
     pairs = stored(pairs)
     ends = pairs.select(F.explode(F.array("node", "b_node")).alias("doc_id")).distinct()
-    texts = texts.where(_holds(_bitmap(ends), pairs.sparkSession)("node"))  # few in later rounds: only these move
+    texts = _held(texts, _bitmap(ends), "node")  # few in later rounds: only these move
 
     def linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -461,8 +450,8 @@ def keep_one(docs: DataFrame, threshold: float = 0.75, width: int = 5, id_col: s
     doubtful = stored(per.where(~F.col("stays") | (F.col("n") > 1) | F.col("doc_id").isNull()))
     # whole rows travel packed, so that no name of theirs can clash
     packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    marked = packed.withColumn("held", _holds(_bitmap(doubtful), docs.sparkSession)(F.col("key")))
-    passed, rest = marked.where(~F.col("held")), marked.where("held")
+    bitmap = _bitmap(doubtful)
+    passed, rest = _held(packed, bitmap, "key", on=False), _held(packed, bitmap, "key")
     out = doubtful.where("not stays").select(F.col("doc_id").alias("out"))
     twice = doubtful.where("stays").select(F.col("doc_id").alias("twice"))
     rest = rest.join(out, F.col("key").eqNullSafe(F.col("out")), "left_anti")

@@ -12,6 +12,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 BLOCK_BYTES = 1_000_000
+#: Bytes of a block whose words are hashed at a time: this takes some forty bytes a byte.
+PART_BYTES = 250_000
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -35,7 +37,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def _power(base: int, n: int) -> np.ndarray:
     if len(have := _powers.get(base, np.ones(1, np.uint64))) < n:
-        steps = np.full(max(n, 2 * len(have), BLOCK_BYTES), base, dtype=np.uint64)
+        steps = np.full(max(n, 2 * len(have), PART_BYTES + 1), base, dtype=np.uint64)
         steps[0] = 1
         _powers[base] = have = np.cumprod(steps, dtype=np.uint64)
         if n > 4 * BLOCK_BYTES:  # one huge text: do not keep its table
@@ -63,7 +65,8 @@ def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarra
     edge = np.diff(np.concatenate([[True], _IS_SPACE[buf]]).astype(np.int8))
     start = np.flatnonzero(edge == -1)
     end = np.flatnonzero(edge == 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(buf.astype(np.uint64) * _power(_P, len(buf)), dtype=np.uint64)])
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(np.multiply(buf, _power(_P, len(buf)), out=sums[1:]), out=sums[1:])
     h = (sums[end] - sums[start]) * _power(_P_INV, len(buf))[start]
     size = end - start
     h = mix64(h ^ (size.astype(np.uint64) << np.uint64(40)))
@@ -77,6 +80,10 @@ def shingles(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     A text of fewer words gives its whole sequence as one; a text without
     words gives none.
     """
+    return [h for _, part in blocks(texts, PART_BYTES) for h in _shingles(part, width)]
+
+
+def _shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
     h, row, _, _ = words(texts)
     n = len(h)
     count = np.bincount(row, minlength=len(texts))

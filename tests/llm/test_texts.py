@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -162,6 +163,43 @@ def test_keep_one(docs, empty):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None) == want
 
 
+def test_no_task_of_the_join_needs_a_second_python_worker(docs, monkeypatch):
+    plans, store = [], partenum.stored
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(partenum, "stored", noted)
+    plans.append(partenum.keep_one(docs)._jdf.queryExecution().executedPlan().toString())
+    assert sum("MapInPandas" in p for p in plans) >= 4
+    for plan in plans:
+        assert "EvalPython" not in plan
+        # of a stage's operators none is below an exchange
+        assert all(stage.count("MapInPandas") <= 1 for stage in re.split(r"Exchange|Union", plan))
+
+
+def test_a_bitmap_splits_rows_and_misses_no_member(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "BITMAP_BITS", (10, 12))
+    rows = spark.range(-500, 500).selectExpr("if(id = 7, null, id) as key", "id as other")
+    ids = rows.where("other % 7 = 0").select(F.col("key").alias("doc_id"))
+    bitmap = partenum._bitmap(ids)
+    on, off = (sorted(r.other for r in partenum._held(rows, bitmap, "key", on=x).collect()) for x in (True, False))
+    assert sorted(on + off) == list(range(-500, 500)) and {x for x in range(-500, 500) if x % 7 == 0} <= set(on)
+    assert len(on) < 400 and partenum._held(rows, bitmap, "key").columns == rows.columns
+
+
+def test_hashing_a_block_of_texts_takes_little_memory():
+    texts = [" ".join(WORDS[(i * j) % 20] for j in range(400)).encode() for i in range(450)]
+    shingles(texts)
+    tracemalloc.start()
+    found = shingles(texts)
+    assert len(found) == 450 and sum(map(len, texts)) > 900_000
+    assert tracemalloc.get_traced_memory()[1] < 15e6
+    tracemalloc.stop()
+    assert all((a == shingles([t])[0]).all() for a, t in zip(found[::50], texts[::50], strict=True))
+
+
 def test_packing_is_gapless_and_round_trips(docs, empty):
     from tokenizers import Tokenizer
 
