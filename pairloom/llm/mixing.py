@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairloom.functions.ranking import with_position, with_running_sums
-from pairloom.llm.common import stored, unit_hash
+from pairloom.llm.common import let_go, stored, unit_hash
 
 CELLS = 4096
 #: Side tables have a row for each source; up to so many they are broadcast, beyond it they are joined by Spark's own choice.
@@ -177,6 +177,7 @@ def _fill(drawn: DataFrame, sources: int) -> DataFrame:
         more = won.groupBy(F.col("source").alias("w_source")).agg(F.sum("words").alias("more"))
         gaps = stored(gaps.join(more, F.col("g_source").eqNullSafe(F.col("w_source")), "left").select("g_source", (F.col("gap") - F.coalesce("more", F.lit(0))).alias("gap")))
         units = turn.where("in = 0").drop("due", "in")
+        let_go(drawn.sparkSession)
     if taken is None:
         return drawn
     keys = taken.select(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), F.col("number").alias("k_number"), F.lit(1).alias("added"))

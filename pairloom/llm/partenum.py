@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import free, given_back, small_batches, stored
+from pairloom.llm.common import free, given_back, let_go, small_batches, stored
 from pairloom.llm.components import connected_components
 from pairloom.llm.textblocks import blocks, mix64, shingles
 
@@ -308,6 +308,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, percent: int, width: int, id_col:
         first = stored(found.groupBy("node", "size").agg(best).select("node", "size", "best.*"))
         for some in (first, found.join(first, ["node", "b_node"], "left_anti")):
             comp = _joined(comp, _verified(_apart(some, comp), texts, percent, width))
+            let_go(docs.sparkSession)
         free(first)
         now = _open(large, comp, nodes, lo)
         free(large)

@@ -73,3 +73,19 @@ def test_held_out_pairs_and_odd_rows(spark):
     odd = spark.createDataFrame([(1, None, float("nan"), 5.0, None), (2, 0.0, 0.0, 0.0, 1)], "id long, a double, b double, c double, label int")
     assert all(0 < r.score < 1 for r in predict_pairs(model, odd).collect())
     assert {r.score for r in predict_pairs(train_link_classifier(df.limit(0), ["a"], rounds=2), odd).collect()} == {0.5}
+
+
+def test_levels_are_not_planned_one_by_one(spark):
+    """Queries planned for six rounds of three levels: bin edges, the table of blocks, the margins after three rounds, and few besides."""
+    x, y = data()
+    df = frame(spark, x, y)
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+
+    def planned():
+        df.count()
+        bus.waitUntilEmpty()
+        return store.executionsList().last().executionId()
+
+    before = planned()
+    fit_boosted(df, {"all": ["a", "b", "c"]}, rounds=6, depth=3)
+    assert planned() - before < 9
