@@ -34,6 +34,8 @@ from pairloom.llm.vectors import matrix, padded, usable
 SAMPLE = (8192, 32_768)
 TASK_ROWS = 30_000
 TASK_QUERIES = 20_000
+#: Distances of vectors to centroids, or of centroids to each other, that are held at once.
+CELLS = 1 << 21
 
 
 def lift(x: np.ndarray, largest: float) -> np.ndarray:
@@ -45,14 +47,22 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T)
 
 
+def _blocks(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of rows, of CELLS distances each."""
+    step = max(1, CELLS // max(1, columns))
+    return (slice(lo, lo + step) for lo in range(0, rows, step))
+
+
 def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
     """k-means in which a cluster above the mean size looks farther away."""
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:k]].copy()
     load = np.ones(k)
     for _ in range(rounds):
-        d = _squared(x, c)
-        own = (d + d.min(axis=1).mean() * 0.5 * np.maximum(0.0, load - 1)[None, :]).argmin(axis=1)
+        # distances are made anew for the second pass: all of them together would fill the driver
+        mean = sum(_squared(x[b], c).min(axis=1).sum() for b in _blocks(len(x), k)) / len(x)
+        away = mean * 0.5 * np.maximum(0.0, load - 1)[None, :]
+        own = np.concatenate([(_squared(x[b], c) + away).argmin(axis=1) for b in _blocks(len(x), k)])
         size = np.bincount(own, minlength=k)
         load = 0.5 * load + 0.5 * size * k / len(x)
         sums = np.zeros_like(c)
@@ -66,8 +76,7 @@ class Centroids:
 
     def __init__(self, c: np.ndarray, degree: int = 16, seed: int = 2):
         self.c = c
-        d = _squared(c, c)
-        near = np.argsort(d, axis=1, kind="stable")[:, 1 : degree + 1]
+        near = np.concatenate([np.argsort(_squared(c[b], c), axis=1, kind="stable")[:, 1 : degree + 1] for b in _blocks(len(c), len(c))])
         far = np.random.default_rng(seed).integers(0, len(c), (len(c), 2))
         both: list[set[int]] = [set(map(int, row)) | set(map(int, more)) for row, more in zip(near, far, strict=True)]
         for i in range(len(c)):
@@ -116,34 +125,54 @@ class Centroids:
 
     def lists_of(self, x: np.ndarray, copies: int, spread: float) -> list[np.ndarray]:
         """The lists that each vector joins, its nearest first."""
-        d = np.sqrt(_squared(x, self.c))
-        order = np.argsort(d, axis=1, kind="stable")[:, : 2 * copies]
-        between = np.sqrt(_squared(self.c, self.c))
         out = []
-        for row, near in zip(d, order, strict=True):
-            own = [int(near[0])]
-            for j in near[1:]:
-                if len(own) == copies or row[j] > (1 + spread) * row[near[0]]:
-                    break
-                if all(between[j, i] > row[j] for i in own):
-                    own.append(int(j))
-            out.append(np.array(own, dtype=np.int32))
+        for b in _blocks(len(x), len(self.c)):
+            d = np.sqrt(_squared(x[b], self.c))
+            order = np.argsort(d, axis=1, kind="stable")[:, : 2 * copies]
+            for row, near in zip(np.take_along_axis(d, order, axis=1), order, strict=True):
+                own = [0]
+                if len(near) > 1 and row[1] <= (1 + spread) * row[0]:
+                    between = np.sqrt(_squared(self.c[near], self.c[near]))
+                    for j in range(1, len(near)):
+                        if len(own) == copies or row[j] > (1 + spread) * row[0]:
+                            break
+                        if all(between[j, i] > row[j] for i in own):
+                            own.append(j)
+                out.append(near[own].astype(np.int32))
         return out
 
     def calibrate(self, x: np.ndarray, queries: np.ndarray, self_at: np.ndarray, k: int, recall: float, copies: int, spread: float) -> None:
         """Sets the least ratio at which the lists hold ``recall`` of the exact neighbours within the sample."""
         lists = self.lists_of(x, copies, spread)
-        score = queries @ x.T
-        score[np.arange(len(queries)), self_at] = -np.inf
         k = min(k, len(x) - 1)
         if k < 1:
             return
-        top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        top = []
+        for b in _blocks(len(queries), len(x)):
+            score = queries[b] @ x.T
+            score[np.arange(len(score)), self_at[b]] = -np.inf
+            top.append(np.argpartition(-score, k - 1, axis=1)[:, :k])
+        top = np.concatenate(top)
         d = np.sqrt(_squared(queries, self.c))
         need = np.array([[d[q, lists[t]].min() / max(d[q].min(), 1e-12) - 1 for t in row] for q, row in enumerate(top)])
         self.ratio = float(np.quantile(need, recall)) + 1e-9
 
 
+def _sampled(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """The vectors of the ``most`` lowest hashes of ``n`` rows; only rows of a hash below a bound that so many should have are sorted.
+
+    A heap of whole vectors for each task would send ``most`` of each to the driver.
+    """
+    order = F.xxhash64("vec_id", "vec")
+    share, found = (most + 6 * most**0.5 + 50) / n, rows
+    while share < 1:
+        found = rows.where(order < F.lit(int(share * (1 << 64)) - (1 << 63)))
+        if found.count() >= most:
+            break
+        share, found = 4 * share, rows
+    return found.orderBy(order, "vec_id").limit(most).select("vec")
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 20, copies: int = 4, spread: float = 0.1, recall: float = 0.97, rows_per_list: int = 200, max_lists: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -165,7 +194,7 @@ def nearest(
     if not n:
         return asked.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     lists = max(1, min(max_lists, n // rows_per_list, SAMPLE[1] // 4))
-    sample = rows.select("vec").orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(min(SAMPLE[1], max(SAMPLE[0], 16 * lists))).toPandas()  # at most SAMPLE[1] vectors
+    sample = _sampled(rows, n, min(SAMPLE[1], max(SAMPLE[0], 16 * lists))).toPandas()  # at most SAMPLE[1] vectors
     x = matrix(sample.vec)
     lifted = lift(x, largest)
     lists = max(1, min(lists, len(x) // 4))

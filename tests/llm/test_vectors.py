@@ -1,5 +1,8 @@
+import tracemalloc
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairloom.llm import spann
 from pairloom.llm.covertree import Forest, Tree, build_levels, dual_traversal, near_vectors
@@ -140,3 +143,22 @@ def test_recall_on_the_given_vectors(spark, monkeypatch, queries):
         hits += len(got[ids[i]] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
         total += 20
     assert hits / total >= 0.9
+
+
+def test_fitting_many_lists_holds_few_distances(monkeypatch):
+    """All distances of 4,000 vectors to 1,000 centroids take 32 MB, and as much again for each step of their sum."""
+    monkeypatch.setattr(spann, "CELLS", 1 << 16, raising=False)
+    x = np.random.default_rng(3).normal(size=(4000, 8))
+    tracemalloc.start()
+    index = spann.Centroids(spann.balanced_centroids(x, 1000, rounds=2))
+    index.calibrate(x, x[:64], np.arange(64), 10, 0.9, 4, 0.1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+
+
+@pytest.mark.parametrize("most", [5, 40, 500])
+def test_sample_is_that_of_the_lowest_hashes(spark, most):
+    rows = spark.range(300).selectExpr("id as vec_id", "array(cast(id as double), 1.0D) as vec").repartition(7)
+    want = rows.orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(most).select("vec").collect()
+    assert spann._sampled(rows, 300, most).collect() == want
