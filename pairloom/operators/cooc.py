@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.functions.skew import dealt_join
+from pairloom.functions.skew import MOST, dealt_join
 from pairloom.functions.storage import free, stored
 from pairloom.operators.graph import KEYS, adjacency, node_degrees
 from pairloom.operators.lattice import LEAST, bitmaps, observation_sums, popcounts
+from pairloom.operators.neighbourhoods import by_blocks, couples, singles
 
 #: The lower edges of the mean bins.
 MEAN_EDGES = (0.01, 0.05, 0.10, 0.20, 0.30, 0.40, 0.55, 0.70, 0.85)
@@ -124,17 +125,22 @@ def _valued(counted: DataFrame, edges: DataFrame) -> DataFrame:
     return out.where(F.col("x") > LEAST).select("left", "right", "combo", "x")
 
 
-def observations(edges: DataFrame, pairs: DataFrame, k: int = 1, exclude_self: bool = False) -> DataFrame:
+def observations(edges: DataFrame, pairs: DataFrame, k: int = 1, exclude_self: bool = False, most: int = MOST) -> DataFrame:
     """(left, right, combo, x) for the distinct target ``pairs``.
 
-    k = 1 and 2 are joins; from 3 on, and for k = 2 on pairs that are edges (of which each
-    has all its subsets), ``observations_walked`` does the same by a vectorised
-    walk.  ``exclude_self`` leaves u out of C(S).
+    k = 1 and 2 are counted in blocks of left nodes, those of more than ``most`` steps by joins; from 3 on, and for k = 2 on pairs that
+    are edges (of which each has all its subsets), ``observations_walked`` does the same by a vectorised walk.
+    ``exclude_self`` leaves u out of C(S).
     """
     if k >= 3:
         return observations_walked(edges, pairs, k, exclude_self)
     e, wanted = edges.select(*KEYS).distinct(), pairs.select(*KEYS).distinct()
-    return _k1(edges, e, wanted, exclude_self) if k == 1 else _k2(edges, e, wanted, exclude_self)
+    value = lambda side: node_degrees(edges, side).toDF(side, "value")
+    names, kernel, joined = (["s"], singles, _k1) if k == 1 else (["s1", "s2"], couples, _k2)
+    schema = ", ".join(f"{c} long" for c in (*KEYS, *names, "_c", "_n", "_du", "_dv"))
+    counted, crowded = by_blocks(e, wanted, kernel(exclude_self), schema, left_value=value("left"), right_value=value("right"), most=most)
+    out = counted.withColumn("combo", F.array(*names)).withColumn("x", _value("_c", "_n")).where(F.col("x") > LEAST).select(*KEYS, "combo", "x")
+    return out if crowded is None else out.unionByName(joined(edges, e, wanted.join(crowded, "left", "left_semi"), exclude_self))
 
 
 def _k1(edges: DataFrame, e: DataFrame, wanted: DataFrame, exclude_self: bool) -> DataFrame:
