@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pairloom.operators import cooc, neighbourhoods, paths
+from pairloom.operators import cooc, lattice, neighbourhoods, paths
 
 RNG = np.random.default_rng(11)
 EDGES = sorted({(int(a), int(b)) for a, b in zip(RNG.integers(0, 25, 160), RNG.integers(0, 18, 160), strict=True)})
@@ -93,3 +93,25 @@ def test_crowded_left_nodes_give_the_same_observations(spark, k):
     e, p = (spark.createDataFrame(x, "left long, right long") for x in (EDGES, PAIRS))
     few, many = (sorted((r.left, r.right, *r.combo, r.x) for r in cooc.observations(e, p, k, most=m).collect()) for m in (60, 10**6))
     assert few == many
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_sums_need_no_row_for_each_step(spark, monkeypatch, k):
+    """A row for each two steps between left nodes is made only for crowded ones."""
+
+    def refused(*_):
+        raise AssertionError("the walks of all left nodes were joined")
+
+    monkeypatch.setattr(lattice, "adjacency", refused)
+    monkeypatch.setattr(neighbourhoods, "FILL", 60)
+    e, p = (spark.createDataFrame(x, "left long, right long") for x in (EDGES, PAIRS))
+    n = Counter((u, v) for u, v, *_ in observed(k, False))
+    assert {(r.left, r.right): r.n for r in lattice.observation_sums(e, p, k).collect()} == n
+
+
+def test_a_crowded_left_node_without_partners_keeps_its_own_subsets(spark):
+    """Nobody shares an item of node 1, and it has more steps than a block takes."""
+    e = spark.createDataFrame([(1, v) for v in range(6)] + [(2, 9)], "left long, right long")
+    p = e.where("left = 1 and right < 3")
+    few, many = (sorted(map(tuple, lattice.observation_sums(e, p, 2, most=m).collect())) for m in (4, 10**6))
+    assert [r[:3] for r in few] == [(1, v, 15) for v in range(3)] and few == [pytest.approx(r) for r in many]
