@@ -1,40 +1,5 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components of linked documents; see ``pairloom.operators.components``."""
 
-from __future__ import annotations
+from pairloom.operators.components import connected_components
 
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
-
-from pairloom.llm.common import free, stored
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable.  A stored table.
-
-    Only minima are taken per node (partially, before each shuffle), so a hub
-    gathers nowhere; each round is stored in the shared folder and the one before deleted.  Rounds go on until
-    nothing changes, which the two steps reach in a number of rounds that grows with the logarithm of the nodes.
-
-    Rules: loops and repeated edges are allowed; an edge with a null end is none; no edges give no rows.
-    """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
-    before, state = None, (0, 0)
-    while state != before and not (before is None and now.isEmpty()):
-        before = state
-        # large star: every larger neighbour of u (and u) hangs on the least of u's neighbourhood
-        both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).select("c", F.least("c", "m").alias("m"))
-        large = now.join(least, F.col("u") == F.col("c")).select("v", F.col("m").alias("u")).where("v <> u")
-        large = stored(large.unionByName(least.where("c <> m").select(F.col("c").alias("v"), F.col("m").alias("u"))).distinct())
-        # small star: u's smaller neighbours hang on the least of them
-        low = large.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("m"))
-        small = large.join(low, F.col("v") == F.col("c")).select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u")
-        seen = Observation()
-        found = small.unionByName(low.select(F.col("c").alias("v"), F.col("m").alias("u"))).distinct()
-        after = stored(found.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")))
-        free(now, large)
-        now, state = after, (seen.get["n"], seen.get["h"])
-    roots = now.select(F.col("u").alias("node")).distinct()
-    out = stored(now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))))
-    free(now)
-    return out
+__all__ = ["connected_components"]

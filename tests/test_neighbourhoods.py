@@ -115,3 +115,51 @@ def test_a_crowded_left_node_without_partners_keeps_its_own_subsets(spark):
     p = e.where("left = 1 and right < 3")
     few, many = (sorted(map(tuple, lattice.observation_sums(e, p, 2, most=m).collect())) for m in (4, 10**6))
     assert [r[:3] for r in few] == [(1, v, 15) for v in range(3)] and few == [pytest.approx(r) for r in many]
+
+
+def distances(edges, pairs, most):
+    near, back = {}, {}
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+        back.setdefault(v, set()).add(u)
+    out = {}
+    for u, v in pairs:
+        seen, front, d = set(), {u}, 1
+        while front and d <= most:
+            items = set().union(*(near.get(x, set()) for x in front)) - seen
+            if v in items:
+                out[(u, v)] = d
+                break
+            seen |= items
+            front, d = set().union(*(back[x] for x in items)) if items else set(), d + 2
+    return out
+
+
+@pytest.mark.parametrize("ways", [(4, 32), (1,), ()])
+def test_distances_of_pairs_match_a_plain_walk(spark, monkeypatch, ways):
+    """A long chain, a crowd, and a part of its own; ends that nothing reaches."""
+    monkeypatch.setattr(paths, "WAYS", ways)
+    chain = [(100 + i, 100 + j) for i in range(8) for j in (i, i + 1)]
+    edges = EDGES[:60] + [(x + 500, y + 500) for x, y in EDGES[:20]] + chain
+    pairs = sorted({(u, v) for u, _ in edges[::3] for _, v in edges[::4]} | {(9999, 100), (100, 9999)})
+    e, p = (spark.createDataFrame(x, "left long, right long") for x in (edges, pairs))
+    for most in (5, 9):
+        got = {(r.left, r.right): round(1 / r.score) for r in paths.graph_distance(e, most, exclude_existing=False, pairs=p).collect()}
+        assert got == distances(edges, pairs, most)
+
+
+def test_distances_walk_on_only_for_pairs_that_no_way_solves(spark, monkeypatch):
+    """Of these pairs none is left for walks from both ends: ways solve some, and the others lie in different parts of the graph."""
+    edges = [(u, v) for u in range(12) for v in (u, (u + 1) % 12)]
+    edges += [(u + 50, v + 50) for u, v in edges]
+    e = spark.createDataFrame(edges, "left long, right long")
+    p = spark.createDataFrame([(u, v) for u in (0, 1, 51) for v in (0, 3, 4, 55)], "left long, right long")
+    left = {}
+
+    def seen(e_, open_, ways, real=paths._tried):
+        left[ways] = {(r.left < 50) == (r.right < 50) for r in open_.collect()}
+        return real(e_, open_, ways)
+
+    monkeypatch.setattr(paths, "_tried", seen)
+    got = {(r.left, r.right): round(1 / r.score) for r in paths.graph_distance(e, 5, exclude_existing=False, pairs=p).collect()}
+    assert got == distances(edges, [tuple(r) for r in p.collect()], 5) and left and set().union(*left.values()) == {True}
