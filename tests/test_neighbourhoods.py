@@ -163,3 +163,14 @@ def test_distances_walk_on_only_for_pairs_that_no_way_solves(spark, monkeypatch)
     monkeypatch.setattr(paths, "_tried", seen)
     got = {(r.left, r.right): round(1 / r.score) for r in paths.graph_distance(e, 5, exclude_existing=False, pairs=p).collect()}
     assert got == distances(edges, [tuple(r) for r in p.collect()], 5) and left and set().union(*left.values()) == {True}
+
+
+def test_support_of_pairs_is_counted_in_blocks(spark, monkeypatch):
+    """One row leaves a task for each pair of items, not one for each pair and left node; crowded items give the same."""
+    e = spark.createDataFrame([*EDGES, EDGES[0], (None, 1), (2, None)], "left long, right long")
+    want = Counter(s for items in ITEMS.values() for s in combinations(sorted(items), 2))
+    for fill, most in ((60, 10**6), (4_000_000, 60)):
+        monkeypatch.setattr(neighbourhoods, "FILL", fill)
+        out = cooc.combination_support(e, 2, most)
+        assert {tuple(r.combo): r.support for r in out.collect()} == want
+    assert "Join" not in cooc.combination_support(e, 2)._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
