@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 from itertools import combinations
 
@@ -5,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pairloom.operators import cooc, lattice, neighbourhoods, paths
+from pairloom.operators import cooc, lattice, neighbourhoods, paths, sampling
 
 RNG = np.random.default_rng(11)
 EDGES = sorted({(int(a), int(b)) for a, b in zip(RNG.integers(0, 25, 160), RNG.integers(0, 18, 160), strict=True)})
@@ -174,3 +175,29 @@ def test_support_of_pairs_is_counted_in_blocks(spark, monkeypatch):
         out = cooc.combination_support(e, 2, most)
         assert {tuple(r.combo): r.support for r in out.collect()} == want
     assert "Join" not in cooc.combination_support(e, 2)._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+
+
+def test_uniform_non_edges_are_drawn_once_and_not_sorted(spark, monkeypatch):
+    """Half as many draws as twice what is asked for, and the rows beyond it are cut off by one bound."""
+
+    def refused(*_):
+        raise AssertionError("all draws were sorted")
+
+    monkeypatch.setattr(sampling, "lowest", refused)
+    edges = [(u, (u * 3 + i) % 90) for u in range(80) for i in range(4)]
+    got = {tuple(r) for r in sampling.sample_negatives_uniform(spark.createDataFrame(edges, "left long, right long"), 900, 7).collect()}
+    want, i = {}, 0
+    number = lambda side, i: int(hashlib.md5(f"7|{side}|{i}".encode()).hexdigest()[:13], 16)
+    while len(want) < 900:
+        pair = number("L", i) % 80, number("R", i) % 90
+        if pair not in set(edges):
+            want.setdefault(pair, i)
+        i += 1
+    assert got == set(want)
+    assert i <= sampling._draws(900, 80 * 90, 80 * 90 - 320) < 1.5 * 900
+
+
+def test_few_possible_non_edges_take_more_draws(spark):
+    edges = [(u, v) for u in range(12) for v in range(12) if u != v]
+    got = {tuple(r) for r in sampling.sample_negatives_uniform(spark.createDataFrame(edges, "left long, right long"), 11, 7).collect()}
+    assert len(got) == 11 and all(u == v for u, v in got)
